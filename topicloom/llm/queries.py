@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from topicloom.llm import op1_simhash
+from topicloom.llm import op1_simhash, op2_decontaminate, op3_mix, op9_shard, op10_license
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash.query}
+    return {
+        "op1_simhash": op1_simhash.query,
+        "op2_decontaminate": op2_decontaminate.query,
+        "op3_mix": op3_mix.query,
+        "op9_shard": op9_shard.query,
+        "op10_license": op10_license.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_decontaminate": op2_decontaminate.ORACLE_SQL, "op3_mix": op3_mix.ORACLE_SQL}
