@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from topicloom.llm import op1_simhash, op2_decontaminate, op3_mix, op9_shard, op10_license
+from topicloom.llm import op1_simhash, op2_decontaminate, op3_mix, op4_media, op5_quality, op6_tokens, op7_lm, op8_chat, op9_shard, op10_license
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,10 +14,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": op1_simhash.query,
         "op2_decontaminate": op2_decontaminate.query,
         "op3_mix": op3_mix.query,
+        "op4_media": op4_media.query,
+        "op5_quality": op5_quality.query,
+        "op6_tokens": op6_tokens.query,
+        "op7_lm": op7_lm.query,
+        "op8_chat": op8_chat.query,
         "op9_shard": op9_shard.query,
         "op10_license": op10_license.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": op2_decontaminate.ORACLE_SQL, "op3_mix": op3_mix.ORACLE_SQL}
+    return {"op2_decontaminate": op2_decontaminate.ORACLE_SQL, "op3_mix": op3_mix.ORACLE_SQL, "op8_chat": op8_chat.ORACLE_SQL}
