@@ -118,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & (fold(F.col(key)) != 0)).groupBy(key).agg(F.min(label).alias("label"))
     chosen = F.broadcast(known.orderBy(F.xxhash64(key), key).limit(sample))  # at most `sample` rows of two numbers
     rows = docs.select(key, F.col(text).cast("binary").alias("text")).join(chosen, key).select(key, "label", measured("text").alias("x")).toArrow().sort_by(key)
-    return fit(np.array(rows["x"].to_pylist(), np.float64).reshape(len(rows), -1), (rows["label"].to_numpy() > 0).astype(float))
+    return fit(np.array(rows["x"].to_pylist(), np.float64).reshape(len(rows), len(statistics(b""))), (rows["label"].to_numpy() > 0).astype(float))
 
 
 def scorer(model: Trees, text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 The law is `bytes`: no shard holds more than (1 + slack) of an even share. A row's place on the ring is the hash of its text, so
 equal texts stay together. Each shard owns the arcs that end at its virtual nodes. Rows are summed into BINS places of the ring; a
-shard takes its places, the large ones first and then in their order on the ring, until it is full, and what overflows goes on clockwise to the next shard that isn't.
+shard takes its places in the order of the ring, those of over LARGE of a share before all others, until it is full, and what overflows goes on clockwise to the next shard that isn't.
 A place whose weight passes half a shard (one text that makes up much of the table) is dealt out by row id. If, in a small
 table of large documents, some place fits nowhere, the bound rises until it fits.
 
@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from topicloom.llm.common import cut, table, utf8
 
 SHARDS, VNODES, SLACK = 8, 64, 0.005
-BITS = 16
+#: Of an even share: what is placed before the rest, what is split, and into which parts.
+LARGE, SPLIT, PART = 0.02, 0.5, 0.125
+BITS = 14
 BINS = 1 << BITS
 #: A table's rows are numbered in about so many cells beyond the bins.
 CELLS, CELL_ROWS = 8192, 256
@@ -33,7 +35,7 @@ def ring(spark: SparkSession, shards: int, vnodes: int, open_shards: list[int])
     """(bin, shard): the owner of each place, going clockwise to the next virtual node of an open shard."""
     nodes = (
         spark.range(shards * vnodes)
-        .select(F.pmod("id", F.lit(shards)).cast("int").alias("shard"), F.shiftrightunsigned(F.xxhash64("id", F.lit("node")), 64 - BITS).cast("int").alias("bin"))
+        .select(F.floor(F.col("id") / vnodes).cast("int").alias("shard"), F.shiftrightunsigned(F.xxhash64(F.floor(F.col("id") / vnodes), F.pmod("id", F.lit(vnodes))), 64 - BITS).cast("int").alias("bin"))
         .where(F.col("shard").isin(open_shards))
         .groupBy("bin").agg(F.min("shard").alias("shard"))
     )
@@ -44,26 +46,29 @@ def ring(spark: SparkSession, shards: int, vnodes: int, open_shards: list[int])
 
 
 def place(units: DataFrame, total: int, shards: int, vnodes: int, slack: float) -> DataFrame:
-    """units(bin, sub, weight) with their shard. Weights are bytes; `units` has a bounded number of rows."""
-    spark = units.sparkSession
-    bound, load, open_shards, done = total * (1 + slack) / shards, dict.fromkeys(range(shards), 0), list(range(shards)), []
-    while True:
-        room = F.element_at(F.create_map(*[F.lit(x) for s in open_shards for x in (s, float(bound - load[s]))]), F.col("shard"))
-        large = F.when(F.col("weight") > slack * bound, F.col("weight")).otherwise(0)
-        so_far = F.sum("weight").over(Window.partitionBy("shard").orderBy(F.desc(large), "bin", "sub").rowsBetween(Window.unboundedPreceding, 0))
-        tried = cut(units.join(ring(spark, shards, vnodes, open_shards), "bin").withColumn("fits", so_far <= room))
-        facts = tried.groupBy("shard").agg(F.sum(F.when(F.col("fits"), F.col("weight")).otherwise(0)).alias("taken"), F.count_if(~F.col("fits")).alias("over"), F.min(F.when(~F.col("fits"), F.col("weight"))).alias("least")).collect()  # a row a shard
-        done.append(tried.where("fits").drop("fits"))
-        for r in facts:
-            load[r["shard"]] += r["taken"]
-            if r["over"]:
-                open_shards.remove(r["shard"])
-        if not any(r["over"] for r in facts):
-            return cut(reduce(DataFrame.union, done))
-        if not open_shards:
-            bound = max(bound * (1 + slack), min(load.values()) + min(r["least"] for r in facts if r["over"]))
-            open_shards = list(range(shards))
-        units = tried.where("not fits").select("bin", "sub", "weight")
+    """units(bin, sub, weight) with their shard. Weights are bytes; `units` has a bounded number of rows. Large units are placed before the others, while shards have room for them."""
+    share = total / shards
+    bound, load, done = share * (1 + slack), dict.fromkeys(range(shards), 0), []
+    large = F.col("weight") > LARGE * share
+    for left in (units.where(large), units.where(~large)):
+        open_shards = list(range(shards))
+        while True:
+            room = F.element_at(F.create_map(*[F.lit(x) for s in open_shards for x in (s, float(bound - load[s]))]), F.col("shard"))
+            so_far = F.sum("weight").over(Window.partitionBy("shard").orderBy("bin", "sub").rowsBetween(Window.unboundedPreceding, 0))
+            tried = cut(left.join(F.broadcast(ring(units.sparkSession, shards, vnodes, open_shards)), "bin").withColumn("fits", so_far <= room))
+            facts = tried.groupBy("shard").agg(F.sum(F.when(F.col("fits"), F.col("weight")).otherwise(0)).alias("taken"), F.count_if(~F.col("fits")).alias("over"), F.min(F.when(~F.col("fits"), F.col("weight"))).alias("least")).collect()  # a row a shard
+            done.append(tried.where("fits").select("bin", "sub", "shard"))
+            for r in facts:
+                load[r["shard"]] += r["taken"]
+                if r["over"]:
+                    open_shards.remove(r["shard"])
+            if not any(r["over"] for r in facts):
+                break
+            if not open_shards:
+                bound = max(bound + share / 100, min(load.values()) + min(r["least"] for r in facts if r["over"]))
+                open_shards = [s for s in range(shards) if load[s] < bound]
+            left = tried.where("not fits").select("bin", "sub", "weight")
+    return cut(reduce(DataFrame.union, done))
 
 
 def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, vnodes: int = VNODES, slack: float = SLACK) -> DataFrame:
@@ -76,11 +81,12 @@ def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
     slim = cut(slim)
     bins = cut(slim.groupBy("bin").agg(F.sum("size").alias("weight"), F.count("*").alias("n")))
     total, rows = bins.agg(F.coalesce(F.sum("weight"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    most, cell = max(1.0, total / shards / 2), max(CELL_ROWS, rows / CELLS)
-    parts = bins.select("bin", F.ceil(F.col("weight") / most).alias("subs"), F.greatest(F.ceil(F.col("weight") / most), F.ceil(F.col("n") / cell)).alias("cells"))
+    share, cell = max(1.0, total / shards), max(CELL_ROWS, rows / CELLS)
+    subs = F.when(F.col("weight") > SPLIT * share, F.ceil(F.col("weight") / (PART * share))).otherwise(1)
+    parts = bins.select("bin", subs.alias("subs"), F.greatest(subs, F.ceil(F.col("n") / cell)).alias("cells"))
     cells = cut(slim.join(F.broadcast(parts), "bin").withColumn("cell", F.pmod(F.xxhash64("key", "bin"), F.col("cells"))).withColumn("sub", F.pmod("cell", F.col("subs"))).drop("cells", "subs"))
     sums = cut(cells.groupBy("bin", "sub", "cell").agg(F.sum("size").alias("weight"), F.count("*").alias("n")))
-    placed = place(sums.groupBy("bin", "sub").agg(F.sum("weight").alias("weight")), total, shards, vnodes, slack).drop("weight")
+    placed = place(sums.groupBy("bin", "sub").agg(F.sum("weight").alias("weight")), total, shards, vnodes, slack)
     offset = F.sum("n").over(Window.partitionBy("shard").orderBy("bin", "cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
     starts = sums.join(placed, ["bin", "sub"]).select("bin", "cell", "shard", offset.alias("offset"))
     rank = F.row_number().over(Window.partitionBy("bin", "cell").orderBy("h", "key", "size", "crc", "row"))
