@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from topicloom.plans import catalog_queries, job_queries
+from topicloom.plans.registration import ORACLES, QUERIES, Query
 
-from pyspark.sql import DataFrame, SparkSession
+flagship = catalog_queries.flagship
+MODULES = (catalog_queries, job_queries)
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
