@@ -20,6 +20,7 @@ def test_whole_table(spark, docs, texts, empty):
         assert all(s["start_s"] < s["stop_s"] and len(s["tensor"]) == op.PARTS * op.MELS for s in r["segments"])
     tensors = op.tensors([s["tensor"] for r in rows for s in r["segments"]])
     assert tensors.type.shape == list(op.SHAPE)
+    assert sorted(map(str, op.media_features(docs).collect())) == sorted(map(str, rows))
     assert op.audio_features(op.media_column(empty)).count() == 0
 
 

@@ -122,46 +122,61 @@ def features(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
     return spans * HOP / (RATE * UP / DOWN), tensor.astype(np.float32)
 
 
-def media_column(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_bytes, media): the WAV file of each text."""
+def _to_media(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, text as bytes) to (key, n_bytes, media)."""
+    for b in it:
+        raw = [t or b"" for t in b.column(1).to_pylist()]
+        media = [wav(t + bytes(-len(t) % UNIT if t else UNIT)) for t in raw]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) for t in raw], pa.int64()), pa.array(media, pa.binary())], names=["key", "n_bytes", "media"])
+
+
+def _to_features(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, n_bytes, media) to digests, spans and tensors."""
+    for b in it:
+        out: dict[str, list] = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
+        spans, tensors, counts = [np.zeros((0, 2))], [np.zeros((0, *SHAPE), np.float32)], [0]
+        for m in b.column(2):
+            m = m.as_py()
+            samples = samples_of(m)
+            s, t = features(samples)
+            spans.append(s)
+            tensors.append(t)
+            counts.append(len(s))
+            coarse = np.round(t * 8).astype("<i2").tobytes() + np.round(s * 1000).astype("<i8").tobytes()
+            row = (len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), f"{len(s)}:{hashlib.sha256(coarse).hexdigest()[:16]}")
+            for k, v in zip(out, row, strict=True):
+                out[k].append(v)
+        cuts = pa.array(np.cumsum(counts), pa.int32())
+        each = np.ascontiguousarray(np.concatenate(tensors))
+        tensor = pa.FixedShapeTensorArray.from_numpy_ndarray(each).storage.cast(pa.list_(pa.float32())) if len(each) else pa.array([], pa.list_(pa.float32()))
+        times = np.concatenate(spans).astype(np.float64)
+        span = pa.StructArray.from_arrays([pa.array(times[:, 0]), pa.array(times[:, 1]), tensor], names=["start_s", "stop_s", "tensor"])
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        columns = [b.column(0), b.column(1), *(pa.array(v, kind) for v, kind in zip(out.values(), kinds, strict=True)), pa.ListArray.from_arrays(cuts, span)]
+        yield pa.RecordBatch.from_arrays(columns, names=["key", "n_bytes", *out, "segments"])
+
+
+FEATURES = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, segments array<struct<start_s:double,stop_s:double,tensor:array<float>>>"
+
+
+def _mapped(df: DataFrame, key: str, function, schema: str) -> DataFrame:
+    bounded_batches(df.sparkSession)
+    return df.mapInArrow(function, f"key {dict(df.dtypes)['key']}, {schema}").withColumnRenamed("key", key)
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            raw = [t or b"" for t in b.column(1).to_pylist()]
-            media = [wav(t + bytes(-len(t) % UNIT if t else UNIT)) for t in raw]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) for t in raw], pa.int64()), pa.array(media, pa.binary())], names=[key, "n_bytes", "media"])
 
-    bounded_batches(docs.sparkSession)
-    return docs.select(key, F.col(text).cast("binary")).mapInArrow(batches, f"{key} {dict(docs.dtypes)[key]}, n_bytes long, media binary")
+def media_column(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_bytes, media): the WAV file of each text."""
+    return _mapped(docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")), key, _to_media, "n_bytes long, media binary")
 
 
 def audio_features(media: DataFrame, key: str = "doc_id") -> DataFrame:
     """Columns of media(key, n_bytes, media) without the bytes, but with digests of them, time spans and tensors of shape SHAPE (rows of PARTS x MELS floats, as an Arrow fixed-shape tensor stores them)."""
+    return _mapped(media.select(F.col(key).alias("key"), "n_bytes", "media"), key, _to_features, FEATURES)
+
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            out: dict[str, list] = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
-            spans, tensors, counts = [], [], [0]
-            for m in b.column(2).to_pylist():
-                samples = samples_of(m)
-                s, t = features(samples)
-                spans.append(s)
-                tensors.append(t)
-                counts.append(len(s))
-                coarse = np.round(t * 8).astype("<i2").tobytes() + np.round(s * 1000).astype("<i8").tobytes()
-                row = (len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), f"{len(s)}:{hashlib.sha256(coarse).hexdigest()[:16]}")
-                for k, v in zip(out, row, strict=True):
-                    out[k].append(v)
-            cuts = pa.array(np.cumsum(counts), pa.int32())
-            tensor = pa.FixedShapeTensorArray.from_numpy_ndarray(np.ascontiguousarray(np.concatenate(tensors))).storage.cast(pa.list_(pa.float32()))
-            times = np.concatenate(spans).astype(np.float64)
-            span = pa.StructArray.from_arrays([pa.array(times[:, 0]), pa.array(times[:, 1]), tensor], names=["start_s", "stop_s", "tensor"])
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            columns = [b.column(0), b.column(1), *(pa.array(v, kind) for v, kind in zip(out.values(), kinds, strict=True)), pa.ListArray.from_arrays(cuts, span)]
-            yield pa.RecordBatch.from_arrays(columns, names=[key, "n_bytes", *out, "segments"])
-
-    schema = f"{key} {dict(media.dtypes)[key]}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, segments array<struct<start_s:double,stop_s:double,tensor:array<float>>>"
-    return media.select(key, "n_bytes", "media").mapInArrow(batches, schema)
+def media_features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """audio_features(media_column(docs)) in one Python worker a task instead of two: the WAV files go from one step to the other as an Arrow column."""
+    return _mapped(docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")), key, lambda it: _to_features(_to_media(it)), FEATURES)
 
 
 def tensors(found: list[list[float]]) -> pa.FixedShapeTensorArray:
@@ -170,4 +185,4 @@ def tensors(found: list[list[float]]) -> pa.FixedShapeTensorArray:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio_features(media_column(table(spark, sf_dir, "documents"))).drop("segments")
+    return media_features(table(spark, sf_dir, "documents")).drop("segments")
