@@ -171,7 +171,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", learn: Colum
     inside = np.log10([sum(by_class.get(c, (0, 0))) + 1 for c in range(CLASSES)])
     triples = counts.where("word is null").select("cell", "n").toArrow().sort_by("cell")  # at most CLASSES ** 3 rows
     model = train(triples["cell"].to_numpy().astype(np.int64), triples["n"].to_numpy(), steps)
-    top = words.orderBy(F.desc("n"), "word").select("word", "n").limit(frequent).toArrow()  # a bound
+    often = words.where(F.col("n") >= n // (10 * frequent))  # at most ten times `frequent` words can be so common, however many there are
+    top = often.orderBy(F.desc("n"), "word").select("word", "n").limit(frequent).toArrow()
     shared = spark.sparkContext.broadcast((top["word"].cast(pa.binary()).to_pylist(), top["n"].to_numpy(), model, inside))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
