@@ -6,7 +6,7 @@ tokenizer_digest, n_tokens), partitioned by tokenizer. Rows are joined with it;
 encoded, whole, and appended; the counts then come from the cache.
 
 Texts aren't shuffled as long as few rows have to be named to leave the others out: the ids of the rows to encode, or of those to
-skip, are broadcast while they number at most BROADCAST_IDS; beyond both, texts are joined by a shuffle on the id.
+skip if these are fewer, are broadcast while they number at most BROADCAST_IDS; beyond that, texts are joined by a shuffle on the id.
 
 Defined results: rows with a null key are counted too (and encoded with the misses); repeated rows get a row each; an empty table gives no
 rows and leaves the cache as it was; a count that two runs append is the same count and is read once; other columns are not read.
@@ -62,15 +62,17 @@ def open_cache(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _to_encode(docs: DataFrame, slim: DataFrame, misses: DataFrame, key: str) -> DataFrame:
-    """Rows of docs that hold a missing text: one for each, and those with a null key."""
+    """Rows of docs that hold a missing text: one for each, and those with a null key. The shorter list of ids, of these or of the others, is broadcast if it is short enough."""
     chosen = cut(misses.where("least is not null").select(F.col("least").alias(key)).distinct())
-    most = common.BROADCAST_IDS
-    if chosen.limit(most + 1).count() <= most:
+    named, most = slim.where(F.col("key").isNotNull()), common.BROADCAST_IDS
+    n, others = chosen.count(), named.count() - chosen.count()
+    if min(n, others) > most:
+        rows = docs.join(chosen, key, "left_semi")
+    elif n <= others:
         rows = docs.join(F.broadcast(chosen), key, "left_semi")
     else:
-        skipped = cut(slim.where(F.col("key").isNotNull()).select(F.col("key").alias(key)).distinct().join(chosen, key, "left_anti"))
-        few = skipped.limit(most + 1).count() <= most
-        rows = docs.where(F.col(key).isNotNull()).join(F.broadcast(skipped), key, "left_anti") if few else docs.join(chosen, key, "left_semi")
+        skipped = named.select(F.col("key").alias(key)).distinct().join(chosen, key, "left_anti")
+        rows = docs.where(F.col(key).isNotNull()).join(F.broadcast(skipped), key, "left_anti")
     if slim.where("key is null").isEmpty():
         return rows
     return rows.unionByName(docs.where(F.col(key).isNull()))
@@ -89,6 +91,7 @@ def count_tokens(docs: DataFrame, cache: str, model: bytes, key: str = "doc_id",
         fresh = todo.select(content_digest(F.col("text")).alias("content_digest"), encoder(spark, model)(F.coalesce("text", F.lit(""))).alias("n_tokens"))
         fresh.withColumn("tokenizer_digest", F.lit(own)).write.mode("append").partitionBy("tokenizer_digest").parquet(cache)
     counts = spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer_digest") == own).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
+    counts = cut(counts)  # so that the join below reads both sides from shuffles of its own, and a digest that many rows have can be split
     return slim.join(counts, "content_digest").select(F.col("key").alias(key), "n_bytes", "content_digest", "n_tokens")
 
 
