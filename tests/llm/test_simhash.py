@@ -5,6 +5,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from topicloom.llm import op1_simhash as op
+from topicloom.llm import components
 from topicloom.llm.components import connected_components
 
 
@@ -86,3 +87,16 @@ def test_components_of_a_long_path(spark):
     path = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501)], "u long, v long")
     assert {r["node"]: r["root"] for r in connected_components(path).collect()} == {**dict.fromkeys(range(201), 0), 500: 500, 501: 500}
     assert connected_components(path.limit(0)).count() == 0
+
+
+def test_components_of_hubs(spark, monkeypatch):
+    rng = random.Random(3)
+    edges = [(i, hub) for hub in (1000, 7, 2000) for i in range(hub + 1, hub + 300)] + [(1100, 50), (5000, 5001)]
+    edges += [(rng.randrange(6000, 6400), rng.randrange(6000, 6400)) for _ in range(300)]
+    nodes = sorted({x for e in edges for x in e})
+    expected = reach([e for e in edges if e[0] != e[1]], nodes)
+    table = spark.createDataFrame(edges, "u long, v long")
+    for least in (1, 20, 10_000):
+        monkeypatch.setattr(components, "HUB_EDGES", least)
+        roots = {r["node"]: r["root"] for r in connected_components(table).collect()}
+        assert {n: roots.get(n, n) for n in nodes} == expected

@@ -7,22 +7,32 @@ from pyspark.sql import functions as F
 
 from topicloom.llm.common import cut
 
+#: A node with over one part in HUBS of all edges is a hub; so there are at most HUBS of them, and they are broadcast.
+HUBS, HUB_EDGES = 2000, 100
 
-def _relink(edges: DataFrame) -> DataFrame:
-    """Each node with its smallest neighbour or itself. groupBy combines before the shuffle and the join may be split where it is skewed, so that a hub takes no whole task."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-    return edges.join(least, "u")
+
+def _relink(edges: DataFrame, rows: int) -> DataFrame:
+    """Each edge (u, v) with m, the smallest neighbour of u or u itself. `rows` is at least the number of edges.
+
+    groupBy combines before the shuffle, so that no hub's edges meet there. The join would bring them together (an aggregate on one
+    side keeps Spark from splitting it), so hubs are looked up where their edges are.
+    """
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).withColumn("m", F.least("m", "u"))
+    hub = F.col("degree") > max(HUB_EDGES, rows / HUBS)
+    marked = edges.join(F.broadcast(least.where(hub).select("u", F.col("m").alias("hub_m"))), "u", "left")
+    rest = marked.where("hub_m is null").select("u", "v").join(least.where(~hub).select("u", "m"), "u")
+    return marked.where("hub_m is not null").select("u", "v", F.col("hub_m").alias("m")).union(rest.select("u", "v", "m"))
 
 
 def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, root) for every node of edges (u, v); root is the least node reachable. No edges, no rows."""
     now = cut(edges.where("u <> v").select("u", "v").distinct())
-    seen = None
+    state = seen = (now.count(),)
     for _ in range(rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _relink(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        small = _relink(down)
+        large = _relink(both, 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        down = cut(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+        small = _relink(down, 2 * state[0])
         now = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v").cast("long"))).first()
         if state == seen:
