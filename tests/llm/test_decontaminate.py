@@ -57,3 +57,16 @@ def test_empty_tables(spark, docs, empty):
     items = spark.createDataFrame([], "item_id long, text string")
     assert op.contamination(docs, items).where("n_hit > 0 or n_items > 0").count() == 0
     assert op.contamination(empty, items).count() == 0
+
+
+def test_rows_without_a_key(spark):
+    docs, items = case(3)
+    rows = [(None if n % 2 else i, t, "d") for n, (i, t) in enumerate(docs)] + [(None, None, "d"), (None, docs[1][1], "d")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, digest string").repartition(3)
+    i = spark.createDataFrame(items, "item_id long, text string")
+    numbered = [(n, r[1]) for n, r in enumerate(rows)]
+    hits = {n: n_hit > 0 for n, _, n_hit, _ in brute(numbered, items)}
+    hit = {text: hits[n] for n, text in numbered}
+    kept = op.remove_contaminated(d, i)
+    assert kept.columns == d.columns
+    assert sorted(map(str, kept.collect())) == sorted(str(r) for r in d.collect() if not hit[r["text"]])

@@ -50,6 +50,11 @@ def utf8(text: Column) -> Column:
     return F.encode(F.coalesce(text, F.lit("")), "UTF-8")
 
 
+def text_digest(text: Column) -> Column:
+    """What stands for a row that has no key."""
+    return F.sha2(utf8(text.cast("string")), 256)
+
+
 def drop_ids(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of df whose key isn't in ids. ids are broadcast while they are at most BROADCAST_IDS, else both sides shuffle."""
     ids = cut(ids.select(key).where(F.col(key).isNotNull()).distinct())

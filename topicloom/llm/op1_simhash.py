@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import bounded_batches, cut, drop_ids, table
+from topicloom.llm.common import bounded_batches, cut, drop_ids, table, text_digest
 from topicloom.llm.components import connected_components
 
 SEED, SHINGLE, THRESHOLD = 42, 4, 4
@@ -155,25 +155,32 @@ def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
-    """(key, fp, component_id, copies): component_id is the least key linked to the row, copies how many rows have its fingerprint."""
+    """(key, fp, root, component_id, copies): root is a group's least fingerprint, component_id the least key linked to the row, copies how many rows have its fingerprint."""
     slim = cut(fingerprints(docs, key, text, shingle))
     distinct = cut(slim.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("copies")))
     roots = connected_components(links(distinct.select("fp"), threshold)).withColumnRenamed("node", "fp")
     joined = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = joined.join(least, "root").select("fp", "component_id", "copies")
+    labels = joined.join(least, "root").select("fp", "root", "component_id", "copies")
     return slim.join(labels, "fp")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows that are linked to a row of a lesser key. Where rows repeat one key, one of them stays."""
+    """docs without the rows that are linked to a row of a lesser key. Where rows repeat one key, one of them stays. A row without a key stays only if its whole group has none, and then one does."""
     found = cut(near_duplicates(docs, key, text))
-    kept = drop_ids(docs, found.where(~F.col(key).eqNullSafe(F.col("component_id"))).select(key), key)
-    again = found.groupBy(key).count().where("count > 1 and " + key + " is not null").select(key)
-    if again.isEmpty():
+    leads = F.col(key).eqNullSafe(F.col("component_id"))
+    kept = drop_ids(docs, found.groupBy(key).agg(F.bool_or(leads).alias("leads")).where("not leads"), key)
+    again = found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key)
+    if not again.isEmpty():
+        again = cut(again)
+        kept = drop_ids(kept, again, key).unionByName(kept.join(again, key, "left_semi").dropDuplicates([key]))
+    if found.where(F.col(key).isNull()).isEmpty():
         return kept
-    again = cut(again)
-    return drop_ids(kept, again, key).unionByName(kept.join(again, key, "left_semi").dropDuplicates([key]))
+    unnamed = docs.where(F.col(key).isNull()).select(F.struct("*").alias("doc"), text_digest(F.col(text)).alias("digest"))
+    own = fingerprints(unnamed.select("digest", F.col("doc")[text].alias("text")), "digest", "text").distinct()
+    groups = found.where("component_id is null").select("fp", "root").distinct()
+    first = cut(own.join(groups, "fp").groupBy("root").agg(F.min("digest").alias("digest")).select("digest"))
+    return kept.where(F.col(key).isNotNull()).unionByName(unnamed.join(first, "digest", "left_semi").dropDuplicates(["digest"]).select("doc.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

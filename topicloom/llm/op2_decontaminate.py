@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import alnum_words, cut, drop_ids, table
+from topicloom.llm.common import alnum_words, cut, drop_ids, table, text_digest
 
 WINDOW, SHINGLE = 10, 3
 #: Shingles of the benchmark that are broadcast at once; more are dealt into blocks, each with its own pass.
@@ -107,8 +107,14 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows that hold a window of an item."""
-    return drop_ids(docs, contamination(docs, items, key, text).where("n_hit > 0"), key)
+    """docs without the rows that hold a window of an item. Rows that share a key go together; those without one go by their text."""
+    found = cut(contamination(docs, items, key, text).where("n_hit > 0").select(key))
+    kept = drop_ids(docs, found, key)
+    if found.where(F.col(key).isNull()).isEmpty():
+        return kept
+    unnamed = docs.where(F.col(key).isNull()).select(F.struct("*").alias("doc"), text_digest(F.col(text)).alias("digest"))
+    leaks = contamination(unnamed.select("digest", F.col("doc")[text].alias("text")).distinct(), items, "digest", "text").where("n_hit > 0").select("digest")
+    return kept.where(F.col(key).isNotNull()).unionByName(unnamed.join(leaks, "digest", "left_anti").select("doc.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
