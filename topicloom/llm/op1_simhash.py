@@ -159,8 +159,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     slim = cut(fingerprints(docs, key, text, shingle))
     distinct = cut(slim.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("copies")))
     roots = connected_components(links(distinct.select("fp"), threshold)).withColumnRenamed("node", "fp")
-    joined = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
+    joined = cut(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    least = cut(joined.groupBy("root").agg(F.min("least").alias("component_id")))  # so that both sides of the join below are plain shuffles, and a large group can be split
     labels = joined.join(least, "root").select("fp", "root", "component_id", "copies")
     return slim.join(labels, "fp")
 
