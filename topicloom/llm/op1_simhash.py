@@ -14,7 +14,7 @@ copied; each anchor reports a spanning forest instead of all pairs, and anchors
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -158,16 +158,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     """(key, fp, root, component_id, copies): root is a group's least fingerprint, component_id the least key linked to the row, copies how many rows have its fingerprint."""
     slim = cut(fingerprints(docs, key, text, shingle))
     distinct = cut(slim.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("copies")))
-    roots = connected_components(links(distinct.select("fp"), threshold)).withColumnRenamed("node", "fp")
+    return labelled(slim, distinct, links(distinct.select("fp"), threshold))
+
+
+def labelled(slim: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """slim(key, fp) with the groups of distinct(fp, least, copies) that edges join."""
+    roots = connected_components(edges).withColumnRenamed("node", "fp")
     joined = cut(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     least = cut(joined.groupBy("root").agg(F.min("least").alias("component_id")))  # so that both sides of the join below are plain shuffles, and a large group can be split
     labels = joined.join(least, "root").select("fp", "root", "component_id", "copies")
     return slim.join(labels, "fp")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows that are linked to a row of a lesser key. Where rows repeat one key, one of them stays. A row without a key stays only if its whole group has none, and then one does."""
-    found = cut(near_duplicates(docs, key, text))
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", groups: Callable = near_duplicates, prints: Callable = fingerprints) -> DataFrame:
+    """docs without the rows that `groups` links to a row of a lesser key. Where rows repeat one key, one of them stays. A row without a key stays only if its whole group has none, and then one does."""
+    found = cut(groups(docs, key, text))
     leads = F.col(key).eqNullSafe(F.col("component_id"))
     kept = drop_ids(docs, found.groupBy(key).agg(F.bool_or(leads).alias("leads")).where("not leads"), key)
     again = found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key)
@@ -177,9 +182,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     if found.where(F.col(key).isNull()).isEmpty():
         return kept
     unnamed = docs.where(F.col(key).isNull()).select(F.struct("*").alias("doc"), text_digest(F.col(text)).alias("digest"))
-    own = fingerprints(unnamed.select("digest", F.col("doc")[text].alias("text")), "digest", "text").distinct()
-    groups = found.where("component_id is null").select("fp", "root").distinct()
-    first = cut(own.join(groups, "fp").groupBy("root").agg(F.min("digest").alias("digest")).select("digest"))
+    own = prints(unnamed.select("digest", F.col("doc")[text].alias("text")), "digest", "text").distinct()
+    nameless = found.where("component_id is null").select("fp", "root").distinct()
+    first = cut(own.join(nameless, "fp").groupBy("root").agg(F.min("digest").alias("digest")).select("digest"))
     return kept.where(F.col(key).isNotNull()).unionByName(unnamed.join(first, "digest", "left_semi").dropDuplicates(["digest"]).select("doc.*"))
 
 
