@@ -37,3 +37,14 @@ def test_templates_are_found_at_their_place(spark, name):
     got = {r["doc_id"]: r for r in op.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert name in got[1]["labels"] and got[1]["score"] > 0.9
     assert got[2]["labels"] == [] and name not in got[3]["labels"]
+
+
+def test_all_templates_of_one_file(spark):
+    """Also behind a stray word of each template, and where all words are in every file, so that their IDF is 0."""
+    every = " and then ".join(op.TEMPLATES.values())
+    stray = " ".join(w for t in op.TEMPLATES.values() for w in t.split()[::3])
+    others = [(10 + i, f"other text {i}") for i in range(20)]
+    for rows in ([(1, every), (2, f"{stray} filler {every}"), *others], [(1, every), (2, f"{stray} {every}")]):
+        got = {r["doc_id"]: r for r in op.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        for i in (1, 2):
+            assert set(op.TEMPLATES) <= set(got[i]["labels"]) and got[i]["score"] == pytest.approx(1)

@@ -1,23 +1,22 @@
-r"""License scans by a positional rare-token index, with DataFrame functions only.
+r"""License scans by a positional index, with DataFrame functions only.
 
 A-Z are lower-cased; words are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+. The index holds the words of license templates with their positions.
 
 Steps. (1) One pass over the texts keeps each file's distinct license words, for document frequencies over all files, and,
-for files that have all words of a key phrase, the positions of their license words. (2) Each such file looks up its
-RARE license words of highest IDF in the template postings; places that agree on the difference of the two positions vote for
-a template at that place. (3) The best place of a template is scored with all its words: the IDF found in place over the IDF
-of the whole template. (4) A template counts if its mandatory phrases stand in the file and its score is at least MIN_SCORE.
+for files that have all words of a key phrase, the positions of their license words. (2) Each such file looks up all its
+license words in the template postings; words that agree on the difference of the two positions are in place there.
+(3) Every such place is scored, and a template has the score of its best: the IDF found in place over the IDF
+of the whole template, or the share of words where that IDF is 0. (4) A template counts if its mandatory phrases stand in the file and its score is at least MIN_SCORE.
 Base labels need a phrase alone: its words at consecutive positions, from the same postings.
 
-Defined results: a null, empty or wordless text has no words, places or labels and score 0; repeated rows get a row each; ties between places
-go to the first; an empty table gives no rows; other columns are not read.
+Defined results: a null, empty or wordless text has no words, places or labels and score 0; repeated rows get a row each; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.llm.common import alnum_words, cut, table
@@ -45,7 +44,7 @@ KEY_PHRASES = {
     "mpl-2.0-notice": ["mozilla public license"],
     "cc-by": ["creative commons attribution"],
 }
-RARE, MIN_SCORE = 8, 0.6
+MIN_SCORE = 0.6
 
 
 def _bounded(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -53,7 +52,7 @@ def _bounded(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, schema))
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, key_phrases: dict[str, list[str]] = KEY_PHRASES, rare: int = RARE, min_score: float = MIN_SCORE) -> DataFrame:
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, key_phrases: dict[str, list[str]] = KEY_PHRASES, min_score: float = MIN_SCORE) -> DataFrame:
     """(key, n_words, places, first_word, last_word, base_labels, labels, score) for every row of docs; labels are sorted arrays."""
     spark = docs.sparkSession
     body = {name: "".join(c if c.isalnum() else " " for c in t).lower().split() for name, t in templates.items()}
@@ -77,13 +76,11 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict
     base = base.groupBy("row").agg(F.count("*").alias("places"), F.min("start").cast("long").alias("first_word"), F.max("start").cast("long").alias("last_word"), F.array_sort(F.collect_set("label")).alias("base_labels"))
 
     posting = _bounded(spark, [(t, w, i) for t, ws in body.items() for i, w in enumerate(ws)], "template string, word string, tpos int")
-    whole = posting.join(idf, "word").groupBy("template").agg(F.sum("idf").alias("whole"))
-    order = Window.partitionBy("row").orderBy(F.desc("idf"), "word")
-    looked_up = hits.select("row", "word").distinct().join(idf, "word").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rare).select("row", "word", "idf")
-    votes = hits.join(looked_up, ["row", "word"]).join(posting, "word").groupBy("row", "template", (F.col("pos") - F.col("tpos")).alias("place")).agg(F.sum("idf").alias("vote"))
-    best = votes.groupBy("row", "template").agg(F.max_by("place", F.struct("vote", -F.col("place"))).alias("place"))
-    aligned = best.join(posting, "template").withColumn("pos", F.col("place") + F.col("tpos")).join(hits, ["row", "pos", "word"]).join(idf, "word")
-    scores = aligned.groupBy("row", "template").agg(F.sum("idf").alias("met")).join(F.broadcast(whole), "template").select("row", "template", F.least(F.col("met") / F.col("whole"), F.lit(1.0)).alias("score"))
+    # where every word of a template is in every file, its words count alike
+    whole = cut(posting.join(idf, "word").groupBy("template").agg(F.when(F.sum("idf") > 0, F.sum("idf")).otherwise(F.count("*")).alias("whole"), (F.sum("idf") <= 0).alias("alike")))
+    posting = F.broadcast(posting.join(idf, "word").join(whole.select("template", "alike"), "template").select("template", "word", "tpos", F.when(F.col("alike"), 1.0).otherwise(F.col("idf")).alias("worth")))
+    places = hits.join(posting, "word").groupBy("row", "template", (F.col("pos") - F.col("tpos")).alias("place")).agg(F.sum("worth").alias("met"))
+    scores = places.groupBy("row", "template").agg(F.max("met").alias("met")).join(F.broadcast(whole), "template").select("row", "template", F.least(F.col("met") / F.col("whole"), F.lit(1.0)).alias("score"))
     needs = _bounded(spark, [(t, p) for t, ps in key_phrases.items() for p in ps], "template string, phrase string")
     counts = _bounded(spark, [(t, len(ps)) for t, ps in key_phrases.items()], "template string, needed int")
     verified = said.select("row", "phrase").distinct().join(needs, "phrase").groupBy("row", "template").count().join(counts, "template").where("count = needed").select("row", "template", F.lit(True).alias("verified"))
