@@ -53,3 +53,12 @@ def test_counts_are_passed_on_when_there_are_many_words(spark, monkeypatch):
     docs = spark.createDataFrame([("a b c d",), ("a x y z q",)], "text binary" if False else "text string").selectExpr("cast(text as binary) text")
     got = {r["word"]: r["n"] for r in op.count_corpus(docs).where("word is not null").collect()}
     assert got == {"a": 2, "b": 1, "c": 1, "d": 1, "x": 1, "y": 1, "z": 1, "q": 1, "": 2}
+
+
+def test_each_step_learns_from_all_triples():
+    """Of two million triples that come once each, two contexts have one token; exchanging those tokens changes what is learned, though all classes are as frequent."""
+    one, two = 77 * op.CLASSES + 78, 33 * op.CLASSES + 12
+    cells = np.arange(op.CLASSES**3)
+    cells = cells[~np.isin(cells // op.CLASSES, (one, two))]
+    models = [op.train(np.concatenate([cells, [one * op.CLASSES + a, two * op.CLASSES + b]]), np.ones(len(cells) + 2), steps=2) for a, b in ((5, 90), (90, 5))]
+    assert np.abs(models[0].target - models[1].target)[[5, 90]].min() > 0

@@ -8,8 +8,8 @@ word is known without a table. Context vectors of the two classes before, each t
 which is compared with the class vectors; P(token) = P(class | context) (c + 1) / (N_class + V_class + 1), where one more unseen word
 a class takes what is left. Log-probabilities of classes are normalised by batched matrix products over the contexts.
 
-Spark counts, over all training texts: words, and triples of classes (at most CLASSES ** 3 sums). Noise-contrastive estimation then learns from the
-triples by weight, which is learning from every training token in bounded memory.
+Spark counts, over all training texts: words, and triples of classes (at most CLASSES ** 3 sums). Each step of noise-contrastive estimation takes the
+gradient over all of them by weight, with the expectation over the noise in place of draws; so each step learns from every training token in bounded memory.
 
 Scores. In one pass a text's frequent words (the FREQUENT most frequent, which are broadcast; a bound) and its class contexts are summed;
 its other words are counted by a join with the whole vocabulary.
@@ -34,7 +34,10 @@ from topicloom.llm.op5_quality import fold
 
 FOLDS, HELD_OUT = 7, 2
 CLASSES, WIDTH, FREQUENT = 128, 16, 100_000
-STEPS, BATCH, NOISE, STEP = 2000, 1024, 24, 0.1
+#: Passes over all triples, noise words a token, and the first step's length.
+STEPS, NOISE, STEP = 300, 24, 0.1
+#: Contexts whose scores are held at once.
+BATCH = 1024
 #: Words that a task counts before it passes its counts on.
 FLUSH = 500_000
 END = b""
@@ -134,26 +137,27 @@ def train(cells: np.ndarray, weights: np.ndarray, steps: int = STEPS, seed: int
     if not len(cells):
         return m
     sums = [np.full_like(x, 1e-3) for x in (m.context, m.turn, m.target, m.bias)]
-    reach, noise_reach = np.cumsum(weights, dtype=np.float64), np.cumsum(single)
+    present, at = np.unique(cells // CLASSES, return_inverse=True)
+    counts = np.bincount(at * CLASSES + cells % CLASSES, weights, len(present) * CLASSES).reshape(-1, CLASSES).astype(np.float32)
+    total, shift = float(counts.sum(dtype=np.float64)), (log_noise + np.log(NOISE)).astype(np.float32)
+    noise = (NOISE * counts.sum(axis=1, keepdims=True) * (single / single.sum())).astype(np.float32)  # how many noise words are expected, by context and class
+    c1, c2 = present % CLASSES, present // CLASSES
     for _ in range(steps):
-        cell = cells[np.minimum(np.searchsorted(reach, rng.random(BATCH) * reach[-1], side="right"), len(cells) - 1)]
-        c1, c2, w = cell // CLASSES % CLASSES, cell // CLASSES**2, cell % CLASSES
-        drawn = np.minimum(np.searchsorted(noise_reach, rng.random(NOISE) * noise_reach[-1], side="right"), CLASSES - 1)  # shared by the batch
-        r1, r2 = m.context[c1], m.context[c2]
-        h = r1 @ m.turn[0] + r2 @ m.turn[1]
-        true = (h * m.target[w]).sum(axis=1) + m.bias[w] - log_noise[w] - np.log(NOISE)
-        false = h @ m.target[drawn].T + m.bias[drawn] - log_noise[drawn] - np.log(NOISE)
-        dt, df = 1 / (1 + np.exp(-true)) - 1, 1 / (1 + np.exp(-false))
-        dh = dt[:, None] * m.target[w] + df @ m.target[drawn]
-        pick = np.zeros((3, CLASSES, BATCH))
-        pick[0, c1, np.arange(BATCH)] = pick[1, c2, np.arange(BATCH)] = pick[2, w, np.arange(BATCH)] = 1
-        g_target, g_bias = pick[2] @ (dt[:, None] * h), pick[2] @ dt
-        np.add.at(g_target, drawn, df.T @ h)
-        np.add.at(g_bias, drawn, df.sum(axis=0))
-        g_context = pick[0] @ (dh @ m.turn[0].T) + pick[1] @ (dh @ m.turn[1].T)
-        g_turn = np.stack([r1.T @ dh, r2.T @ dh])
+        one, two, target, bias = ((x).astype(np.float32) for x in (m.context @ m.turn[0], m.context @ m.turn[1], m.target, m.bias))
+        g_target, g_bias, dh = np.zeros_like(m.target), np.zeros_like(m.bias), np.empty((len(present), WIDTH))
+        for first in range(0, len(present), BATCH):
+            part = slice(first, first + BATCH)
+            h = one[c1[part]] + two[c2[part]]
+            share = 1 / (1 + np.exp(-np.clip(h @ target.T + bias - shift, -60, 60)))
+            d = (counts[part] + noise[part]) * share - counts[part]
+            g_target += d.T @ h
+            g_bias += d.sum(axis=0)
+            dh[part] = d @ target
+        by_class = [np.stack([np.bincount(c, x, CLASSES) for x in dh.T], axis=1) for c in (c1, c2)]
+        g_context = by_class[0] @ m.turn[0].T + by_class[1] @ m.turn[1].T
+        g_turn = np.stack([m.context.T @ x for x in by_class])
         for x, g, s in zip((m.context, m.turn, m.target, m.bias), (g_context, g_turn, g_target, g_bias), sums, strict=True):
-            g /= BATCH
+            g = g / total
             s += g * g
             x -= STEP * g / np.sqrt(s)
     return m
