@@ -49,3 +49,13 @@ def test_every_place_has_an_owner(spark):
         ring = op.ring(spark, 8, 64, open_shards).collect()
         assert sorted(r["bin"] for r in ring) == list(range(op.BINS))
         assert {r["shard"] for r in ring} == set(open_shards)
+
+
+@pytest.mark.parametrize("hot", ["7", "cast(null as long)"])
+def test_balance_with_a_repeated_row(spark, hot):
+    docs = spark.range(12_000).selectExpr(f"case when id % 3 = 0 then {hot} else id end as doc_id", "case when id % 3 = 0 then 'the same text everywhere' else concat('text ', id, repeat('x', cast(id % 40 as int))) end as text")
+    rows = op.shard(docs).collect()
+    total = sum(r["size"] for r in rows)
+    assert len(rows) == 12_000
+    check(rows, 8, 0.06 * total / 8)
+    assert sorted(map(str, rows)) == sorted(map(str, op.shard(docs.repartition(5)).collect()))

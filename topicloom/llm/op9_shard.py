@@ -3,7 +3,7 @@
 The law is `bytes`: no shard holds more than (1 + slack) of an even share. A row's place on the ring is the hash of its text, so
 equal texts stay together. Each shard owns the arcs that end at its virtual nodes. Rows are summed into BINS places of the ring; a
 shard takes its places in the order of the ring, those of over LARGE of a share before all others, until it is full, and what overflows goes on clockwise to the next shard that isn't.
-A place whose weight passes half a shard (one text that makes up much of the table) is dealt out by row id. If, in a small
+A place whose weight passes half a shard (one text that makes up much of the table) is dealt out by row id, and rows that share id and text by their number. If, in a small
 table of large documents, some place fits nowhere, the bound rises until it fits.
 
 Only sums over places of the ring are ordered or moved in the rounds, BINS rows and a few, however large the table is; slots
@@ -71,6 +71,22 @@ def place(units: DataFrame, total: int, shards: int, vnodes: int, slack: float)
     return cut(reduce(DataFrame.union, done))
 
 
+def numbered(slim: DataFrame, rows: float, weight: float) -> DataFrame:
+    """slim with `number`: from 0 on among rows of one key and text where they pass `rows` or `weight`, else null. Such rows are alike, so it doesn't matter which has which number."""
+    alike = slim.withColumn("alike", F.xxhash64("key", "h"))
+    many = alike.groupBy("alike").agg(F.count("*").alias("n"), F.sum("size").alias("w")).where((F.col("n") > 1) & ((F.col("n") > rows) | (F.col("w") > weight)))
+    many = cut(many.select("alike", F.ceil(F.col("n") / rows).alias("chunks")))  # no more rows than the table has cells and shards have parts
+    if many.isEmpty():
+        return slim.withColumn("number", F.lit(None).cast("long"))
+    marked = alike.join(F.broadcast(many), "alike", "left").withColumn("chunk", F.pmod(F.xxhash64("row"), F.col("chunks")))
+    sums = cut(marked.where("chunk is not null").groupBy("alike", "chunk").agg(F.count("*").alias("n")))
+    before = F.sum("n").over(Window.partitionBy("alike").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    own = F.row_number().over(Window.partitionBy("alike", "chunk").orderBy("row")) - 1
+    dealt = marked.where("chunk is not null").withColumn("own", own).join(F.broadcast(sums.select("alike", "chunk", before.alias("before"))), ["alike", "chunk"])
+    rest = marked.where("chunk is null").select(*slim.columns, F.lit(None).cast("long").alias("number"))
+    return rest.union(dealt.select(*slim.columns, (F.col("before") + F.col("own")).cast("long").alias("number")))
+
+
 def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, vnodes: int = VNODES, slack: float = SLACK) -> DataFrame:
     """(key, size, text_crc32, shard, slot) for every row of docs."""
     body = utf8(F.col(text))
@@ -84,7 +100,9 @@ def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
     share, cell = max(1.0, total / shards), max(CELL_ROWS, rows / CELLS)
     subs = F.when(F.col("weight") > SPLIT * share, F.ceil(F.col("weight") / (PART * share))).otherwise(1)
     parts = bins.select("bin", subs.alias("subs"), F.greatest(subs, F.ceil(F.col("n") / cell)).alias("cells"))
-    cells = cut(slim.join(F.broadcast(parts), "bin").withColumn("cell", F.pmod(F.xxhash64("key", "bin"), F.col("cells"))).withColumn("sub", F.pmod("cell", F.col("subs"))).drop("cells", "subs"))
+    cell_of = F.coalesce(F.pmod("number", F.col("cells")), F.pmod(F.xxhash64("key", "bin"), F.col("cells")))
+    cells = numbered(slim, cell, PART * share).join(F.broadcast(parts), "bin").withColumn("cell", cell_of)
+    cells = cut(cells.withColumn("sub", F.pmod("cell", F.col("subs"))).drop("cells", "subs", "number"))
     sums = cut(cells.groupBy("bin", "sub", "cell").agg(F.sum("size").alias("weight"), F.count("*").alias("n")))
     placed = place(sums.groupBy("bin", "sub").agg(F.sum("weight").alias("weight")), total, shards, vnodes, slack)
     offset = F.sum("n").over(Window.partitionBy("shard").orderBy("bin", "cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
