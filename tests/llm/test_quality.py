@@ -54,3 +54,14 @@ def test_labels_of_held_out_rows_are_not_learned(spark):
     docs = spark.createDataFrame([(i, "x" * (i % 7)) for i in range(50)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(zlib.crc32(str(i).encode()) % 5 == 0)) for i in range(50)], "doc_id long, quality int")
     assert op.train(docs, labels).start < -5
+
+
+def test_a_repeated_key_counts_once_in_the_fit(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(op, "fit", lambda x, y: seen.append((x.tolist(), y.tolist())))
+    rows = [(i, f"text number {i}") for i in range(20)] + [(1, f"again {i % 2}") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    for d in (docs, docs.repartition(5)):
+        op.train(d, labels)
+    assert len(seen[0][0]) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(20)) and seen[0] == seen[1]

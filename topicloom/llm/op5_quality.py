@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import bounded_batches, table
+from topicloom.llm.common import bounded_batches, table, text_digest
 
 FOLDS, SAMPLE, THRESHOLD = 5, 20_000, 0.3
 TREES, DEPTH, RATE, SMOOTH, BINS, LEAST = 60, 4, 0.2, 1.0, 64, 2.0
@@ -108,7 +108,7 @@ def _table(texts: pd.Series) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Trees:
-    """Fit on a bounded sample; only its statistics come to the driver, at most `sample` rows of some twenty numbers."""
+    """Fit on a bounded sample; only its statistics come to the driver, at most `sample` rows of some twenty numbers. Of rows that repeat a key, the one with the least text digest counts."""
 
     @F.pandas_udf("array<double>")
     def measured(texts: pd.Series) -> pd.Series:
@@ -117,7 +117,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     bounded_batches(docs.sparkSession)
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & (fold(F.col(key)) != 0)).groupBy(key).agg(F.min(label).alias("label"))
     chosen = F.broadcast(known.orderBy(F.xxhash64(key), key).limit(sample))  # at most `sample` rows of two numbers
-    rows = docs.select(key, F.col(text).cast("binary").alias("text")).join(chosen, key).select(key, "label", measured("text").alias("x")).toArrow().sort_by(key)
+    rows = docs.select(key, F.col(text).cast("binary").alias("text")).join(chosen, key).select(key, "label", text_digest(F.col("text")).alias("digest"), measured("text").alias("x"))
+    rows = rows.groupBy(key).agg(F.min(F.struct("digest", "label", "x")).alias("least")).select(key, "least.label", "least.x").toArrow().sort_by(key)
     return fit(np.array(rows["x"].to_pylist(), np.float64).reshape(len(rows), len(statistics(b""))), (rows["label"].to_numpy() > 0).astype(float))
 
 
