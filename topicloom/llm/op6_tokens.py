@@ -5,17 +5,17 @@ and case). The tokenizer digest covers the model file and the library version. T
 tokenizer_digest, n_tokens), partitioned by tokenizer. Rows are joined with it; of the digests that miss, one row each is
 encoded, whole, and appended; the counts then come from the cache.
 
-Texts aren't shuffled as long as few rows have to be named to leave the others out: the ids of the rows to encode, or of those to
-skip if these are fewer, are broadcast while they number at most BROADCAST_IDS; beyond that, texts are joined by a shuffle on the id.
+Texts aren't shuffled as long as few rows have to be named to leave the others out: the (key, hash) pairs of the rows to encode, or of those to
+skip if these are fewer, are broadcast while they number at most BROADCAST_IDS; beyond that, texts are joined by a shuffle on the pair. Only texts
+that no key has just once (rows without a key, rows that repeat) are deduplicated by a shuffle.
 
-Defined results: rows with a null key are counted too (and encoded with the misses); repeated rows get a row each; an empty table gives no
+Defined results: rows with a null key are counted too; repeated rows get a row each, but a text is encoded once; an empty table gives no
 rows and leaves the cache as it was; a count that two runs append is the same count and is read once; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-import tempfile
 import uuid
 
 import pandas as pd
@@ -61,33 +61,40 @@ def open_cache(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CACHE).parquet(path)
 
 
-def _to_encode(docs: DataFrame, slim: DataFrame, misses: DataFrame, key: str) -> DataFrame:
-    """Rows of docs that hold a missing text: one for each, and those with a null key. The shorter list of ids, of these or of the others, is broadcast if it is short enough."""
-    chosen = cut(misses.where("least is not null").select(F.col("least").alias(key)).distinct())
-    named, most = slim.where(F.col("key").isNotNull()), common.BROADCAST_IDS
-    n, others = chosen.count(), named.count() - chosen.count()
+def _to_encode(docs: DataFrame, pairs: DataFrame, misses: DataFrame, key: str) -> DataFrame:
+    """docs(key, text, h) with one row for each missing text. `only` is a key that has the text once, and brings its row alone; the texts that have no such key are fetched
+    by their hash and their rows are deduplicated. The shorter list, of rows to fetch or of rows to skip, is broadcast if it is short enough."""
+    chosen, most = cut(misses.where("only is not null").select(F.col("only").alias("key"), "h")), common.BROADCAST_IDS
+    named = pairs.where(F.col("key").isNotNull()).select("key", "h")
+    n = chosen.count()
+    others = named.count() - n
+    docs = docs.withColumnRenamed(key, "key")
     if min(n, others) > most:
-        rows = docs.join(chosen, key, "left_semi")
+        rows = docs.join(chosen, ["key", "h"], "left_semi")
     elif n <= others:
-        rows = docs.join(F.broadcast(chosen), key, "left_semi")
+        rows = docs.join(F.broadcast(chosen), ["key", "h"], "left_semi")
     else:
-        skipped = named.select(F.col("key").alias(key)).distinct().join(chosen, key, "left_anti")
-        rows = docs.where(F.col(key).isNotNull()).join(F.broadcast(skipped), key, "left_anti")
-    if slim.where("key is null").isEmpty():
-        return rows
-    return rows.unionByName(docs.where(F.col(key).isNull()))
+        rows = docs.where("key is not null").join(F.broadcast(named.join(chosen, ["key", "h"], "left_anti")), ["key", "h"], "left_anti")
+    again = cut(misses.where("only is null").select("content_digest", "h"))
+    n = again.limit(most + 1).count()
+    if not n:
+        return rows.select("text")
+    repeated = docs.withColumn("content_digest", content_digest(F.col("text"))).join(F.broadcast(again) if n <= most else again, ["h", "content_digest"], "left_semi")
+    return rows.select("text").union(repeated.select("text", "content_digest").dropDuplicates(["content_digest"]).select("text"))
 
 
 def count_tokens(docs: DataFrame, cache: str, model: bytes, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, content_digest, n_tokens) for every row of docs; new counts are appended to the cache."""
     spark, own = docs.sparkSession, tokenizer_digest(model)
-    docs = docs.select(key, F.col(text).alias("text"))
-    slim = cut(docs.select(F.col(key).alias("key"), F.octet_length(common.utf8(F.col("text"))).cast("long").alias("n_bytes"), content_digest(F.col("text")).alias("content_digest")))
+    docs = docs.select(key, F.col(text).alias("text"), F.xxhash64(common.utf8(F.col(text))).alias("h"))
+    slim = cut(docs.select(F.col(key).alias("key"), "h", F.octet_length(common.utf8(F.col("text"))).cast("long").alias("n_bytes"), content_digest(F.col("text")).alias("content_digest")))
     known = open_cache(spark, cache).where(F.col("tokenizer_digest") == own).select("content_digest")
-    misses = cut(slim.groupBy("content_digest").agg(F.min("key").alias("least")).join(known, "content_digest", "left_anti"))
+    pairs = slim.groupBy("content_digest", "h", "key").agg(F.count("*").alias("n"))
+    once = F.when((F.col("n") == 1) & F.col("key").isNotNull(), F.col("key"))
+    misses = cut(pairs.groupBy("content_digest", "h").agg(F.min(once).alias("only")).join(known, "content_digest", "left_anti"))
     if not misses.isEmpty():
         bounded_batches(spark)
-        todo = _to_encode(docs, slim, misses, key)
+        todo = _to_encode(docs, pairs, misses, key)
         fresh = todo.select(content_digest(F.col("text")).alias("content_digest"), encoder(spark, model)(F.coalesce("text", F.lit(""))).alias("n_tokens"))
         fresh.withColumn("tokenizer_digest", F.lit(own)).write.mode("append").partitionBy("tokenizer_digest").parquet(cache)
     counts = spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer_digest") == own).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
@@ -100,6 +107,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
         model = f.read()
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="topicloom-")
-    found = count_tokens(table(spark, sf_dir, "documents"), f"{shared}/token-cache-{uuid.uuid4().hex}", model)
+    cache = f"{common.shared_folder(spark)}/token-cache-{uuid.uuid4().hex}"
+    found = count_tokens(table(spark, sf_dir, "documents"), cache, model)
+    common.remove(spark, cache)  # the counts are checkpointed
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
