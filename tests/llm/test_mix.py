@@ -39,6 +39,29 @@ def test_mix_is_near_its_targets_and_repeats(spark, docs, empty):
     assert op.mix(empty).count() == 0 and op.sample(empty).columns == empty.columns
 
 
+def test_null_and_repeated_ids_come_near_the_target(spark):
+    """A source of rows without ids, one of a single repeated row, and one of ids that each have several texts."""
+    rows = [(None, "null ids", f"w{i} a b c") for i in range(100)] + [(7, "one row", "x y z")] * 200 + [(i % 3, "few ids", "t " * (1 + i % 7)) for i in range(150)]
+    d = spark.createDataFrame(rows + [(9, "rest", "r " * 5000)], "doc_id long, source string, text string")
+    got = op.mix(d.repartition(6)).select("doc.*", "size", "target", "copies").collect()
+    assert len(got) == len(rows) + 1
+    for s in ("null ids", "one row", "few ids"):
+        own = [r for r in got if r["source"] == s]
+        assert abs(sum(r["size"] * r["copies"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own) / 2 + 1e-6
+        assert max(r["copies"] for r in own) - min(r["copies"] for r in own) <= 1
+    assert op.sample(d).count() == sum(r["copies"] for r in got)
+
+
+def test_query_equals_its_sql_on_null_and_repeated_rows(spark, docs, tmp_path):
+    import duckdb
+
+    docs.select("doc_id", "text", "source").withColumn("doc_id", F.when(F.col("doc_id") % 9 != 0, F.col("doc_id"))).union(docs.select("doc_id", "text", "source").where("doc_id % 4 = 0")).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    key = lambda r: (str(r[0]), r[1], r[2], round(r[3], 6), r[4])
+    assert sorted(map(key, op.query(spark, str(tmp_path)).collect())) == sorted(map(key, db.execute(op.ORACLE_SQL).fetchall()))
+
+
 def test_heavier_documents_are_picked_more(spark):
     n = 4000
     d = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") < n, "s").alias("source"), F.when(F.col("id") % 2 == 0, 1.0).otherwise(0.25).alias("q"))
