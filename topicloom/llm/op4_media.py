@@ -2,7 +2,7 @@
 
 A text's UTF-8 bytes, padded with zero bytes to a positive multiple of 64, are the unsigned 8-bit samples of a mono WAV file, kept in a binary
 column. Features are computed from the samples that are read back: polyphase resampling (up 3, down 4), log-mel filterbanks
-over half-overlapping frames, and segments by energy with hysteresis (a segment begins above the mean and half a deviation, and
+over half-overlapping frames (the last one filled up with silence), and segments by energy with hysteresis (a segment begins above the mean and half a deviation, and
 ends below the mean). Each segment has a time span and a tensor of fixed shape, its log-mel values averaged over PARTS equal parts of
 its time. Samples are resampled in blocks, so memory follows the frames, a fraction of the samples.
 
@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, FloatType, LongType, StringType, StructField, StructType
 
 from topicloom.llm.common import bounded_batches, table
 
@@ -89,8 +90,8 @@ def log_mel(samples: bytes) -> np.ndarray:
         x = (raw[at : at + BLOCK].astype(np.float32) - 128) / 128
         y = np.concatenate([left, resample(x, before)])
         before = np.concatenate([before, x])[-TAPS:]
-        if at + BLOCK >= len(raw) and len(y) < FRAME and not rows:
-            y = np.pad(y, (0, FRAME - len(y)))
+        if at + BLOCK >= len(raw):  # the last frame is filled up with silence
+            y = np.pad(y, (0, FRAME - len(y) if len(y) < FRAME else (FRAME - len(y)) % HOP))
         n = max(0, (len(y) - FRAME) // HOP + 1)
         frames = np.lib.stride_tricks.sliding_window_view(y, FRAME)[: n * HOP : HOP] if n else np.zeros((0, FRAME), np.float32)
         for f in range(0, n, 2048):
@@ -156,17 +157,24 @@ def _to_features(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["key", "n_bytes", *out, "segments"])
 
 
-FEATURES = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, segments array<struct<start_s:double,stop_s:double,tensor:array<float>>>"
+#: The tensors' fixed shape stands in the metadata of their field, as Spark's arrays have none.
+SEGMENT = StructType([StructField("start_s", DoubleType()), StructField("stop_s", DoubleType()), StructField("tensor", ArrayType(FloatType()), metadata={"shape": list(SHAPE)})])
+MEDIA = [StructField("n_bytes", LongType()), StructField("media", BinaryType())]
+FEATURES = [
+    StructField("n_bytes", LongType()), StructField("payload_bytes", LongType()), StructField("payload_sha256", StringType()), StructField("tail_crc32", LongType()),
+    StructField("media_bytes", LongType()), StructField("media_sha256", StringType()), StructField("feature", StringType()), StructField("segments", ArrayType(SEGMENT)),
+]
 
 
-def _mapped(df: DataFrame, key: str, function, schema: str) -> DataFrame:
+def _mapped(df: DataFrame, key: str, function, fields: list[StructField]) -> DataFrame:
     bounded_batches(df.sparkSession)
-    return df.mapInArrow(function, f"key {dict(df.dtypes)['key']}, {schema}").withColumnRenamed("key", key)
+    schema = StructType([StructField("key", df.schema["key"].dataType), *fields])
+    return df.mapInArrow(function, schema).withColumnRenamed("key", key)
 
 
 def media_column(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, media): the WAV file of each text."""
-    return _mapped(docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")), key, _to_media, "n_bytes long, media binary")
+    return _mapped(docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")), key, _to_media, MEDIA)
 
 
 def audio_features(media: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -185,4 +193,5 @@ def tensors(found: list[list[float]]) -> pa.FixedShapeTensorArray:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_features(table(spark, sf_dir, "documents")).drop("segments")
+    """The contract's columns and, after them, the segments themselves: time spans and tensors."""
+    return media_features(table(spark, sf_dir, "documents"))
