@@ -4,7 +4,7 @@ A-Z are lower-cased; words are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+. A window is `win
 fewer words, but not none, is one window. A document word inside an occurrence of a window is hit.
 
 Steps. (1) Each window is a set of placed shingles (up to three words). Documents are read once; a broadcast of the
-benchmark's shingle hashes, dealt into blocks of bounded size, keeps the few positions that match, with the words around them.
+benchmark's distinct shingle hashes (in blocks of bounded size, a pass each, if there are very many) keeps the few positions that match, with the words around them.
 (2) Shingles are ordered by how often they occur in the documents; containment of the whole window needs its rarest shingle,
 so that is the prefix, and windows with a shingle that occurs nowhere are gone. (3) Positions of prefix shingles give window
 starts; those that don't fit into the document fall to the length and positional bounds. (4) The words of the
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from topicloom.llm.common import alnum_words, cut, drop_ids, table, text_digest
 
 WINDOW, SHINGLE = 10, 3
-#: Shingles of the benchmark that are broadcast at once; more are dealt into blocks, each with its own pass.
-BLOCK_SHINGLES = 1_000_000
+#: Distinct shingles of the benchmark that are broadcast at once; more are dealt into blocks, each with its own pass.
+BLOCK_SHINGLES = 2_000_000
 
 
 def grams(words: Column, size: Column, k: int) -> Column:
@@ -41,12 +41,15 @@ def item_windows(items: DataFrame, key: str, text: str, window: int) -> DataFram
     return words.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, window))).alias("words")).select("item", F.array_join("words", " ").alias("win"), "words").distinct()
 
 
-def _matches(docs: DataFrame, shingles: DataFrame, k: int, window: int, sentinel: bool) -> DataFrame:
-    """Positions of docs(row, w, n) with a shingle of the benchmark and the words around them; with `sentinel` also one row without a shingle for each document."""
+def _matches(docs: DataFrame, shingles: DataFrame, ks: list[int], window: int, sentinel: bool) -> DataFrame:
+    """Positions of docs(row, key, w, n) with one of shingles(h), of any length in ks, and the words around them; with `sentinel` also one row without a shingle for each document."""
     first = F.array(F.lit(None).cast("bigint")) if sentinel else F.array().cast("array<bigint>")
-    at = docs.withColumn("grams", F.concat(first, grams(F.col("w"), F.col("n"), k))).select("row", "key", "n", "w", F.posexplode("grams").alias("pos", "h"))
-    known = F.broadcast(shingles.where(F.col("k") == k).select("h").distinct().withColumn("hit", F.lit(True)))
-    pos = F.col("pos") - int(sentinel)
+    at = docs.withColumn("grams", F.concat(first, *[grams(F.col("w"), F.col("n"), k) for k in ks])).select("row", "key", "n", "w", F.posexplode("grams").alias("pos", "h"))
+    known = F.broadcast(shingles.select("h").withColumn("hit", F.lit(True)))  # at most BLOCK_SHINGLES and a few
+    at_, pos, before = F.col("pos") - int(sentinel), F.col("pos") - int(sentinel), F.lit(0)
+    for k in ks[:-1]:  # places of shingles of the next length come after those of this one
+        before = before + F.greatest(F.col("n") - (k - 1), F.lit(0))
+        pos = F.when(at_ >= before, at_ - before).otherwise(pos)
     near = F.greatest(pos - (window - 1), F.lit(0))
     return (
         at.join(known, "h", "left")
@@ -62,31 +65,30 @@ def occurrences(docs: DataFrame, windows: DataFrame, window: int, shingle: int)
         .withColumn("size", F.size("words")).withColumn("k", F.least(F.lit(shingle), F.col("size")))
         .select("win", "words", "size", "k", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("size") - F.col("k") + 1), lambda i: F.xxhash64(F.slice("words", i, F.col("k"))))).alias("offset", "h"))
     )
-    facts = placed.groupBy("k").count().collect()  # a row for each shingle length, at most `shingle`
+    shingles = cut(placed.select("k", "h").distinct())
+    facts = shingles.groupBy("k").count().collect()  # a row for each shingle length, at most `shingle`
+    ks = sorted(r["k"] for r in facts) or [shingle]
     blocks = max(1, -(-sum(r["count"] for r in facts) // BLOCK_SHINGLES))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("win"), F.lit(blocks)))
-    docs = docs.select("key", alnum_words(F.col("text")).alias("w")).select(F.monotonically_increasing_id().alias("row"), "key", "w", F.size("w").alias("n"))
-    seen = []
-    for block in range(blocks):
-        for k in sorted(r["k"] for r in facts) or [shingle]:
-            seen.append(_matches(docs, placed.where(F.col("block") == block), k, window, not seen))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "key", "text")
+    if blocks > 1:
+        rows = cut(rows)  # so that all passes number the rows alike
+    rows = rows.select("row", "key", alnum_words(F.col("text")).alias("w")).withColumn("n", F.size("w"))
+    seen = [_matches(rows, shingles.where(F.pmod(F.xxhash64("h"), F.lit(blocks)) == block), ks, window, not block) for block in range(blocks)]
     seen = cut(reduce(DataFrame.union, seen))
-    found = []
-    for block in range(blocks):
-        own = placed.where(F.col("block") == block)
-        often = seen.where("pos is not null").groupBy("h").agg(F.count("*").alias("often"))
-        rare = own.join(often, "h", "left").groupBy("win", "words", "size").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "offset", "h")).alias("rare"))
-        prefix = rare.where("rare.often > 0").select("win", "words", "size", "rare.offset", "rare.h")
-        start = F.col("pos") - F.col("offset")
-        found.append(
-            seen.where("pos is not null")
-            .join(F.broadcast(prefix), "h")
-            .withColumn("start", start)
-            .where((F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.col("n")))
-            .where(F.slice("around", F.col("start") - F.col("near") + 1, F.col("size")) == F.col("words"))
-            .select("row", "start", "size", "win")
-        )
-    return seen.where("pos is null").select("row", "key", "n"), reduce(DataFrame.union, found).distinct()
+    often = seen.where("pos is not null").groupBy("h").agg(F.count("*").alias("often"))
+    rare = placed.join(often, "h", "left").groupBy("win", "words", "size").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "offset", "h")).alias("rare"))
+    prefix = cut(rare.where("rare.often > 0").select("win", "words", "size", "rare.offset", "rare.h"))
+    few = prefix.limit(BLOCK_SHINGLES // 10 + 1).count() <= BLOCK_SHINGLES // 10  # windows carry their words
+    start = F.col("pos") - F.col("offset")
+    found = (
+        seen.where("pos is not null")
+        .join(F.broadcast(prefix) if few else prefix, "h")
+        .withColumn("start", start)
+        .where((F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.col("n")))
+        .where(F.slice("around", F.col("start") - F.col("near") + 1, F.col("size")) == F.col("words"))
+        .select("row", "start", "size", "win")
+    )
+    return seen.where("pos is null").select("row", "key", "n"), found.distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
