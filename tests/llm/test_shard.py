@@ -1,6 +1,8 @@
+import struct
 import zlib
 
 import pytest
+import xxhash
 
 from topicloom.llm import op9_shard as op
 
@@ -47,7 +49,7 @@ def test_one_more_shard_moves_few_rows(spark):
 def test_every_place_has_an_owner(spark):
     for open_shards in ([0], [1, 5], list(range(8))):
         ring = op.ring(spark, 8, 64, open_shards).collect()
-        assert sorted(r["bin"] for r in ring) == list(range(op.BINS))
+        assert sorted(r["bin"] for r in ring) == list(range(1 << op.bits_of(8, 64)))
         assert {r["shard"] for r in ring} == set(open_shards)
 
 
@@ -59,3 +61,72 @@ def test_balance_with_a_repeated_row(spark, hot):
     assert len(rows) == 12_000
     check(rows, 8, 0.06 * total / 8)
     assert sorted(map(str, rows)) == sorted(map(str, op.shard(docs.repartition(5)).collect()))
+
+
+def plain_shards(texts, shards, vnodes, slack):
+    """The shard of each text: places in the order of the ring, large ones first, each shard until it is full and the rest clockwise to the next that isn't; the bound rises if nothing fits."""
+    bits = op.bits_of(shards, vnodes)
+    number = lambda x, seed: xxhash.xxh64_intdigest(struct.pack("<q", x), seed)
+    nodes = {}
+    for s in range(shards):
+        for v in range(vnodes):
+            b = number(v, number(s, 42)) >> (64 - bits)
+            nodes[b] = min(s, nodes.get(b, s))
+    own = {}
+    for s in range(shards):
+        for v in range(vnodes):
+            own.setdefault(number(v, number(s, 42)) >> (64 - bits), set()).add(s)
+    place = [xxhash.xxh64_intdigest((t or "").encode(), 42) >> (64 - bits) for t in texts]
+    weight = {}
+    for b, t in zip(place, texts):
+        weight[b] = weight.get(b, 0) + len((t or "").encode()) + 1
+    share = sum(weight.values()) / shards
+    bound, load, found = share * (1 + slack), dict.fromkeys(range(shards), 0), {}
+    for large in (True, False):
+        left, is_open = sorted(b for b in weight if (weight[b] > op.LARGE * share) == large), set(range(shards))
+        while left:
+            tried, missed = {s: [] for s in is_open}, []
+            for b in left:
+                at = b
+                while not (own.get(at, set()) & is_open):
+                    at = (at + 1) % (1 << bits)
+                tried[min(own[at] & is_open)].append(b)
+            for s, bs in tried.items():
+                room = bound - load[s]
+                for i, b in enumerate(bs):
+                    if sum(weight[x] for x in bs[: i + 1]) <= room:
+                        found[b] = s
+                        load[s] += weight[b]
+                    else:
+                        missed.append((weight[b], b))
+                        is_open.discard(s)
+            left = sorted(b for _, b in missed)
+            if left and not is_open:
+                bound = max(bound + share / 100, min(load.values()) + min(missed)[0])
+                is_open = {s for s in range(shards) if load[s] < bound}
+    return [found[b] for b in place]
+
+
+@pytest.mark.parametrize("shards, vnodes, slack", [(3, 5, 0.005), (8, 64, 0.005), (5, 2, 0.3)])
+def test_against_a_plain_ring(spark, shards, vnodes, slack):
+    texts = [None, ""] + [f"text {i} " + "x" * (i * i % 97) for i in range(700)] + ["long " * 40] * 3
+    docs = spark.createDataFrame([(i if i % 5 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    want = {}
+    for t, s in zip(texts, plain_shards(texts, shards, vnodes, slack)):
+        want.setdefault((len((t or "").encode()) + 1, zlib.crc32((t or "").encode())), []).append(s)
+    got = {}
+    for r in op.shard(docs, shards=shards, vnodes=vnodes, slack=slack).collect():
+        got.setdefault((r["size"], r["text_crc32"]), []).append(r["shard"])
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_shipped_slack_bounds_the_sums_and_the_movement(spark):
+    docs = spark.range(40_000).selectExpr("id as doc_id", "concat('text ', id, repeat('y', cast(id % 50 as int))) as text")
+    moved = {}
+    for shards in (8, 9):
+        rows = op.shard(docs, shards=shards).collect()
+        sums = [sum(r["size"] for r in rows if r["shard"] == s) for s in range(shards)]
+        assert max(sums) <= (1 + op.SLACK) * sum(sums) / shards + 1
+        moved[shards] = {r["doc_id"]: r["shard"] for r in rows}
+    share = sum(moved[8][i] != moved[9][i] for i in moved[8]) / len(moved[8])
+    assert 1 / 9 * 0.9 < share < 0.5

@@ -1,12 +1,12 @@
 """Sharding by a consistent-hash ring with virtual nodes and bounded loads, with DataFrame functions only.
 
 The law is `bytes`: no shard holds more than (1 + slack) of an even share. A row's place on the ring is the hash of its text, so
-equal texts stay together. Each shard owns the arcs that end at its virtual nodes. Rows are summed into BINS places of the ring; a
+equal texts stay together. Each shard owns the arcs that end at its virtual nodes. Rows are summed into places of the ring; a
 shard takes its places in the order of the ring, those of over LARGE of a share before all others, until it is full, and what overflows goes on clockwise to the next shard that isn't.
 A place whose weight passes half a shard (one text that makes up much of the table) is dealt out by row id, and rows that share id and text by their number. If, in a small
 table of large documents, some place fits nowhere, the bound rises until it fits.
 
-Only sums over places of the ring are ordered or moved in the rounds, BINS rows and a few, however large the table is; slots
+Only sums over places of the ring are ordered or moved in the rounds, PLACES rows for each virtual node and a few, however large the table is; slots
 come from counts by cell, a few hundred rows or a few thousandths of the table each.
 
 Defined results: a null text has size 1 and the place of an empty one; repeated rows get a slot each; null ids are allowed; an empty table
@@ -25,23 +25,30 @@ from topicloom.llm.common import cut, table, utf8
 SHARDS, VNODES, SLACK = 8, 64, 0.005
 #: Of an even share: what is placed before the rest, what is split, and into which parts.
 LARGE, SPLIT, PART = 0.02, 0.5, 0.125
-BITS = 14
-BINS = 1 << BITS
+#: Places of the ring: at least 2 ** BITS, and PLACES for each virtual node.
+BITS, PLACES = 14, 32
 #: A table's rows are numbered in about so many cells beyond the bins.
 CELLS, CELL_ROWS = 8192, 256
 
 
+def bits_of(shards: int, vnodes: int) -> int:
+    """The ring's places, as a power of two."""
+    return max(BITS, (PLACES * shards * vnodes - 1).bit_length())
+
+
 def ring(spark: SparkSession, shards: int, vnodes: int, open_shards: list[int]) -> DataFrame:
     """(bin, shard): the owner of each place, going clockwise to the next virtual node of an open shard."""
+    bits = bits_of(shards, vnodes)
+    top_bin = (1 << bits) - 1
     nodes = (
         spark.range(shards * vnodes)
-        .select(F.floor(F.col("id") / vnodes).cast("int").alias("shard"), F.shiftrightunsigned(F.xxhash64(F.floor(F.col("id") / vnodes), F.pmod("id", F.lit(vnodes))), 64 - BITS).cast("int").alias("bin"))
+        .select(F.floor(F.col("id") / vnodes).cast("int").alias("shard"), F.shiftrightunsigned(F.xxhash64(F.floor(F.col("id") / vnodes), F.pmod("id", F.lit(vnodes))), 64 - bits).cast("int").alias("bin"))
         .where(F.col("shard").isin(open_shards))
         .groupBy("bin").agg(F.min("shard").alias("shard"))
     )
     before = F.lag("bin").over(Window.orderBy("bin"))  # at most shards x vnodes rows
     arcs = nodes.withColumn("low", before).withColumn("first", F.coalesce(F.col("low") + 1, F.lit(0)))
-    last = nodes.agg(F.max("bin").alias("top"), F.min_by("shard", "bin").alias("shard")).where(F.col("top") < BINS - 1).select("shard", F.explode(F.sequence(F.col("top") + 1, F.lit(BINS - 1))).alias("bin"))
+    last = nodes.agg(F.max("bin").alias("top"), F.min_by("shard", "bin").alias("shard")).where(F.col("top") < top_bin).select("shard", F.explode(F.sequence(F.col("top") + 1, F.lit(top_bin))).alias("bin"))
     return arcs.select("shard", F.explode(F.sequence("first", "bin")).alias("bin")).union(last).select("bin", "shard")
 
 
@@ -93,7 +100,7 @@ def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
     slim = docs.select(
         F.col(key).alias("key"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("crc"),
         F.xxhash64(body).alias("h"), F.monotonically_increasing_id().alias("row"),
-    ).withColumn("bin", F.shiftrightunsigned("h", 64 - BITS).cast("int"))
+    ).withColumn("bin", F.shiftrightunsigned("h", 64 - bits_of(shards, vnodes)).cast("int"))
     slim = cut(slim)
     bins = cut(slim.groupBy("bin").agg(F.sum("size").alias("weight"), F.count("*").alias("n")))
     total, rows = bins.agg(F.coalesce(F.sum("weight"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -108,7 +115,7 @@ def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
     offset = F.sum("n").over(Window.partitionBy("shard").orderBy("bin", "cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
     starts = sums.join(placed, ["bin", "sub"]).select("bin", "cell", "shard", offset.alias("offset"))
     rank = F.row_number().over(Window.partitionBy("bin", "cell").orderBy("h", "key", "size", "crc", "row"))
-    found = cells.withColumn("rank", rank).join(F.broadcast(starts), ["bin", "cell"])  # at most BINS + CELLS + shards rows
+    found = cells.withColumn("rank", rank).join(F.broadcast(starts), ["bin", "cell"])  # at most a row for each place, CELLS and a few
     return found.select(F.col("key").alias(key), "size", F.col("crc").alias("text_crc32"), "shard", (F.col("offset") + F.col("rank") - 1).cast("long").alias("slot"))
 
 
