@@ -69,10 +69,10 @@ def occurrences(docs: DataFrame, windows: DataFrame, window: int, shingle: int)
     facts = shingles.groupBy("k").count().collect()  # a row for each shingle length, at most `shingle`
     ks = sorted(r["k"] for r in facts) or [shingle]
     blocks = max(1, -(-sum(r["count"] for r in facts) // BLOCK_SHINGLES))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "key", "text")
     if blocks > 1:
-        rows = cut(rows)  # so that all passes number the rows alike
-    rows = rows.select("row", "key", alnum_words(F.col("text")).alias("w")).withColumn("n", F.size("w"))
+        docs = cut(docs.select("key", "text"))  # so that all passes number the rows alike
+    # the row number, which isn't deterministic, also keeps Spark from splitting the text again for each shingle
+    rows = docs.select("key", alnum_words(F.col("text")).alias("w")).select(F.monotonically_increasing_id().alias("row"), "key", "w", F.size("w").alias("n"))
     seen = [_matches(rows, shingles.where(F.pmod(F.xxhash64("h"), F.lit(blocks)) == block), ks, window, not block) for block in range(blocks)]
     seen = cut(reduce(DataFrame.union, seen))
     often = seen.where("pos is not null").groupBy("h").agg(F.count("*").alias("often"))
