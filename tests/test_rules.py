@@ -2,6 +2,7 @@
 
 import random
 import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -33,6 +34,14 @@ def test_casefold_and_white_space(spark):
     assert got == [re.sub(r"\s+", " ", t or "").strip().casefold() for (t,) in rows]
 
 
+def test_casefold_of_all_letters(spark):
+    """Each assigned code point, alone and between others, as Python's casefold has it."""
+    letters = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) not in ("Cn", "Co")]
+    texts = letters + ["Aß" + c + "ΟΔΟΣ ς" for c in letters if c.casefold() != c.lower()]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4).select("t", text.casefold(F.col("t")).alias("f")).collect()
+    assert len(got) == len(texts) and [r["t"] for r in got if r["f"] != r["t"].casefold()] == []
+
+
 def test_nearest_ancestor_climbs_the_id(spark):
     t = topics(spark, ("A", None, "a"), ("A.B", "A", "b"), ("A.B.C1", "A", "moved"))
     s = statements(spark, *[{"source_node_id": x} for x in ("A.B.C1.D.E", "A.B.C2", "A.BB", "Z", None, "A.B")])
@@ -51,7 +60,13 @@ def test_first_and_best(spark):
 
 
 def test_quarantine_reasons_in_order(spark):
-    cases = [("build", "no_live_target", "no_live_target"), ("build", "exact_child_title", "builder_only"), ("published", "explicit_node_alias_ancestor", "ancestor_or_parent_fallback"), ("published", "campaign_parent", "ancestor_or_parent_fallback"), ("published", "single_affected_node", "single_affected_node"), ("reviewed", "explicit_node_alias", "not_allowed_for_stage"), ("published", "explicit_node_alias", None), ("reviewed", "campaign_existing_node", None)]
+    build, reviewed, published = win.STAGES
+    fallback = "missing_or_unresolved_specific_container"
+    cases = [
+        (build, "no_live_target", "no_live_target"), (build, "campaign_exact_sibling_title", "builder_only_not_independently_reviewed"), (published, "explicit_node_alias_ancestor", fallback), (published, "campaign_parent_fallback", fallback),
+        (published, "campaign_single_affected_node", "affected_node_is_not_a_confirmed_primary_owner"), (published, "campaign_preferred_home", "placement_not_in_public_allowlist"), (reviewed, "campaign_preferred_home", None),
+        (published, "explicit_node_alias", None), (reviewed, "campaign_existing_node", None),
+    ]
     got = spark.createDataFrame(cases, "stage string, mapping_method string, want string").withColumn("got", merges.quarantine_reason())
     assert got.where("not (got <=> want)").count() == 0
 
@@ -61,8 +76,46 @@ def test_an_alias_to_nowhere_is_an_error(spark):
     aliases = spark.createDataFrame([("A.B", "Z")], "source_node_id string, target_node_id string")
     with pytest.raises(Exception, match="alias target"):
         merges.relocate_aliased(s, aliases, topics(spark, ("A", None, "a"))).collect()
-    with pytest.raises(ValueError, match="layer"):
-        merges.merge_layer(s, s, topics(spark, ("A", None, "a")), accepted=False)
+
+
+def test_a_layer_must_be_what_it_declares(spark):
+    s = statements(spark, {"source_node_id": "A", "title": "t"})
+    t, now = topics(spark, ("A", None, "a")), s.limit(0).withColumn("topic_id", F.lit("A"))
+    for status, mutated, n, why in (("PUBLISHED", False, 1, "status"), (merges.LAYER_STATUS[1], True, 1, "tree"), (merges.LAYER_STATUS[1], None, 1, "tree"), (merges.LAYER_STATUS[1], False, 2, "declares"), (None, False, 1, "status")):
+        with pytest.raises(ValueError, match=why):
+            merges.merge_layer(now, s, t, status, mutated, n)
+    assert merges.merge_layer(now, s, t, merges.LAYER_STATUS[1], False, 1).first()["outcome"] == "added"
+
+
+def test_relocated_rows_come_last_whatever_their_order(spark):
+    s = statements(spark, {"source_node_id": "A.B", "title": "t", "latex": "moved"}, {"source_node_id": "A", "title": "t", "latex": "there"})
+    s = s.withColumn("topic_id", F.col("source_node_id")).withColumn("mapping_method", F.lit("exact_topic_id")).withColumn("ord", F.when(F.col("latex") == "there", 5 * 10**12).otherwise(F.col("ord")))
+    s = s.withColumn("latex", F.rpad("latex", 5, " "))
+    got = merges.relocate_aliased(s, spark.createDataFrame([("A.B", "A")], "source_node_id string, target_node_id string"), topics(spark, ("A", None, "a"), ("A.B", "A", "b"))).collect()
+    assert [(r["latex"], r["ord"], r["first_ord"]) for r in got] == [("there", 5 * 10**12, 5 * 10**12)]
+
+
+def test_a_repeated_topic_id_stops_the_export(spark):
+    t = topics(spark, ("A", None, "a"), ("A.B", "A", "b"))
+    domains = spark.createDataFrame([("A", "Domain")], "domain_id string, display_name string")
+    assert merges.rename_export(t, place.breadcrumbs(t), domains).count() == 3
+    with pytest.raises(Exception, match="repeats"):
+        merges.rename_export(t.union(t.where("depth = 1")), place.breadcrumbs(t), domains).collect()
+
+
+def test_versions_and_compaction(spark, tmp_path):
+    from topicloom.streaming import issues as log
+
+    rows = [(1, "i", "submitted", "2026-01-01 00:00:00"), (2, "i", "edited", "2026-01-02 00:00:00"), (3, "i", "resolved", "2026-01-03 00:00:00"), (4, "j", "submitted", "2026-01-01 00:00:00"), (5, "i", "edited", "2025-12-31 00:00:00"), (6, "j", "resolved", "2026-02-01 00:00:00"), (7, "j", "edited", "2026-01-15 00:00:00")]
+    events = spark.createDataFrame(rows, "event_id long, issue_id string, action string, at string").selectExpr("event_id", "issue_id", "action", "cast(at as timestamp) created_at")
+    write = log.upsert_state(str(tmp_path), compact=3)
+    for n in range(7):
+        write(events.where(f"event_id = {n + 1}"), n)
+    write(events.where("event_id = 7"), 6)  # delivered again
+    got = sorted(map(tuple, log.read_state(spark, str(tmp_path)).collect()))
+    assert got == sorted(map(tuple, log.state(events).select("issue_id", "status", "updated_at", "last_event_id", "n_events", "version", "opened_at").collect()))
+    assert {r[0]: (r[1], r[5]) for r in got} == {"i": ("resolved", 3), "j": ("resolved", 2)}
+    assert len(list(tmp_path.glob("upto=*"))) == 2
 
 
 def test_delimiters_of_backslash_runs(spark):
@@ -110,6 +163,7 @@ def test_dollars_and_orphans(spark):
 def test_hash_is_blind_to_order_and_the_edited_field(spark):
     t = topics(spark, *[(f"A.{i}", "A", f"t{i}") for i in range(50)])
     h = lambda df: agg.protected_hash(df, "title").first()[0]
+    assert agg.protected_hash(t, "title", batch=4).first()[0] == agg.protected_hash(t.repartition(3), "title", batch=4).first()[0] != h(t)
     assert h(t) == h(t.orderBy(F.desc("pos")).repartition(5).withColumn("title", F.lit("other"))) != h(t.where("pos > 0"))
 
 
@@ -119,6 +173,9 @@ def test_shards_replace_whole_domains(spark, tmp_path):
     src.write_chapter_shards(rows, path)
     src.write_chapter_shards(rows.where("chapter_id = 'c1'"), path)
     assert sorted(r["chapter_id"] for r in spark.read.json(path).collect()) == ["c1", "c3"]
+    counts = src.write_chapter_shards(spark.read.json(path), path)  # rows that are read from the path itself
+    assert sorted((r["domain_id"], r["chapter_slug"], r["topics"]) for r in counts.collect()) == [("d1", "c1", 1), ("d2", "c3", 1)]
+    assert sorted(r["chapter_id"] for r in spark.read.json(path).collect()) == ["c1", "c3"]
     with pytest.raises(ValueError, match="shards already"):
         src.write_chapter_shards(rows.withColumn("lazy_content", F.lit(True)), path)
 

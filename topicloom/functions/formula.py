@@ -5,18 +5,52 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from topicloom.functions.repair import repair
 
-# The fields that hold formulas, reasons, marks of generated text, and one macro with its replacement.
+# The fields that hold formulas, marks of generated text, what makes a text a formula or shows that it is delimited, and one macro with its replacement.
 FORMULA_FIELDS = ("statement_latex", "assumptions_latex", "conclusion_latex", "equivalent_formulations_latex", "nonasymptotic_bound_latex", "epsilon_complexity_latex", "symbol_latex")
 ARTEFACT = r"(?i)Need (?:final|regenerate)|END ANALYSIS|channel (?:final|switch)"
+FORMULA_SIGNS = r"\\[A-Za-z]+|[_^][{A-Za-z0-9\\]|[{}]|[=<>≤≥∈∉⊂⊆⊃⊇±∞∑∏]"
+DELIMITED = r"(?<!\\)\\\(|(?<!\\)\\\[|\\begin\s*\{"
 RESTRICTION = (r"\mathbin{\vrule height 1.4ex depth -0.3ex width 0.07ex\vrule height 0.07ex depth -0.02ex width 0.8ex}", r"\mathbin{\restriction}")
 
 
+def _fields(value: Column, kind: DataType, name: str = "") -> list[Column]:
+    """Arrays of (field, value) structs for what a value of some type holds under the formula keys, at any nesting."""
+    if isinstance(kind, StructType):
+        return [x for f in kind.fields for x in _fields(value.getField(f.name), f.dataType, f.name)]
+    if isinstance(kind, MapType):
+        return [*_fields(F.map_values(value), ArrayType(kind.valueType), name)]
+    if isinstance(kind, ArrayType) and not isinstance(kind.elementType, StringType):
+        inner = lambda x: F.concat(*_fields(x, kind.elementType, name)) if _fields(x, kind.elementType, name) else F.array().cast(_PAIR)
+        return [F.flatten(F.transform(F.coalesce(value, F.array()), inner))] if _holds(kind) else []
+    if name not in FORMULA_FIELDS or not (isinstance(kind, StringType) or isinstance(kind, ArrayType)):
+        return []
+    return [F.transform(value if isinstance(kind, ArrayType) else F.array(value), lambda x: F.struct(F.lit(name).alias("field"), x.alias("value")))]
+
+
+def _holds(kind: DataType, name: str = "") -> bool:
+    if isinstance(kind, StructType):
+        return any(_holds(f.dataType, f.name) for f in kind.fields)
+    if isinstance(kind, (ArrayType, MapType)):
+        return _holds(kind.elementType if isinstance(kind, ArrayType) else kind.valueType, name)
+    return isinstance(kind, StringType) and name in FORMULA_FIELDS
+
+
+def formula_fields(statements: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., field, value): every text under a formula key, in columns, structs, lists and maps at any nesting; nulls and blanks are dropped."""
+    found = [x for f in statements.schema.fields if f.name not in keys for x in _fields(F.col(f.name), f.dataType, f.name)]
+    parts = [F.coalesce(x.cast(_PAIR), F.array().cast(_PAIR)) for x in found] or [F.array().cast(_PAIR)]
+    return statements.select(*keys, F.explode(F.concat(*parts)).alias("x")).select(*keys, "x.field", "x.value").where(F.trim("value") != "")
+
+
+_PAIR = "array<struct<field:string,value:string>>"
+
+
 def _counts(text: Column, bracket: str) -> dict[str, Column]:
     named = {"open_inline": "(", "close_inline": ")", "open_display": "[", "close_display": "]"}
     out = {k: F.regexp_count(text, F.lit(bracket + re.escape(v))) for k, v in named.items()}
@@ -30,18 +64,28 @@ def delimiters(text: Column) -> dict[str, Column]:
     return out | {"inline_dollars": F.regexp_count(text, F.lit(r"(?<!\\)\${1,2}")) - out["display_dollars"]}
 
 
+#: All delimiters in one scan: brackets after an odd run of backslashes, and dollars after none.
+DELIMITERS = r"(?<!\\)(?:\\\\)*\\[()\[\]]|(?<!\\)\${1,2}"
+
+
 def audit(text: Column) -> Column:
-    """Reasons why a field is malformed, in a fixed order; an empty array if it isn't."""
-    d = delimiters(text)
-    reasons = {
-        "unbalanced_inline_delimiters": d["open_inline"] != d["close_inline"],
-        "unbalanced_display_delimiters": d["open_display"] != d["close_display"],
-        "unbalanced_inline_dollars": d["inline_dollars"] % 2 != 0,
-        "unbalanced_display_dollars": d["display_dollars"] % 2 != 0,
-        "control_character_in_formula": text.rlike(r"[\t\x00]"),
-        "generation_artifact_in_formula": text.rlike(ARTEFACT),
-    }
-    return F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in reasons.items()]), lambda x: x.isNotNull())
+    """Reasons why a field is malformed, in a fixed order; an empty array if it isn't. A text is scanned once for its delimiters."""
+
+    def reasons(found: Column) -> Column:
+        n = lambda end: F.size(F.filter(found, lambda x: F.endswith(x, F.lit(end))))
+        dollars = lambda both: F.size(F.filter(found, lambda x: x == both))
+        named = {
+            "unbalanced_inline_delimiters": n("(") != n(")"),
+            "unbalanced_display_delimiters": n("[") != n("]"),
+            "unbalanced_inline_dollars": dollars("$") % 2 != 0,
+            "unbalanced_display_dollars": dollars("$$") % 2 != 0,
+            "control_character_in_formula": text.rlike(r"[\t\x00]"),
+            "generation_artifact_in_formula": text.rlike(ARTEFACT),
+        }
+        return F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in named.items()]), lambda x: x.isNotNull())
+
+    scanned = F.when(F.contains(text, F.lit("\\")) | F.contains(text, F.lit("$")), F.regexp_extract_all(text, F.lit(DELIMITERS), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    return F.transform(F.array(scanned), reasons)[0]
 
 
 def balance(text: Column) -> dict[str, Column]:
@@ -81,7 +125,7 @@ def latex_class(text: Column, display: bool = False) -> Column:
     return (
         F.when(F.coalesce(raw, F.lit("")) == "", "empty")
         .when(~balance(raw)["balanced"], "source_error")
-        .when(tex.rlike(r"(?<!\\)\\\(|(?<!\\)\\\[|\\begin\s*\{"), "has_delimiters")
-        .when(~tex.rlike(r"\\[A-Za-z]+|[_^][{A-Za-z0-9\\]|[{}]|[=<>≤≥∈∉⊂⊆⊃⊇±∞∑∏]"), "plain")
+        .when(tex.rlike(DELIMITED), "has_delimiters")
+        .when(~tex.rlike(FORMULA_SIGNS), "plain")
         .otherwise("wrapped_display" if display else "wrapped_inline")
     )

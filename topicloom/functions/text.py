@@ -2,19 +2,31 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 UNIT = "\u001f"
 #: White space as Python's \s has it: Java's Unicode class and the four information separators.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 
 
-@F.pandas_udf(StringType())
-def casefold(texts: pd.Series) -> pd.Series:
-    return texts.str.casefold()
+@cache
+def _folds() -> dict[str, str]:
+    """The letters that stay the same in lower case but not casefolded (final sigma, ligatures, Cherokee and others), found by that rule."""
+    letters = (chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000)
+    return {c: c.casefold() for c in letters if c == c.lower() != c.casefold()}
+
+
+def casefold(text: Column) -> Column:
+    """Casefolded text, by built-in functions: lower case, sharp s and final sigma replaced; texts that hold any other letter of _folds() go letter by letter."""
+    low = F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+    rest = {c: to for c, to in _folds().items() if c not in "ßς"}
+    table = F.str_to_map(F.lit("\x01".join(f"{c}\x02{to}" for c, to in rest.items())), F.lit("\x01"), F.lit("\x02"))
+    each = F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    plain = F.char_length(F.translate(low, "".join(rest), "")) == F.char_length(low)  # looks each letter up; a pattern of as many letters would try them in turn
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).when(plain, low).otherwise(each)
 
 
 def fold_space(text: Column) -> Column:
@@ -22,7 +34,7 @@ def fold_space(text: Column) -> Column:
 
 
 def normalize_text(text: Column) -> Column:
-    """Null as empty, white space to single blanks, stripped, casefolded. Spark has no casefold (it differs from lower for ß, ς and others)."""
+    """Null as empty, white space to single blanks, stripped, casefolded."""
     return casefold(fold_space(text))
 
 

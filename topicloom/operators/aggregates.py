@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicloom.functions.text import first_non_empty
-from topicloom.operators.placement import ancestors
+from topicloom.session import cut
 
 BASE = "base_statement_layer"
+# The stages whose proposals count.
+SUPPORTED = ("0809_campaign_reviewed", "0809_campaign_published")
 COUNTS = ("statements", "base", "intermediate")
-#: Batches of the order-independent hash; more for more records, so that one batch's hashes fit into a task.
-BATCHES = 1024
+#: Records of one batch of the order-independent hash.
+BATCH = 4096
 
 
 def direct_counts(topics: DataFrame, statements: DataFrame) -> DataFrame:
@@ -22,9 +26,19 @@ def direct_counts(topics: DataFrame, statements: DataFrame) -> DataFrame:
 
 
 def subtree_rollup(topics: DataFrame, statements: DataFrame) -> DataFrame:
-    """The same counts over each topic's subtree, and how many topics that has. Records are first counted by topic, then topics go to their ancestors; partial sums take care of the roots."""
-    spread = ancestors(topics).join(direct_counts(topics, statements), "topic_id")
-    return spread.groupBy(F.col("ancestor_id").alias("topic_id")).agg(*[F.sum(c).alias(c) for c in COUNTS], F.count("*").alias("topics"))
+    """The same counts over each topic's subtree, and how many topics that has. Records are counted by topic; then, from the deepest level (`depth` is the distance from the root) up,
+    the sums of children are added to their parents, so that rows shrink by level and each is cut off from those below."""
+    sums = [*COUNTS, "topics"]
+    own = cut(topics.select("topic_id", "parent_topic_id", "depth").join(direct_counts(topics, statements), "topic_id").withColumn("topics", F.lit(1).cast("long")))
+    levels: list[DataFrame] = []
+    for depth in range(own.agg(F.max("depth")).first()[0] or 0, -1, -1):
+        level = own.where(F.col("depth") == depth)
+        if levels:
+            below = levels[-1].groupBy(F.col("parent_topic_id").alias("topic_id")).agg(*[F.sum(c).alias(f"{c}_below") for c in sums])
+            level = level.join(below, "topic_id", "left").select("topic_id", "parent_topic_id", *[(F.col(c) + F.coalesce(f"{c}_below", F.lit(0))).alias(c) for c in sums])
+            level = cut(level) if depth else level
+        levels.append(level.select("topic_id", "parent_topic_id", *sums))
+    return reduce(DataFrame.union, levels).select("topic_id", *sums)
 
 
 def content_kind_counts(statements: DataFrame, by: str = "topic_id") -> DataFrame:
@@ -79,7 +93,7 @@ def modal_value(df: DataFrame, keys: list[str], value: str, order: str) -> DataF
 
 def cross_source_groups(proposals: DataFrame, least: int = 2) -> DataFrame:
     """proposals(parent, title_key, campaign, source_item_id, stage): groups of reviewed or published ones from at least `least` campaigns. Sets are collected for the survivors alone."""
-    open_ = proposals.where("stage in ('reviewed', 'published')")
+    open_ = proposals.where(F.col("stage").isin(*SUPPORTED))
     groups = open_.groupBy("parent", "title_key", "campaign").count().groupBy("parent", "title_key").agg(F.count("*").alias("n_campaigns")).where(F.col("n_campaigns") >= least)
     return open_.join(groups, ["parent", "title_key"]).groupBy("parent", "title_key").agg(F.array_sort(F.collect_set("campaign")).alias("campaigns"), F.array_sort(F.collect_set("source_item_id")).alias("items"))
 
@@ -112,11 +126,19 @@ def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def protected_hash(records: DataFrame, editable: str, batches: int = BATCHES) -> DataFrame:
-    """An order-independent SHA-256 of all records without one field: records are hashed, then sorted hashes of batches by hash, then the batches; no one task sorts all."""
-    rows = records.select(F.sha2(F.to_json(F.struct(*[c for c in records.columns if c != editable])), 256).alias("h"))
-    by_batch = rows.groupBy(F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.lit(batches)).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
-    return by_batch.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ""), 256).alias("protected_hash"))
+def protected_hash(records: DataFrame, editable: str, batch: int = BATCH) -> DataFrame:
+    """An order-independent SHA-256 of all records without one field: records are hashed and dealt by hash into a power of two of batches of about `batch`; sorted hashes of a
+    batch are hashed, and so on over batches until one is left. No task sorts more than a batch or so; equal tables give equal hashes."""
+    rows = cut(records.select(F.sha2(F.to_json(F.struct(*[c for c in records.columns if c != editable])), 256).alias("h")))
+    bits = max(0, (-(-rows.count() // batch) - 1).bit_length())
+    at = rows.withColumn("b", F.shiftrightunsigned(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), 32 - bits))
+    step = batch.bit_length() - 1
+    while True:
+        at = at.groupBy("b").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
+        if not bits:
+            break
+        at, bits = at.select((F.shiftrightunsigned("b", min(bits, step))).alias("b"), "h"), max(0, bits - step)
+    return at.agg(F.max("h").alias("protected_hash"))
 
 
 def issue_counts(issues: DataFrame, events: DataFrame) -> DataFrame:

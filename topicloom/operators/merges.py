@@ -3,36 +3,44 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicloom.functions.text import container_id, in_subtree, item_id, normalize_text
-from topicloom.operators.aggregates import BASE, cross_source_groups, modal_value, regenerated, witness_dedup
+from topicloom.operators.aggregates import BASE, SUPPORTED, cross_source_groups, modal_value, regenerated, witness_dedup
 from topicloom.operators.placement import alias_redirect, attach_nearest, live_parent, match_child_title, match_id_or_title, match_title_same_part, subtree
-from topicloom.operators.projections import normalize_statement
+from topicloom.operators.projections import normalize_statement, placement_hints
 from topicloom.operators.windows import best_stage, dedupe_best, dedupe_first, remint_colliding_ids
+from topicloom.session import cut
 
-# Which placement makes a candidate of a stage public.
-ALLOWED = {
-    "published": ("campaign_existing_node", "explicit_node_alias", "cross_source_consensus", "exact_child_title", "unique_title_same_part"),
-    "reviewed": ("campaign_existing_node", "cross_source_consensus", "exact_child_title", "unique_title_same_part"),
-}
+# Which placement makes a candidate of a stage public, and what a convergence layer may call itself.
+_BOTH = ("campaign_existing_node", "explicit_node_alias", "campaign_exact_sibling_title", "campaign_cross_source_candidate_container", "campaign_unique_same_part_title")
+ALLOWED = {"0809_campaign_published": _BOTH, "0809_campaign_reviewed": (*_BOTH, "campaign_preferred_home")}
+LAYER_STATUS = ("SHADOW_FAST_CANDIDATE_UNREVIEWED", "SHADOW_PARTIAL_FAST_CANDIDATE_UNREVIEWED")
+CONTAINER_AXIS = "textbook_candidate_topic"
 
 
 def collect_statements(layers: DataFrame, topics: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Layers attached, first-wins deduplicated and normalised; and one row of counters, computed in one pass."""
-    ranked = dedupe_first(attach_nearest(layers, topics).where("topic_id is not null"))
-    first, is_base = F.col("rn") == 1, F.col("layer_role").eqNullSafe(BASE)
-    report = attach_nearest(layers, topics).agg(F.count("*").alias("records"), F.count_if(F.col("topic_id").isNull()).alias("unmapped"), F.count_if(F.col("mapping_method") == "nearest_canonical_ancestor").alias("ancestor_mapped"))
-    kept = ranked.agg(F.count_if(first & is_base).alias("base"), F.count_if(first & ~is_base).alias("intermediate"), F.count_if(~first & is_base).alias("duplicate_base"), F.count_if(~first & ~is_base).alias("duplicate_intermediate"))
-    return normalize_statement(ranked.where(first)), report.join(kept)  # one row each
+    """Layers attached, first-wins deduplicated and normalised; and one row of eight counters."""
+    ranked = cut(dedupe_first(attach_nearest(layers, topics)))
+    placed, first, is_base = F.col("topic_id").isNotNull(), F.col("rn") == 1, F.col("layer_role").eqNullSafe(BASE)
+    counters = {
+        "records": F.lit(True), "unmapped": ~placed, "ancestor_mapped": F.col("mapping_method") == "nearest_canonical_ancestor", "attached": placed & first, "base": placed & first & is_base,
+        "intermediate": placed & first & ~is_base, "duplicate_base": placed & ~first & is_base, "duplicate_intermediate": placed & ~first & ~is_base,
+    }
+    return normalize_statement(ranked.where(placed & first)), ranked.agg(*[F.count_if(c).alias(n) for n, c in counters.items()])
+
+
+def with_title_key(rows: DataFrame) -> DataFrame:
+    return rows if "title_key" in rows.columns else rows.withColumn("title_key", normalize_text(F.col("title")))
 
 
 def without_titles(added: DataFrame, existing: DataFrame) -> DataFrame:
     """Rows whose topic has no statement of their title yet; untitled rows stay."""
-    held = existing.select("topic_id", normalize_text(F.col("title")).alias("title_key")).where("title_key <> ''")
-    return added.withColumn("title_key", normalize_text(F.col("title"))).join(held, ["topic_id", "title_key"], "left_anti")
+    held = with_title_key(existing).select("topic_id", "title_key").where("title_key <> ''")
+    return with_title_key(added).join(held, ["topic_id", "title_key"], "left_anti")
 
 
 def first_titles(rows: DataFrame, order: str = "ord") -> DataFrame:
@@ -47,33 +55,75 @@ def merge_preserved(current: DataFrame, preserved: DataFrame, topics: DataFrame)
     return remint_colliding_ids(first_titles(without_titles(old, current)).where("rn = 1").drop("rn"), current)
 
 
-def relocate_aliased(statements: DataFrame, aliases: DataFrame, topics: DataFrame) -> DataFrame:
-    """Statements whose source node is an alias move to its target, behind those already there; best-wins within each topic. A target that isn't a topic is an error, raised when the rows are read."""
+def preserved_titles(topics: DataFrame, old: DataFrame) -> DataFrame:
+    """topics(topic_id, title, structural_adjustment) with the title they had in old(topic_id, title), but for topics that a framework adjustment renamed and those whose old title is blank."""
+    had = old.select("topic_id", F.col("title").alias("_old")).dropDuplicates(["topic_id"])
+    keeps = F.coalesce(F.trim("_old"), F.lit("")) != ""
+    return topics.join(had, "topic_id", "left").withColumn("title", F.when(keeps & ~F.coalesce("structural_adjustment", F.lit(False)), F.col("_old")).otherwise(F.col("title"))).drop("_old")
+
+
+def moved_by_alias(statements: DataFrame, aliases: DataFrame, topics: DataFrame) -> DataFrame:
+    """Statements whose source node is an alias, at its target, with where they were (`relocated_from`) and `late` for those that moved. A target that isn't a topic is an error, raised when the rows are read."""
     to = aliases.select(F.col("source_node_id"), F.col("target_node_id").alias("_to"))
     known = topics.select(F.col("topic_id").alias("_to"), F.lit(True).alias("_known")).distinct()
     moved = statements.join(to, "source_node_id", "left").join(known, "_to", "left")
     checked = F.when(F.col("_to").isNotNull() & F.col("_known").isNull(), F.raise_error(F.concat(F.lit("alias target isn't a topic: "), "_to"))).otherwise(F.coalesce("_to", "topic_id"))
-    late = F.when(F.col("_to").isNotNull(), 1_000_000_000_000).otherwise(0)
-    out = moved.withColumn("relocated_from", F.when(F.col("_to").isNotNull(), F.col("topic_id"))).withColumn("topic_id", checked.cast("string")).withColumn("ord", F.col("ord") + late)
-    return dedupe_best(out.drop("_to", "_known"))
+    out = moved.withColumn("relocated_from", F.when(F.col("_to").isNotNull(), F.col("topic_id"))).withColumn("late", F.col("_to").isNotNull())
+    return out.withColumn("topic_id", checked.cast("string")).drop("_to", "_known")
 
 
-def install_revision(topics: DataFrame, revision: DataFrame, statements: DataFrame, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Replace the subtree at root by its revision. Topics; statements, those of the old subtree carried to the topic of the same id or unique title; and the (topic_id, new_topic_id, method) of old topics."""
-    old = subtree(topics, root)
-    mapped = match_id_or_title(old, revision)
-    new_topics = topics.join(old.select("topic_id"), "topic_id", "left_anti").unionByName(revision.select(*topics.columns))
-    carried = statements.join(mapped, "topic_id", "left").where("method is null or method <> 'unmapped'")
-    carried = carried.withColumn("topic_id", F.coalesce("new_topic_id", "topic_id")).select(*statements.columns)
-    return new_topics, dedupe_best(carried), mapped
+def relocate_aliased(statements: DataFrame, aliases: DataFrame, topics: DataFrame) -> DataFrame:
+    """moved_by_alias(), behind the statements already there; best-wins within each topic."""
+    out = moved_by_alias(statements, aliases, topics).withColumn("_ord", F.col("ord")).withColumn("ord", F.struct("late", "ord"))
+    return dedupe_best(out).withColumn("ord", F.col("_ord")).withColumn("first_ord", F.col("first_ord.ord")).drop("_ord", "late")
 
 
-def merge_layer(current: DataFrame, layer: DataFrame, topics: DataFrame, accepted: bool) -> DataFrame:
-    """A convergence layer's records with their outcome: unmapped, duplicate_title, duplicate_id or added. A layer that fails its gate (status, mutated tree, count) raises."""
-    if not accepted:
-        raise ValueError("the layer's status, tree or count isn't as declared")
-    placed = attach_nearest(layer, topics).withColumn("title_key", normalize_text(F.col("title")))
-    titles = current.select("topic_id", normalize_text(F.col("title")).alias("title_key")).where("title_key <> ''").distinct().withColumn("_title", F.lit(True))
+def install_revision(topics: DataFrame, revision: DataFrame, statements: DataFrame, root: str, revised: DataFrame | None = None, aliases: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Replace the subtree at root by its revision, which brings statements of its own (`revised`).
+
+    Gives the topics; the statements, best-wins within each topic: those outside, those of the revision, and of the old subtree those whose source node is an alias or whose topic has the same id or a
+    unique title in the revision, unless the revision has their title there or their id anywhere; the (topic_id, new_topic_id, method) of old topics; and a row of counts before and after."""
+    old = subtree(topics, root)
+    mapped = cut(match_id_or_title(old, revision))
+    new_topics = topics.join(old.select("topic_id"), "topic_id", "left_anti").unionByName(revision.select(*topics.columns))
+    revised = statements.limit(0) if revised is None else revised.select(*statements.columns)
+    inside = statements.join(old.select("topic_id"), "topic_id", "left_semi")
+    where_to = mapped.select("topic_id", "new_topic_id")
+    named = inside.join(where_to, "topic_id", "left")
+    if aliases is not None:
+        to = aliases.select("source_node_id", F.col("target_node_id").alias("_to")).join(new_topics.select(F.col("topic_id").alias("_to")), "_to", "left_semi")
+        named = named.join(to, "source_node_id", "left").withColumn("new_topic_id", F.coalesce("_to", "new_topic_id")).drop("_to")
+    named = cut(named)
+    carried = named.where("new_topic_id is not null").withColumn("topic_id", F.col("new_topic_id")).select(*statements.columns)
+    fresh = cut(without_titles(carried, revised).join(revised.select("statement_id"), "statement_id", "left_anti").select(*statements.columns))
+    outside = statements.join(old.select("topic_id"), "topic_id", "left_anti")
+    both = cut(dedupe_best(outside.unionByName(revised).unionByName(fresh)))
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    parts = {
+        "topics_before": topics, "topics_after": new_topics, "statements_before": statements, "statements_after": both,
+        "unmapped_statements": named.where("new_topic_id is null"), "skipped_statements": carried, "carried_statements": fresh,
+    }
+    report = reduce(lambda a, b: a.join(b), [count(df, n) for n, df in parts.items()])  # one row each
+    report = report.withColumn("skipped_statements", F.col("skipped_statements") - F.col("carried_statements"))
+    report = report.withColumn("topic_delta", F.col("topics_after") - F.col("topics_before")).withColumn("statement_delta", F.col("statements_after") - F.col("statements_before"))
+    return new_topics, both, mapped, report
+
+
+def layer_gate(status: str | None, tree_mutated: bool | None, record_count: int | None, records: DataFrame) -> None:
+    """Raise unless a convergence layer is an unreviewed shadow candidate that says it left the tree alone and declares as many records as it has."""
+    if status not in LAYER_STATUS:
+        raise ValueError(f"not the status of a candidate layer: {status}")
+    if tree_mutated is not False:
+        raise ValueError("the layer doesn't say that it left the tree alone")
+    if (n := records.count()) != record_count or not n:
+        raise ValueError(f"the layer declares {record_count} records and has {n}")
+
+
+def merge_layer(current: DataFrame, layer: DataFrame, topics: DataFrame, status: str | None, tree_mutated: bool | None, record_count: int | None) -> DataFrame:
+    """A convergence layer's records, after layer_gate(), with their outcome: unmapped, duplicate_title, duplicate_id or added."""
+    layer_gate(status, tree_mutated, record_count, layer)
+    placed = with_title_key(attach_nearest(layer, topics))
+    titles = with_title_key(current).select("topic_id", "title_key").where("title_key <> ''").distinct().withColumn("_title", F.lit(True))
     ids = current.select("statement_id").distinct().withColumn("_id", F.lit(True))
     at = placed.join(titles, ["topic_id", "title_key"], "left").join(ids, "statement_id", "left")
     open_ = F.col("topic_id").isNotNull() & F.col("_title").isNull()
@@ -82,10 +132,15 @@ def merge_layer(current: DataFrame, layer: DataFrame, topics: DataFrame, accepte
     return at.withColumn("_rn", by_title).withColumn("outcome", outcome).drop("_rn", "_title", "_id")
 
 
-def prepare_candidates(build: DataFrame, reviewed: DataFrame, published: DataFrame) -> DataFrame:
-    """Three sources in one, the best stage of each source item, with its statement id and title key."""
-    both = build.unionByName(reviewed, allowMissingColumns=True).unionByName(published, allowMissingColumns=True)
-    return best_stage(both).withColumn("statement_id", item_id(F.col("source_item_id"))).withColumn("title_key", normalize_text(F.col("title")))
+def prepare_candidates(*sources: DataFrame) -> DataFrame:
+    """All sources in one (a table of several stages needs no splitting), the best stage of each source item, with its statement id, title key and, where there are fields for them, placement hints in their order."""
+    out = best_stage(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sources))
+    out = out.withColumn("statement_id", item_id(F.col("source_item_id"))).withColumn("title_key", normalize_text(F.col("title")))
+    if "placement_hints" in out.columns:
+        return out
+    one = lambda c: F.array(c)
+    fields = {"campaign_existing_node": one("node_hint"), "campaign_preferred_home": one("home_hint"), "campaign_parent_fallback": one("fallback_hint")}
+    return out.withColumn("placement_hints", placement_hints(fields, one("affected_hint")))
 
 
 def proposals(candidates: DataFrame, topics: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -95,33 +150,42 @@ def proposals(candidates: DataFrame, topics: DataFrame, aliases: DataFrame) -> D
 
 
 def materialize_containers(proposed: DataFrame, topics: DataFrame) -> DataFrame:
-    """(parent, title_key, topic_id, title, scope_note, campaigns, n_witnesses): a new topic for each group of two campaigns or more without such a child."""
+    """A new topic for each group of two campaigns or more without such a child: (parent, title_key, topic_id, parent_topic_id, domain_id, title, axis, depth, scope_note, knowledge_status, campaigns, items, witnesses)."""
     groups = cross_source_groups(proposed)
-    groups = groups.join(match_child_title(groups.select("parent", "title_key"), topics), ["parent", "title_key"], "left_anti")
-    own = proposed.where("stage in ('reviewed', 'published')").join(groups.select("parent", "title_key"), ["parent", "title_key"], "left_semi")
+    groups = cut(groups.join(match_child_title(groups.select("parent", "title_key"), topics), ["parent", "title_key"], "left_anti"))
+    own = proposed.select("ord", "parent", "title_key", "stage", "title", "campaign", "locator", "scope_note")
+    own = cut(own.where(F.col("stage").isin(*SUPPORTED)).join(groups.select("parent", "title_key"), ["parent", "title_key"], "left_semi"))
     title = own.groupBy("parent", "title_key").agg(F.min_by("title", "ord").alias("title"))
-    witnesses = witness_dedup(own, ["parent", "title_key"]).groupBy("parent", "title_key").agg(F.count("*").alias("n_witnesses"))
+    each = witness_dedup(own, ["parent", "title_key"]).groupBy("parent", "title_key").agg(F.array_sort(F.collect_list(F.struct("pos", "campaign", "locator"))).alias("w"))
+    witnesses = each.select("parent", "title_key", F.transform("w", lambda x: F.struct(x["campaign"].alias("campaign"), x["locator"].alias("locator"))).alias("witnesses"))
     notes = modal_value(own, ["parent", "title_key"], "scope_note", "ord")
-    joined = groups.join(title, ["parent", "title_key"]).join(notes, ["parent", "title_key"]).join(witnesses, ["parent", "title_key"])
-    return joined.withColumn("topic_id", container_id(F.col("parent"), F.col("title_key")))
+    above = topics.select(F.col("topic_id").alias("parent"), "domain_id", (F.col("depth") + 1).alias("depth"))
+    joined = groups.join(title, ["parent", "title_key"]).join(notes, ["parent", "title_key"]).join(witnesses, ["parent", "title_key"]).join(above, "parent")
+    return joined.select(
+        "parent", "title_key", container_id(F.col("parent"), F.col("title_key")).alias("topic_id"), F.col("parent").alias("parent_topic_id"), "domain_id", "title",
+        F.lit(CONTAINER_AXIS).alias("axis"), "depth", "scope_note", F.lit("statement_attached").alias("knowledge_status"), "campaigns", "items", "witnesses",
+    )
 
 
 def place_candidates(candidates: DataFrame, topics: DataFrame, aliases: DataFrame, containers: DataFrame, proposed: DataFrame) -> DataFrame:
-    """Candidates with topic_id and mapping_method: by proposal (exact child, container, unique title in the part, in this order), else by the first hint that resolves to a topic or an ancestor of it, else no_live_target."""
-    by = lambda df, m, pos: df.select("ord", "topic_id", F.lit(m).alias("method"), F.lit(pos).alias("pos"))
+    """Candidates with topic_id, mapping_method and original_placement_hint: by proposal (exact child, container, unique title in the part, in this order), else by the first of their placement_hints
+    that resolves to a topic or an ancestor of it, else no_live_target."""
+    none = F.lit("")
+    by = lambda df, m, pos: df.select("ord", "topic_id", F.lit(m).alias("method"), none.alias("original"), F.lit(pos).alias("pos"))
     p = proposed.select("ord", "parent", "title_key")
-    child = by(match_child_title(p, topics), "exact_child_title", 1)
-    box = by(p.join(containers.select("parent", "title_key", "topic_id"), ["parent", "title_key"]), "cross_source_consensus", 2)
+    child = by(match_child_title(p, topics), "campaign_exact_sibling_title", -3)
+    box = by(p.join(containers.select("parent", "title_key", "topic_id"), ["parent", "title_key"]), "campaign_cross_source_candidate_container", -2)
     everything = topics.select("topic_id", "title").union(containers.select("topic_id", "title"))
-    part = by(match_title_same_part(p, everything), "unique_title_same_part", 3)
-    hints = candidates.select("ord", F.posexplode(F.array("node_hint", "parent_hint")).alias("hint_pos", "hint")).withColumn("original", F.col("hint"))
-    hints = alias_redirect(hints, aliases, "hint").withColumn("k", F.concat_ws("#", "ord", "hint_pos"))
-    found = attach_nearest(hints, topics, "hint", "k").where("topic_id is not null")
-    label = F.when(F.col("hint") != F.col("original"), "explicit_node_alias").when(F.col("hint_pos") == 0, "campaign_existing_node").otherwise("campaign_parent")
+    part = by(match_title_same_part(p, everything), "campaign_unique_same_part_title", -1)
+    hints = candidates.select("ord", F.posexplode("placement_hints").alias("pos", "h")).select("ord", "pos", "h.method", F.col("h.hint").alias("original"), F.col("h.hint").alias("hint"))
+    hints = alias_redirect(hints, aliases, "hint").withColumn("k", F.concat_ws("#", "ord", "pos"))
+    found = attach_nearest(hints.drop("mapping_method"), topics, "hint", "k").where("topic_id is not null")
+    label = F.when(F.col("hint") != F.col("original"), "explicit_node_alias").otherwise(F.col("method"))
     label = F.when(F.col("topic_id") != F.col("original"), F.concat(label, F.lit("_ancestor"))).otherwise(label)
-    hinted = found.select("ord", "topic_id", label.alias("method"), (F.col("hint_pos") + 10).alias("pos"))
-    best = child.union(box).union(part).union(hinted).groupBy("ord").agg(F.min_by(F.struct("topic_id", "method"), F.struct("pos", "topic_id")).alias("b"))
-    return candidates.join(best, "ord", "left").withColumn("topic_id", F.col("b.topic_id")).withColumn("mapping_method", F.coalesce("b.method", F.lit("no_live_target"))).drop("b")
+    hinted = found.select("ord", "topic_id", label.alias("method"), "original", "pos")
+    best = child.union(box).union(part).union(hinted).groupBy("ord").agg(F.min_by(F.struct("topic_id", "method", "original"), F.struct("pos", "topic_id")).alias("b"))
+    placed = candidates.join(best, "ord", "left").withColumn("topic_id", F.col("b.topic_id")).withColumn("original_placement_hint", F.coalesce("b.original", none))
+    return placed.withColumn("mapping_method", F.coalesce("b.method", F.lit("no_live_target"))).drop("b")
 
 
 def quarantine_reason() -> Column:
@@ -129,44 +193,78 @@ def quarantine_reason() -> Column:
     allowed = F.lit(False)
     for stage, methods in ALLOWED.items():
         allowed = allowed | ((F.col("stage") == stage) & F.col("mapping_method").isin(*methods))
+    # The reasons.
     return (
         F.when(F.col("mapping_method") == "no_live_target", "no_live_target")
-        .when(F.col("stage") == "build", "builder_only")
-        .when(F.endswith("mapping_method", F.lit("_ancestor")) | F.startswith("mapping_method", F.lit("campaign_parent")), "ancestor_or_parent_fallback")
-        .when(F.col("mapping_method") == "single_affected_node", "single_affected_node")
-        .when(~allowed, "not_allowed_for_stage")
+        .when(F.col("stage") == "0809_campaign_build", "builder_only_not_independently_reviewed")
+        .when(F.contains("mapping_method", F.lit("ancestor")) | (F.col("mapping_method") == "campaign_parent_fallback"), "missing_or_unresolved_specific_container")
+        .when(F.col("mapping_method") == "campaign_single_affected_node", "affected_node_is_not_a_confirmed_primary_owner")
+        .when(~allowed, "placement_not_in_public_allowlist")
     )
 
 
 def quarantine_split(placed: DataFrame, current: DataFrame) -> DataFrame:
     """Placed candidates with reason and outcome: quarantined, duplicate_title or public. Only admitted rows hold titles, in the order of source_item_id."""
     judged = placed.withColumn("reason", quarantine_reason())
-    admitted = judged.where("reason is null")
+    admitted = judged.where("reason is null").select("ord", "source_item_id", "topic_id", "title", "title_key")
     fresh = first_titles(without_titles(admitted, current), "source_item_id").withColumn("outcome", F.when(F.col("rn") == 1, "public").otherwise("duplicate_title"))
     out = judged.join(fresh.select("ord", "outcome"), "ord", "left")
     return out.withColumn("outcome", F.when(F.col("reason").isNotNull(), "quarantined").otherwise(F.coalesce("outcome", F.lit("duplicate_title"))))
 
 
-def extract_subtrees(topics: DataFrame, moves: Sequence[tuple[str, str]]) -> DataFrame:
-    """Topics with the domain and depth they have after the subtrees (root, new domain) became domains of their own; the root is promoted and loses its parent. A case expression over a few roots: no shuffle."""
+def quarantine_records(split: DataFrame) -> DataFrame:
+    """The record of each quarantined candidate, with all that a reviewer needs to place it by hand; a candidate without a live target has neither method nor attempted topic."""
+    lost = F.col("reason") == "no_live_target"
+    has = lambda name: F.filter(F.array(name), lambda x: F.trim(x) != "")
+    return split.where("outcome = 'quarantined'").select(
+        "source_item_id", "campaign", "stage", "reason", F.when(lost, "").otherwise(F.col("mapping_method")).alias("mapping_method"), F.coalesce("topic_id", F.lit("")).alias("attempted_topic_id"),
+        "original_placement_hint", F.coalesce("title", F.lit("")).alias("statement_title"), "placement_hints", F.col("confidence").alias("review_confidence"),
+        F.struct(has("fallback_hint").alias("parent_candidate_ids"), "scope_note").alias("new_node_candidate"),
+        F.struct(F.col("home_hint").alias("preferred_home_node_id"), has("affected_hint").alias("affected_existing_node_ids")).alias("directory_assessment"),
+    )
+
+
+def extract_subtrees(topics: DataFrame, moves: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """Topics (with `number`) after the subtrees (root, new domain, its number) became domains of their own: domain, depth and display number follow; the root is promoted and loses its parent. A case
+    expression over a few roots and a join of their few numbers: no shuffle of the topics."""
     root, domain = F.lit(None).cast("string"), F.col("domain_id")
-    for at, to in moves:
+    for at, to, _ in moves:
         inside = in_subtree(F.col("topic_id"), at)
         root, domain = F.when(inside, at).otherwise(root), F.when(inside, to).otherwise(domain)
-    levels = F.size(F.split(root, "[.]")) - 1
-    moved = topics.withColumn("moved_root", root)
-    return moved.select("topic_id", F.when(F.col("moved_root") != F.col("topic_id"), F.col("parent_topic_id")).when(F.col("moved_root").isNull(), F.col("parent_topic_id")).alias("parent_topic_id"), domain.alias("domain_id"), "title", "axis", F.when(F.col("moved_root").isNotNull(), F.greatest(F.lit(0), F.col("depth") - levels)).otherwise(F.col("depth")).alias("depth"), "kind", "pos", "moved_root")
+    numbers = {at: n for at, _, n in moves}
+    old = topics.where(F.col("topic_id").isin(*numbers)).select(F.col("topic_id").alias("moved_root"), F.col("number").alias("_old"), F.col("depth").alias("_depth"))
+    moved = topics.withColumn("moved_root", root).withColumn("domain_id", domain).join(F.broadcast(old), "moved_root", "left")  # a row a move
+    gone, new = F.col("moved_root").isNotNull(), F.element_at(F.create_map(*[F.lit(x) for kv in numbers.items() for x in kv]), F.col("moved_root"))
+    number = F.when(gone, F.concat(new, F.expr("substring(number, length(_old) + 1)"))).otherwise(F.col("number"))
+    depth = F.when(gone, F.greatest(F.lit(0), F.col("depth") - F.col("_depth"))).otherwise(F.col("depth"))
+    parent = F.when(~F.coalesce(F.col("topic_id") == F.col("moved_root"), F.lit(False)), F.col("parent_topic_id"))
+    return moved.select("topic_id", parent.alias("parent_topic_id"), "domain_id", "title", "axis", depth.alias("depth"), "kind", "pos", number.alias("number"), "moved_root")
+
+
+def extract_report(moved: DataFrame, statements: DataFrame) -> DataFrame:
+    """(moved_root, domain_id, topics_moved, statements_kept) of extract_subtrees()."""
+    counts = statements.groupBy("topic_id").agg(F.count("*").alias("n"))
+    each = moved.where("moved_root is not null").join(counts, "topic_id", "left")
+    return each.groupBy("moved_root", "domain_id").agg(F.count("*").alias("topics_moved"), F.coalesce(F.sum("n"), F.lit(0)).alias("statements_kept"))
 
 
-def rename_export(topics: DataFrame, paths: DataFrame) -> DataFrame:
-    """The workbook: a record a topic with its path, number of children and current title, in batches by domain."""
+def rename_export(topics: DataFrame, paths: DataFrame, domains: DataFrame) -> DataFrame:
+    """The workbook: a record a domain (domain_id, display_name) and a record a topic with its path, number of children and current title, in batches by domain. A topic id that repeats is an error, raised when the rows are read."""
     children = topics.where("parent_topic_id is not null").groupBy(F.col("parent_topic_id").alias("topic_id")).agg(F.count("*").alias("child_count"))
-    out = topics.join(paths, "topic_id").join(children, "topic_id", "left").fillna(0, ["child_count"])
-    return out.select(F.concat(F.lit("topic:"), "topic_id").alias("stable_id"), "domain_id", "topic_id", "parent_topic_id", "depth", "path", "child_count", F.col("title").alias("current_title"), F.col("title").alias("new_title"), F.col("domain_id").alias("batch_id"))
+    again = topics.groupBy("topic_id").agg(F.count("*").alias("_n"))
+    out = topics.join(again, "topic_id").join(paths, "topic_id").join(children, "topic_id", "left").fillna(0, ["child_count"])
+    checked = F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("topic id repeats: "), "topic_id")).cast("string")).otherwise(F.col("topic_id"))
+    rows = out.select(F.lit("topic").alias("record_type"), F.concat(F.lit("topic:"), checked).alias("stable_id"), "domain_id", "topic_id", "parent_topic_id", "depth", "path", "child_count", F.col("title").alias("current_title"), F.col("title").alias("new_title"), F.col("domain_id").alias("batch_id"))
+    roots = topics.where("parent_topic_id is null").groupBy("domain_id").agg(F.count("*").alias("child_count"))
+    named = domains.join(roots, "domain_id", "left").select(
+        F.lit("domain").alias("record_type"), F.concat(F.lit("domain:"), "domain_id").alias("stable_id"), "domain_id", F.lit(None).cast("string").alias("topic_id"), F.lit(None).cast("string").alias("parent_topic_id"), F.lit(-1).alias("depth"),
+        F.array("display_name").alias("path"), F.coalesce("child_count", F.lit(0)).alias("child_count"), F.col("display_name").alias("current_title"), F.col("display_name").alias("new_title"), F.col("domain_id").alias("batch_id"),
+    )
+    return named.unionByName(rows)
 
 
 def rename_apply(occurrences: DataFrame, workbook: DataFrame, restore: bool = False) -> DataFrame:
     """occurrences(file, topic_id, title): every copy of a title set to the new one, or back to the current one; `changed` marks those that differ."""
-    to = workbook.select("topic_id", F.col("current_title" if restore else "new_title").alias("_to"))
+    to = workbook.where("topic_id is not null").select("topic_id", F.col("current_title" if restore else "new_title").alias("_to"))
     out = occurrences.join(to, "topic_id", "left").withColumn("changed", F.col("_to").isNotNull() & ~F.col("_to").eqNullSafe(F.col("title")))
     return out.withColumn("title", F.coalesce("_to", "title")).drop("_to")

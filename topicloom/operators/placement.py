@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicloom.functions.text import first_non_empty, id_prefixes, in_subtree, normalize_text
+from topicloom.session import cut
 
 
 def attach_exact(records: DataFrame, topics: DataFrame, node: str = "source_node_id") -> DataFrame:
@@ -93,14 +96,14 @@ def topic_relations(topics: DataFrame) -> DataFrame:
 
 
 def ancestors(topics: DataFrame) -> DataFrame:
-    """(topic_id, ancestor_id, distance) by the tree, self included. One join a level; the number of levels is the tree's depth."""
+    """(topic_id, ancestor_id, distance) by the tree, self included. One join a level, cut off from those before; the number of levels is the tree's depth."""
     parents = topics.select(F.col("topic_id").alias("ancestor_id"), F.col("parent_topic_id").alias("up"))
-    level = topics.select("topic_id", F.col("topic_id").alias("ancestor_id"), F.lit(0).alias("distance"))
-    out = level
+    levels = [topics.select("topic_id", F.col("topic_id").alias("ancestor_id"), F.lit(0).alias("distance"))]
     for n in range(1, (topics.agg(F.max("depth")).first()[0] or 0) + 1):
-        level = level.join(parents, "ancestor_id").where("up is not null").select("topic_id", F.col("up").alias("ancestor_id"), F.lit(n).alias("distance"))
-        out = out.union(level)
-    return out
+        up = topics.select("topic_id", F.col("parent_topic_id").alias("up")) if n == 1 else levels[-1].join(parents, "ancestor_id").select("topic_id", "up")
+        level = up.where("up is not null").select("topic_id", F.col("up").alias("ancestor_id"), F.lit(n).alias("distance"))
+        levels.append(cut(level) if n > 1 else level)
+    return reduce(DataFrame.union, levels)
 
 
 def breadcrumbs(topics: DataFrame) -> DataFrame:

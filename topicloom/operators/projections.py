@@ -21,15 +21,33 @@ def strip_regenerated(statements: DataFrame) -> DataFrame:
     return statements.where(~regenerated())
 
 
+#: List fields of a statement that are empty where they are missing, with their types.
+LISTS = {"assumptions_latex": "array<string>", "notation": "array<struct<symbol_latex:string,meaning:string>>", "prerequisite_node_ids": "array<string>", "review_flags": "array<string>"}
+SOURCES = "array<struct<source:string,source_title:string,locator:string>>"
+
+
+def _field(df: DataFrame, name: str, kind: str) -> Column:
+    return F.col(name) if name in df.columns else F.lit(None).cast(kind)
+
+
 def normalize_statement(statements: DataFrame) -> DataFrame:
-    """The canonical statement: id (from the fingerprint where there is none), default title, layer, list and metadata defaults; metadata only for the intermediate layer."""
+    """The canonical statement: id (from the fingerprint where there is none), default title, the topic it is mapped to, witnesses (references where there are none, each titled by its source), list and
+    flag defaults; metadata (stage, source path and what `context` adds) only for the intermediate layer. Columns that the input lacks count as missing."""
     is_base = F.col("layer_role").eqNullSafe(BASE)
     minted = stable_id("stmt_", fingerprint(F.col("topic_id"), F.col("title"), F.col("latex"), F.col("plain")))
+    witnesses, refs = _field(statements, "source_witnesses", SOURCES), _field(statements, "source_refs", SOURCES)
+    found = F.coalesce(F.when(F.size(witnesses) > 0, witnesses), refs, F.array().cast(SOURCES))
+    titled = F.transform(found, lambda w: w.withField("source_title", F.coalesce(w["source_title"], w["source"])))
+    own = F.create_map(F.lit("stage"), F.col("stage"), F.lit("source_path"), F.coalesce(_field(statements, "source_path", "string"), F.lit("")))
+    context = F.coalesce(_field(statements, "context", "map<string,string>"), F.create_map().cast("map<string,string>"))
+    metadata = F.map_concat(F.map_filter(own, lambda k, _: ~F.array_contains(F.map_keys(context), k)), context)
     return statements.select(
-        F.coalesce(first_non_empty(F.col("statement_id")), minted).alias("id"), first_non_empty(F.col("title"), default="Untitled statement").alias("title"), "topic_id",
+        F.coalesce(first_non_empty(F.col("statement_id")), minted).alias("id"), F.lit("knowledge_statement").alias("node_type"), first_non_empty(F.col("title"), default="Untitled statement").alias("title"),
+        "topic_id", F.col("topic_id").alias("original_topic_id"), F.array("topic_id").alias("mapped_topic_ids"), F.lit("exact_topic_id").alias("mapping_method"),
         first_non_empty(F.col("layer_role"), default="intermediate_statement_layer").alias("layer_role"), first_non_empty(F.col("content_kind"), default="unknown").alias("content_kind"),
-        first_non_empty(F.col("latex"), default="").alias("latex"), first_non_empty(F.col("plain"), default="").alias("plain"), F.lit(False).alias("proof_included"),
-        F.when(~is_base, F.create_map(F.lit("stage"), F.col("stage"))).alias("metadata"), "ord",
+        first_non_empty(F.col("latex"), default="").alias("latex"), first_non_empty(F.col("plain"), default="").alias("plain"), titled.alias("source_witnesses"),
+        *[F.coalesce(_field(statements, n, t), F.array().cast(t)).alias(n) for n, t in LISTS.items()], F.coalesce(_field(statements, "proof_included", "boolean"), F.lit(False)).alias("proof_included"),
+        F.when(~is_base, metadata).alias("metadata"), "ord",
     )
 
 
@@ -45,7 +63,7 @@ def placement_hints(fields: dict[str, Column], affected: Column) -> Column:
     def named(method: str, values: Column) -> Column:
         return F.transform(clean_values(values), lambda x: F.struct(F.lit(method).alias("method"), F.trim(x).alias("hint")))
 
-    hints, single = F.concat(*[named(m, v) for m, v in fields.items()]), named("single_affected_node", affected)
+    hints, single = F.concat(*[named(m, v) for m, v in fields.items()]), named("campaign_single_affected_node", affected)
     return F.when((F.size(hints) == 0) & (F.size(single) == 1), single).otherwise(hints)
 
 

@@ -9,16 +9,18 @@ from pyspark.sql import functions as F
 
 from topicloom.functions.text import casefold, fingerprint, non_empty, normalize_text
 from topicloom.operators.placement import first_by
+from topicloom.session import cut
 
 PAGE = 24
-# Campaign stages by priority.
-STAGES = {"build": 1, "reviewed": 2, "published": 3}
+# Campaign stages by priority, and the mapping that counts as explicit.
+STAGES = {"0809_campaign_build": 1, "0809_campaign_reviewed": 2, "0809_campaign_published": 3}
+EXPLICIT = "explicit_node_alias"
 
 
 def preference() -> Column:
     """What makes one copy of a statement better than another, as one comparable value: evidence, how much, confidence, an explicit mapping, the length of its body."""
     body = F.char_length(F.concat(F.coalesce("latex", F.lit("")), F.coalesce("plain", F.lit(""))))
-    explicit = F.coalesce(F.col("mapping_method") == "exact_topic_id", F.lit(False))
+    explicit = F.coalesce(F.col("mapping_method") == EXPLICIT, F.lit(False))
     return F.struct((F.col("evidence") > 0).alias("has"), F.col("evidence").alias("n"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), explicit.alias("explicit"), body.alias("length"))
 
 
@@ -54,14 +56,13 @@ def best_stage(candidates: DataFrame) -> DataFrame:
 def display_numbers(topics: DataFrame) -> DataFrame:
     """(topic_id, number): the root's digits without leading zeros, then 1-based ranks among siblings. One join a level."""
     rank = F.row_number().over(Window.partitionBy("parent_topic_id").orderBy("kind", "pos", "topic_id")).cast("string")
-    ranked = topics.where("parent_topic_id is not null").select("topic_id", "parent_topic_id", "depth", rank.alias("rank"))
+    ranked = cut(topics.where("parent_topic_id is not null").select("topic_id", "parent_topic_id", rank.alias("rank")))
     digits = F.regexp_replace(F.regexp_extract("topic_id", r"\d+", 0), "^0+(?=.)", "")
-    level = out = topics.where("parent_topic_id is null").select("topic_id", digits.alias("number"))
+    levels = [topics.where("parent_topic_id is null").select("topic_id", digits.alias("number"))]
     for _ in range(topics.agg(F.max("depth")).first()[0] or 0):
-        up = level.select(F.col("topic_id").alias("parent_topic_id"), F.col("number").alias("up"))
-        level = ranked.join(up, "parent_topic_id").select("topic_id", F.concat("up", F.lit("."), "rank").alias("number"))
-        out = out.union(level)
-    return out
+        up = levels[-1].select(F.col("topic_id").alias("parent_topic_id"), F.col("number").alias("up"))
+        levels.append(cut(ranked.join(up, "parent_topic_id").select("topic_id", F.concat("up", F.lit("."), "rank").alias("number"))))
+    return reduce(DataFrame.union, levels)
 
 
 def statement_page(statements: DataFrame, page: int = 1, size: int = PAGE) -> DataFrame:

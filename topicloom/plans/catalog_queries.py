@@ -79,12 +79,12 @@ def validated_shard_items(spark, d):
 
 @query(
     "source_evidence",
-    """WITH e AS (SELECT campaign, source_item_id, max_by(locator, ord) AS locator FROM candidates WHERE stage <> 'build' GROUP BY campaign, source_item_id)
+    """WITH e AS (SELECT campaign, source_item_id, max_by(locator, ord) AS locator FROM candidates WHERE stage <> '0809_campaign_build' GROUP BY campaign, source_item_id)
     SELECT k.ord, coalesce(e.locator, '') AS locator, '' AS source_path FROM candidates k LEFT JOIN e USING (campaign, source_item_id)""",
 )
 def source_evidence(spark, d):
     k = fixture(spark, d, "candidates")
-    ledger = k.where("stage <> 'build'").select("campaign", "source_item_id", F.lit("").alias("source_path"), "locator", "ord")
+    ledger = k.where("stage <> '0809_campaign_build'").select("campaign", "source_item_id", F.lit("").alias("source_path"), "locator", "ord")
     return src.source_evidence(k.select("campaign", "source_item_id", "ord"), ledger).select("ord", "locator", "source_path")
 
 
@@ -152,9 +152,38 @@ def strip_regenerated(spark, d):
     return proj.strip_regenerated(fixture(spark, d, "statements")).select("statement_id", "stage")
 
 
-@query("normalize_statement", "SELECT statement_id AS id, coalesce(nullif(title, ''), 'Untitled statement') AS title, layer_role, coalesce(nullif(content_kind, ''), 'unknown') AS content_kind, CASE WHEN layer_role <> 'base_statement_layer' THEN stage ELSE '' END AS stage FROM kept WHERE rn = 1")
+NORMAL_SQL = """SELECT statement_id AS id, 'knowledge_statement' AS node_type, coalesce(nullif(title, ''), 'Untitled statement') AS title, topic_id, topic_id AS original_topic_id, topic_id AS mapped, 'exact_topic_id' AS mapping_method, layer_role, coalesce(nullif(content_kind, ''), 'unknown') AS content_kind, latex, plain,
+    CASE WHEN ord % 4 = 0 THEN 'Book ' || ord % 9 WHEN ord % 4 = 1 THEN 'src' || ord % 3 ELSE '' END AS witnesses, CASE WHEN ord % 2 = 0 THEN 'A,B' ELSE '' END AS assumptions, ord % 6 = 0 AS proof_included,
+    CASE WHEN layer_role <> 'base_statement_layer' THEN 'context=' || ord % 5 || ',source_path=,stage=' || stage ELSE '' END AS metadata, ord FROM kept WHERE rn = 1"""
+
+
+def with_parts(statements: DataFrame) -> DataFrame:
+    """Statements with witnesses, references, lists and a context, as some have them."""
+    witness = lambda source, title: F.array(F.struct(source.alias("source"), title.cast("string").alias("source_title"), F.lit("p. 1").alias("locator")))
+    of = lambda n: F.concat(F.lit("src"), F.col("ord") % n)
+    return statements.withColumns(
+        {
+            "source_witnesses": F.when(F.col("ord") % 4 == 0, witness(of(3), F.concat(F.lit("Book "), F.col("ord") % 9))).when(F.col("ord") % 4 == 1, F.array().cast(proj.SOURCES)),
+            "source_refs": F.when(F.col("ord") % 4 < 2, witness(of(3), F.lit(None))),
+            "assumptions_latex": F.when(F.col("ord") % 2 == 0, F.array(F.lit("A"), F.lit("B"))),
+            "proof_included": F.when(F.col("ord") % 6 == 0, True),
+            "context": F.create_map(F.lit("context"), (F.col("ord") % 5).cast("string")),
+        }
+    )
+
+
+def canonical_columns(s: DataFrame) -> DataFrame:
+    """Canonical statements with their lists and maps as texts."""
+    entries = F.array_sort(F.transform(F.map_entries("metadata"), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return s.select(
+        "id", "node_type", "title", "topic_id", "original_topic_id", F.array_join("mapped_topic_ids", ",").alias("mapped"), "mapping_method", "layer_role", "content_kind", "latex", "plain",
+        F.array_join(F.col("source_witnesses.source_title"), ",").alias("witnesses"), F.array_join("assumptions_latex", ",").alias("assumptions"), "proof_included", F.coalesce(F.array_join(entries, ","), F.lit("")).alias("metadata"), "ord",
+    )
+
+
+@query("normalize_statement", NORMAL_SQL)
 def normalize_statement(spark, d):
-    return proj.normalize_statement(kept(spark, d)).select("id", "title", "layer_role", "content_kind", F.coalesce(F.try_element_at("metadata", F.lit("stage")), F.lit("")).alias("stage"))
+    return canonical_columns(proj.normalize_statement(with_parts(kept(spark, d))))
 
 
 @query("classify_convergence", "SELECT statement_id, CASE WHEN plain LIKE '%HIGH%' THEN 'failure_boundary' WHEN latex LIKE 'O%' OR ord % 5 = 0 THEN 'complexity_bound' ELSE 'theorem' END AS kind FROM statements")
@@ -245,12 +274,16 @@ def knowledge_status(spark, d):
 # --- formulas
 
 
-@query("formula_fields", "SELECT statement_id, topic_id, field, sha256(value) AS value_sha FROM formulas WHERE trim(value) <> ''")
+@query("formula_fields", "SELECT statement_id, topic_id, field, sha256(value) AS value_sha FROM formulas WHERE trim(value) <> '' UNION ALL SELECT statement_id, topic_id, 'assumptions_latex', sha256('given ' || statement_id) FROM formulas UNION ALL SELECT statement_id, topic_id, 'symbol_latex', sha256('x') FROM formulas")
 def formula_fields(spark, d):
-    f = fixture(spark, d, "formulas").where(F.trim("value") != "")
-    wide = f.select("statement_id", "topic_id", *[F.when(F.col("field") == k, F.col("value")).alias(k) for k in formula.FORMULA_FIELDS])
-    long = wide.select("statement_id", "topic_id", F.explode(F.filter(F.array(*[F.struct(F.lit(k).alias("field"), F.col(k).alias("value")) for k in formula.FORMULA_FIELDS]), lambda x: F.trim(x["value"]) != "")).alias("x"))
-    return long.select("statement_id", "topic_id", "x.field", F.sha2(F.col("x.value").cast("binary"), 256).alias("value_sha"))
+    """Statements whose formulas stand in a column, in a struct, in lists of structs and in a map."""
+    f, of = fixture(spark, d, "formulas"), lambda k: F.when(F.col("field") == k, F.col("value"))
+    nested = f.select(
+        "statement_id", "topic_id", of("statement_latex").alias("statement_latex"), F.struct(of("conclusion_latex").alias("conclusion_latex"), F.lit("linear").alias("rate_class")).alias("conclusion"),
+        F.array(F.struct(of("symbol_latex").alias("symbol_latex"), F.lit("a symbol").alias("meaning")), F.struct(F.lit(" ").alias("symbol_latex"), F.lit(None).cast("string").alias("meaning"))).alias("notation"),
+        F.array(F.concat(F.lit("given "), "statement_id"), F.lit(None).cast("string")).alias("assumptions_latex"), F.create_map(F.lit("main"), F.struct(F.lit("x").alias("symbol_latex"))).alias("variants"), F.array(F.lit("no formula")).alias("boundary_notes"),
+    )
+    return formula.formula_fields(nested, "statement_id", "topic_id").select("statement_id", "topic_id", "field", F.sha2(F.col("value").cast("binary"), 256).alias("value_sha"))
 
 
 _ODD = "CAST(len(string_split(replace(value, '\\\\', ''), '\\{0}')) - 1 AS INT)"
@@ -271,8 +304,9 @@ REASONS_SQL = f"""SELECT statement_id, field, open_inline, display_dollars + inl
 
 @query("formula_audit", f"SELECT statement_id, field, reasons, substring(value, 1, 500) AS preview FROM ({REASONS_SQL}) WHERE reasons <> ''")
 def formula_audit(spark, d):
-    f = fixture(spark, d, "formulas").withColumn("reasons", F.array_join(formula.audit(F.col("value")), ","))
-    return f.where("reasons <> ''").select("statement_id", "field", "reasons", F.substring("value", 1, 500).alias("preview"))
+    told = F.filter(F.array(F.array_join(formula.audit(F.col("value")), ",")), lambda x: x != "")  # exploded, so that the filter doesn't scan the texts again
+    f = fixture(spark, d, "formulas").select("statement_id", "field", F.substring("value", 1, 500).alias("preview"), F.explode(told).alias("reasons"))
+    return f.select("statement_id", "field", "reasons", "preview")
 
 
 @query("formula_summary", f"SELECT coalesce(field, 'all') AS field, count(*) AS fields, count(*) FILTER (dollars > 0) AS dollar_delimited, count(*) FILTER (reasons <> '') AS invalid, CASE WHEN count(*) FILTER (reasons <> '') = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM ({REASONS_SQL}) GROUP BY ROLLUP (field)")
@@ -297,17 +331,22 @@ def dollars_to_tex(spark, d):
 _ONE = r"CAST(len(regexp_extract_all(' ' || value, '[^\\]\\\{0}')) AS INT)"
 
 
-@query("delimiter_balance", f"SELECT statement_id, {_ONE.format('(')} AS open_inline, {_ONE.format(')')} AS close_inline, {_ONE.format('[')} AS open_display, {_ONE.format(']')} AS close_display FROM formulas")
+#: The display rule's six counts; single dollars are counted without the $$.
+BALANCE_SQL = f"""SELECT statement_id, {_ONE.format('(')} AS open_inline, {_ONE.format(')')} AS close_inline, {_ONE.format('[')} AS open_display, {_ONE.format(']')} AS close_display,
+    CAST(len(regexp_extract_all(replace(value, '\\$', 'D'), '\\$\\$')) AS INT) AS display_dollars, CAST(len(regexp_extract_all(regexp_replace(replace(value, '\\$', 'D'), '\\$\\$', '', 'g'), '\\$')) AS INT) AS inline_dollars FROM formulas"""
+
+
+@query("delimiter_balance", f"SELECT *, open_inline = close_inline AND open_display = close_display AND display_dollars % 2 = 0 AND inline_dollars % 2 = 0 AS balanced FROM ({BALANCE_SQL})")
 def delimiter_balance(spark, d):
-    b = formula.balance(F.col("value"))
-    return fixture(spark, d, "formulas").select("statement_id", *[b[c].alias(c) for c in ("open_inline", "close_inline", "open_display", "close_display")])
+    return fixture(spark, d, "formulas").select("statement_id", *[c.alias(n) for n, c in formula.balance(F.col("value")).items()])
 
 
-@query("trim_orphan_delimiter", r"SELECT statement_id, sha256(CASE WHEN ord % 2 = 0 THEN '\(' || statement_id || '\)' ELSE '\(' || statement_id || '\) and' END) AS trimmed FROM notes")
+@query("trim_orphan_delimiter", r"WITH n AS (SELECT *, latex || CASE ord % 4 WHEN 0 THEN ' \(x\) \) ' WHEN 1 THEN ' \[y\]\]' WHEN 2 THEN ' \(z\)' ELSE '\) and' END AS value FROM (SELECT statement_id, ord, replace(latex, chr(92), '/') AS latex FROM notes)) SELECT statement_id, sha256(CASE ord % 4 WHEN 0 THEN latex || ' \(x\)' WHEN 1 THEN latex || ' \[y\]' ELSE value END) AS trimmed FROM n")
 def trim_orphan_delimiter(spark, d):
-    n = fixture(spark, d, "notes")
-    one = F.concat(F.lit("\\("), "statement_id", F.lit("\\)"))
-    value = F.when(F.col("ord") % 2 == 0, F.concat(one, F.lit(" \\)\n"))).otherwise(F.concat(one, F.lit(" and \\] ")))
+    """Whole texts with a delimiter too many at their end, within them, or none."""
+    n = fixture(spark, d, "notes").withColumn("latex", F.replace("latex", F.lit("\\"), F.lit("/")))
+    end = {0: " \\(x\\) \\) ", 1: " \\[y\\]\\]", 2: " \\(z\\)", 3: "\\) and"}
+    value = F.concat("latex", F.element_at(F.create_map(*[F.lit(x) for kv in end.items() for x in kv]), (F.col("ord") % 4).cast("int")))
     return n.select("statement_id", F.sha2(formula.trim_orphan(value).cast("binary"), 256).alias("trimmed"))
 
 
@@ -485,7 +524,7 @@ def modal_scope_note(spark, d):
     return agg.modal_value(fixture(spark, d, "candidates"), ["parent_hint"], "scope_note", "ord")
 
 
-@query("cross_source_groups", f"SELECT parent_hint AS parent, {KEY_SQL.format('title')} AS title_key, string_agg(DISTINCT campaign, ',' ORDER BY campaign) AS campaigns, count(DISTINCT source_item_id) AS items FROM candidates WHERE stage <> 'build' AND title <> '' GROUP BY 1, 2 HAVING count(DISTINCT campaign) >= 2")
+@query("cross_source_groups", f"SELECT parent_hint AS parent, {KEY_SQL.format('title')} AS title_key, string_agg(DISTINCT campaign, ',' ORDER BY campaign) AS campaigns, count(DISTINCT source_item_id) AS items FROM candidates WHERE stage <> '0809_campaign_build' AND title <> '' GROUP BY 1, 2 HAVING count(DISTINCT campaign) >= 2")
 def cross_source_groups(spark, d):
     k = fixture(spark, d, "candidates").where("title <> ''").withColumn("parent", F.col("parent_hint")).withColumn("title_key", text.normalize_text(F.col("title")))
     return agg.cross_source_groups(k).select("parent", "title_key", F.array_join("campaigns", ",").alias("campaigns"), F.size("items").cast("long").alias("items"))
@@ -513,7 +552,12 @@ def duplicate_keys(spark, d):
     return agg.duplicate_keys(a, "topic_id", "title_key")
 
 
-@query("protected_hash", """WITH h AS (SELECT sha256('{"topic_id":"' || topic_id || '","depth":' || depth || '}') AS h FROM topics), b AS (SELECT CAST(('0x' || substring(h, 1, 8)) AS BIGINT) % 1024 AS b, sha256(string_agg(h, '' ORDER BY h)) AS h FROM h GROUP BY 1) SELECT sha256(string_agg(h, '' ORDER BY b)) AS protected_hash FROM b""")
+@query(
+    "protected_hash",
+    """WITH h AS (SELECT sha256('{"topic_id":"' || topic_id || '","depth":' || depth || '}') AS h FROM topics), k AS (SELECT CAST(pow(2, ceil(log2(ceil(count(*) / 4096.0)))) AS BIGINT) AS n FROM h),
+    b AS (SELECT (CAST('0x' || substring(h, 1, 8) AS BIGINT) * n) >> 32 AS b, sha256(string_agg(h, '' ORDER BY h)) AS h FROM h, k GROUP BY 1)
+    SELECT CASE WHEN (SELECT n FROM k) = 1 THEN max(h) ELSE sha256(string_agg(h, '' ORDER BY h)) END AS protected_hash FROM b""",
+)
 def protected_hash(spark, d):
     return agg.protected_hash(fixture(spark, d, "topics").select("topic_id", "title", "depth"), "title")
 

@@ -31,10 +31,12 @@ FIXTURES = {
     "aliases": f"SELECT 'R1.N' || n_nationkey AS source_node_id, 'R1.N' || (n_nationkey + 5) AS target_node_id, CAST(n_nationkey AS BIGINT) AS ord FROM {{nation}} WHERE n_nationkey % 5 = 1",
     "candidates": f"""
         SELECT 'i' || l_orderkey || '-' || l_linenumber AS source_item_id, 'camp' || (l_suppkey % 10) AS campaign,
-            CASE l_returnflag WHEN 'R' THEN 'build' WHEN 'A' THEN 'reviewed' ELSE 'published' END AS stage,
+            CASE l_returnflag WHEN 'R' THEN '0809_campaign_build' WHEN 'A' THEN '0809_campaign_reviewed' ELSE '0809_campaign_published' END AS stage,
             CASE WHEN l_partkey % 5 = 0 THEN p_name || ' ' || p_brand WHEN l_partkey % 7 = 1 THEN 'New ' || p_brand ELSE p_name END AS title,
             CASE WHEN l_quantity > 45 THEN '' ELSE l_linestatus || l_linenumber END AS latex,
-            {_N} AS parent_hint, 'R' || n_regionkey AS root_hint, {_N} || '.P' || (l_partkey + l_linenumber % 2) AS node_hint,
+            {_N} AS parent_hint, 'R' || n_regionkey AS root_hint, CASE WHEN l_partkey % 4 = 0 THEN ' ' ELSE {_N} || '.P' || (l_partkey + l_linenumber % 2) END AS node_hint,
+            CASE WHEN l_partkey % 3 = 0 THEN {_N} || '.P' || l_partkey ELSE '' END AS home_hint, CASE WHEN l_linenumber % 2 = 0 THEN {_N} ELSE '' END AS fallback_hint,
+            CASE WHEN l_suppkey % 2 = 0 THEN {_N} || '.P' || l_partkey ELSE '' END AS affected_hint, CAST(l_linenumber AS DOUBLE) AS confidence,
             'loc' || (l_partkey % 3) AS locator, 'note ' || (l_linenumber % 3) AS scope_note,
             CAST(l_orderkey AS STRING) || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber || '-' || CAST(CAST(l_extendedprice * 100 AS DECIMAL(20, 0)) AS STRING) || l_returnflag || l_linestatus || CAST(CAST(l_quantity AS DECIMAL(20, 0)) AS STRING) || '-' || CAST(CAST(l_tax * 100 AS DECIMAL(20, 0)) AS STRING) || '-' || CAST(CAST(l_discount * 100 AS DECIMAL(20, 0)) AS STRING) || '-' || CAST(l_shipdate AS STRING) AS ord
         FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey JOIN {{supplier}} ON l_suppkey = s_suppkey JOIN {{nation}} ON s_nationkey = n_nationkey""",

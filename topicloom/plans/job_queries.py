@@ -10,15 +10,16 @@ from topicloom.operators import aggregates as agg
 from topicloom.operators import checks, merges
 from topicloom.operators import placement as place
 from topicloom.operators import windows as win
-from topicloom.plans.catalog_queries import KEY_SQL, MATCH_SQL, REVISION_SQL, attached, direct_counts, kept, revision
+from topicloom.plans.catalog_queries import KEY_SQL, MATCH_SQL, NORMAL_SQL, REVISION_SQL, attached, canonical_columns, direct_counts, kept, revision, with_parts
 from topicloom.plans.fixtures import fixture
 from topicloom.plans.registration import query
 from topicloom.session import cut, scratch
+from topicloom.sources import catalog as src
 from topicloom.streaming import issues as log
 
 # --- windows
 
-BEST_SQL = """SELECT *, row_number() OVER (PARTITION BY topic_id, k ORDER BY evidence > 0 DESC, evidence DESC, confidence DESC, mapping_method = 'exact_topic_id' DESC, length(latex) + length(plain) DESC, ord) AS rn, min(ord) OVER (PARTITION BY topic_id, k) AS first_ord
+BEST_SQL = """SELECT *, row_number() OVER (PARTITION BY topic_id, k ORDER BY evidence > 0 DESC, evidence DESC, confidence DESC, mapping_method = 'explicit_node_alias' DESC, length(latex) + length(plain) DESC, ord) AS rn, min(ord) OVER (PARTITION BY topic_id, k) AS first_ord
     FROM (SELECT *, CASE WHEN title_key <> '' THEN 't' || title_key ELSE 'i' || statement_id END AS k FROM attached WHERE topic_id IS NOT NULL)"""
 
 
@@ -33,7 +34,7 @@ def dedupe_first(spark, d):
     return win.dedupe_first(attached(spark, d).where("topic_id is not null")).groupBy("topic_id").agg(F.count_if(~again).alias("kept"), F.count_if(again & base).alias("duplicate_base"), F.count_if(again & ~base).alias("duplicate_intermediate"))
 
 
-STAGE_SQL = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_item_id ORDER BY CASE stage WHEN 'published' THEN 3 WHEN 'reviewed' THEN 2 ELSE 1 END DESC, ord) AS rn FROM candidates WHERE title <> '' AND latex <> '') WHERE rn = 1"
+STAGE_SQL = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_item_id ORDER BY CASE stage WHEN '0809_campaign_published' THEN 3 WHEN '0809_campaign_reviewed' THEN 2 ELSE 1 END DESC, ord) AS rn FROM candidates WHERE title <> '' AND latex <> '') WHERE rn = 1"
 
 
 @query("best_stage", f"SELECT source_item_id, stage, ord FROM ({STAGE_SQL})")
@@ -114,11 +115,16 @@ def published_items_equal(spark, d):
 # --- merge jobs
 
 
-@query("collect_statements", "SELECT count(*) AS records, count(*) FILTER (a.topic_id IS NULL) AS unmapped, count(*) FILTER (a.mapping_method = 'nearest_canonical_ancestor') AS ancestor_mapped, count(*) FILTER (k.rn = 1 AND k.layer_role = 'base_statement_layer') AS base, count(*) FILTER (k.rn = 1 AND k.layer_role <> 'base_statement_layer') AS intermediate, count(*) FILTER (k.rn > 1 AND k.layer_role = 'base_statement_layer') AS duplicate_base, count(*) FILTER (k.rn > 1 AND k.layer_role <> 'base_statement_layer') AS duplicate_intermediate FROM attached a LEFT JOIN kept k USING (ord)")
+@query("collect_statements", "SELECT count(*) AS records, count(*) FILTER (a.topic_id IS NULL) AS unmapped, count(*) FILTER (a.mapping_method = 'nearest_canonical_ancestor') AS ancestor_mapped, count(*) FILTER (k.rn = 1) AS attached, count(*) FILTER (k.rn = 1 AND k.layer_role = 'base_statement_layer') AS base, count(*) FILTER (k.rn = 1 AND k.layer_role <> 'base_statement_layer') AS intermediate, count(*) FILTER (k.rn > 1 AND k.layer_role = 'base_statement_layer') AS duplicate_base, count(*) FILTER (k.rn > 1 AND k.layer_role <> 'base_statement_layer') AS duplicate_intermediate FROM attached a LEFT JOIN kept k USING (ord)")
 def collect_statements(spark, d):
     return merges.collect_statements(fixture(spark, d, "statements"), fixture(spark, d, "topics"))[1]
 
 
+@query("collect_statements_rows", f"SELECT * FROM ({NORMAL_SQL})")
+def collect_statements_rows(spark, d):
+    return canonical_columns(merges.collect_statements(with_parts(fixture(spark, d, "statements")), fixture(spark, d, "topics"))[0])
+
+
 PRESERVED_SQL = """now AS (SELECT * FROM kept WHERE rn = 1 AND ord % 2 = 0), old AS (SELECT * FROM attached WHERE topic_id IS NOT NULL AND ord % 2 = 1 AND stage = 'current'),
     fresh AS (SELECT *, row_number() OVER (PARTITION BY topic_id, CASE WHEN title_key <> '' THEN 't' || title_key ELSE 'o' || ord END ORDER BY ord) AS fr FROM old o WHERE title_key = '' OR NOT EXISTS (SELECT 1 FROM now WHERE now.topic_id = o.topic_id AND now.title_key = o.title_key))"""
 
@@ -129,18 +135,51 @@ def merge_preserved(spark, d):
     return merges.merge_preserved(current, old, fixture(spark, d, "topics")).select("topic_id", "statement_id", "reminted")
 
 
+@query("preserved_titles", "SELECT topic_id, CASE WHEN pos % 3 <> 0 AND title <> '' AND depth > 0 THEN 'Old ' || title ELSE title END AS title FROM topics")
+def preserved_titles(spark, d):
+    t = fixture(spark, d, "topics")
+    old = t.where("depth > 0").select("topic_id", F.when(F.col("title") != "", F.concat(F.lit("Old "), "title")).otherwise("").alias("title"))
+    return merges.preserved_titles(t.withColumn("structural_adjustment", F.col("pos") % 3 == 0), old).select("topic_id", "title")
+
+
+REVISED_SQL = f"""{MATCH_SQL}, ali AS (SELECT topic_id AS source_node_id, 'R2.N2' AS target_node_id FROM topics WHERE depth = 2 AND pos % 10 = 3 AND starts_with(topic_id, 'R2.N2.')),
+    inside AS (SELECT a.*, m.new_topic_id FROM attached a JOIN topics t USING (topic_id) LEFT JOIN matched m USING (topic_id) WHERE a.topic_id = 'R2.N2' OR starts_with(a.topic_id, 'R2.N2.')),
+    revised AS (SELECT * EXCLUDE (topic_id, new_topic_id, statement_id, title, title_key), new_topic_id AS topic_id, CASE WHEN ord % 8 = 0 THEN statement_id ELSE 'rev_' || ord END AS statement_id, CASE WHEN ord % 3 = 0 THEN 'Revised ' || title ELSE title END AS title, CASE WHEN ord % 3 = 0 THEN lower(trim('Revised ' || title)) ELSE title_key END AS title_key FROM inside WHERE new_topic_id IS NOT NULL AND ord % 4 = 0),
+    sent AS (SELECT i.* EXCLUDE (topic_id, new_topic_id), coalesce(ali.target_node_id, new_topic_id) AS topic_id FROM inside i LEFT JOIN ali USING (source_node_id)),
+    fresh AS (SELECT * FROM sent WHERE topic_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM revised r WHERE r.topic_id = sent.topic_id AND r.title_key = sent.title_key AND r.title_key <> '') AND statement_id NOT IN (SELECT statement_id FROM revised)),
+    everyone AS (SELECT topic_id, statement_id, title_key, evidence, confidence, mapping_method, latex, plain, ord FROM attached WHERE topic_id IS NOT NULL AND ord NOT IN (SELECT ord FROM inside) UNION ALL SELECT topic_id, statement_id, title_key, evidence, confidence, mapping_method, latex, plain, ord FROM revised
+        UNION ALL SELECT topic_id, statement_id, title_key, evidence, confidence, mapping_method, latex, plain, ord FROM fresh),
+    best AS (SELECT *, row_number() OVER (PARTITION BY topic_id, CASE WHEN title_key <> '' THEN 't' || title_key ELSE 'i' || statement_id END ORDER BY evidence > 0 DESC, evidence DESC, confidence DESC, mapping_method = 'explicit_node_alias' DESC, length(latex) + length(plain) DESC, ord) AS rn FROM everyone)"""
+
+
+def installed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """A revision of one nation that brings some statements of its own, with aliases of some of its old leaves."""
+    t, a = fixture(spark, d, "topics"), attached(spark, d).where("topic_id is not null")
+    new = place.match_id_or_title(place.subtree(t, "R2.N2"), revision(spark, d)).where("new_topic_id is not null").select("topic_id", "new_topic_id")
+    own = a.where("ord % 4 = 0").join(new, "topic_id").withColumn("topic_id", F.col("new_topic_id"))
+    own = own.withColumn("statement_id", F.when(F.col("ord") % 8 == 0, F.col("statement_id")).otherwise(F.concat(F.lit("rev_"), "ord"))).withColumn("title", F.when(F.col("ord") % 3 == 0, F.concat(F.lit("Revised "), "title")).otherwise(F.col("title")))
+    aliases = place.subtree(t, "R2.N2").where("depth = 2 and pos % 10 = 3").select(F.col("topic_id").alias("source_node_id"), F.lit("R2.N2").alias("target_node_id"))
+    return merges.install_revision(t, revision(spark, d), a, "R2.N2", own, aliases)
+
+
+@query("install_revision", f"WITH {REVISED_SQL} SELECT topic_id, statement_id FROM best WHERE rn = 1")
+def install_revision(spark, d):
+    return installed(spark, d)[1].select("topic_id", "statement_id")
+
+
 @query(
-    "install_revision",
-    f"""WITH {MATCH_SQL}, c AS (SELECT a.* EXCLUDE (topic_id), coalesce(m.new_topic_id, a.topic_id) AS topic_id FROM attached a LEFT JOIN matched m USING (topic_id) WHERE a.topic_id IS NOT NULL AND (m.method IS NULL OR m.method <> 'unmapped')),
-    b AS (SELECT *, row_number() OVER (PARTITION BY topic_id, CASE WHEN title_key <> '' THEN 't' || title_key ELSE 'i' || statement_id END ORDER BY evidence > 0 DESC, evidence DESC, confidence DESC, mapping_method = 'exact_topic_id' DESC, length(latex) + length(plain) DESC, ord) AS rn FROM c)
-    SELECT topic_id, statement_id FROM b WHERE rn = 1""",
+    "install_revision_report",
+    f"""WITH {REVISED_SQL}, n AS (SELECT (SELECT count(*) FROM topics) AS topics_before, (SELECT count(*) FROM topics WHERE NOT (topic_id = 'R2.N2' OR starts_with(topic_id, 'R2.N2.'))) + (SELECT count(*) FROM rev) AS topics_after,
+    (SELECT count(*) FROM attached WHERE topic_id IS NOT NULL) AS statements_before, (SELECT count(*) FROM best WHERE rn = 1) AS statements_after, (SELECT count(*) FROM sent WHERE topic_id IS NULL) AS unmapped_statements,
+    (SELECT count(*) FROM sent WHERE topic_id IS NOT NULL) - (SELECT count(*) FROM fresh) AS skipped_statements, (SELECT count(*) FROM fresh) AS carried_statements)
+    SELECT *, topics_after - topics_before AS topic_delta, statements_after - statements_before AS statement_delta FROM n""",
 )
-def install_revision(spark, d):
-    return merges.install_revision(fixture(spark, d, "topics"), revision(spark, d), attached(spark, d).where("topic_id is not null"), "R2.N2")[1].select("topic_id", "statement_id")
+def install_revision_report(spark, d):
+    return installed(spark, d)[3]
 
 
-RELOCATE_SQL = """WITH m AS (SELECT a.* EXCLUDE (topic_id, ord), CASE WHEN starts_with(source_node_id, 'R1.N1.') AND mapping_method = 'exact_topic_id' THEN 'R1.N6' ELSE topic_id END AS topic_id, ord + CASE WHEN starts_with(source_node_id, 'R1.N1.') AND mapping_method = 'exact_topic_id' THEN 1000000000000 ELSE 0 END AS ord FROM attached a WHERE topic_id IS NOT NULL),
-    b AS (SELECT *, row_number() OVER (PARTITION BY topic_id, CASE WHEN title_key <> '' THEN 't' || title_key ELSE 'i' || statement_id END ORDER BY evidence > 0 DESC, evidence DESC, confidence DESC, mapping_method = 'exact_topic_id' DESC, length(latex) + length(plain) DESC, ord) AS rn FROM m)
+RELOCATE_SQL = """WITH m AS (SELECT a.* EXCLUDE (topic_id, ord), CASE WHEN starts_with(source_node_id, 'R1.N1.') AND mapping_method = 'exact_topic_id' THEN 'R1.N6' ELSE topic_id END AS topic_id, ord + CASE WHEN starts_with(source_node_id, 'R1.N1.') AND mapping_method = 'exact_topic_id' THEN 1000000000000000 ELSE 0 END AS ord FROM attached a WHERE topic_id IS NOT NULL),
+    b AS (SELECT *, row_number() OVER (PARTITION BY topic_id, CASE WHEN title_key <> '' THEN 't' || title_key ELSE 'i' || statement_id END ORDER BY evidence > 0 DESC, evidence DESC, confidence DESC, mapping_method = 'explicit_node_alias' DESC, length(latex) + length(plain) DESC, ord) AS rn FROM m)
     SELECT topic_id, statement_id FROM b WHERE rn = 1"""
 
 
@@ -162,12 +201,11 @@ def merge_layer(spark, d):
     s, now = fixture(spark, d, "statements"), kept(spark, d).where("ord % 3 = 0")
     least = now.agg(F.min("statement_id").alias("least"))
     layer = s.where("ord % 3 <> 0").join(F.broadcast(least)).withColumn("statement_id", F.when(F.col("ord") % 7 == 0, F.col("least")).otherwise(F.col("statement_id"))).drop("least")  # one row
-    return merges.merge_layer(now, layer, fixture(spark, d, "topics"), True).select("ord", "outcome")
+    return merges.merge_layer(now, layer, fixture(spark, d, "topics"), merges.LAYER_STATUS[0], False, layer.count()).select("ord", "outcome")
 
 
 def prepared(spark: SparkSession, d: str) -> DataFrame:
-    k = fixture(spark, d, "candidates")
-    return merges.prepare_candidates(*[k.where(F.col("stage") == s) for s in ("build", "reviewed", "published")])
+    return merges.prepare_candidates(fixture(spark, d, "candidates"))
 
 
 @query("prepare_candidates", f"SELECT source_item_id, stage, 'stmt_0809_' || substring(sha256(source_item_id), 1, 20) AS statement_id, {KEY_SQL.format('title')} AS title_key FROM ({STAGE_SQL})")
@@ -178,17 +216,19 @@ def prepare_candidates(spark, d):
 CANDIDATE_SQL = f"""prep AS (SELECT * EXCLUDE (rn), {KEY_SQL.format('title')} AS title_key FROM ({STAGE_SQL})),
     prop AS (SELECT p.*, CASE WHEN coalesce(a.target_node_id, parent_hint) IN (SELECT topic_id FROM topics) THEN coalesce(a.target_node_id, parent_hint) ELSE root_hint END AS parent FROM prep p LEFT JOIN aliases a ON a.source_node_id = parent_hint),
     ch AS (SELECT parent_topic_id AS parent, lower(title) AS title_key, min(topic_id) AS topic_id FROM topics WHERE depth > 0 GROUP BY 1, 2 HAVING count(*) = 1),
-    box AS (SELECT parent, title_key, parent || '.WEB' || upper(substring(sha256(parent || chr(10) || title_key), 1, 12)) AS topic_id, min_by(title, ord) AS title, count(DISTINCT campaign) AS campaigns, count(DISTINCT campaign || '|' || locator) AS n_witnesses FROM prop p
-        WHERE stage <> 'build' AND NOT EXISTS (SELECT 1 FROM ch WHERE ch.parent = p.parent AND ch.title_key = p.title_key) GROUP BY 1, 2 HAVING count(DISTINCT campaign) >= 2)"""
+    box AS (SELECT parent, title_key, parent || '.WEB' || upper(substring(sha256(parent || chr(10) || title_key), 1, 12)) AS topic_id, min_by(title, ord) AS title, string_agg(DISTINCT campaign, ',' ORDER BY campaign) AS campaigns, count(DISTINCT source_item_id) AS n_items FROM prop p
+        WHERE stage <> '0809_campaign_build' AND NOT EXISTS (SELECT 1 FROM ch WHERE ch.parent = p.parent AND ch.title_key = p.title_key) GROUP BY 1, 2 HAVING count(DISTINCT campaign) >= 2)"""
 PLACED_SQL = f"""{CANDIDATE_SQL}, un AS (SELECT lower(title) AS title_key, min(topic_id) AS topic_id FROM (SELECT topic_id, title FROM topics UNION ALL SELECT topic_id, title FROM box) GROUP BY 1 HAVING count(*) = 1),
-    hint AS (SELECT x.ord, i, original, coalesce(a.target_node_id, original) AS h FROM (SELECT ord, unnest([0, 1]) AS i, unnest([node_hint, parent_hint]) AS original FROM prep) x LEFT JOIN aliases a ON a.source_node_id = original),
-    hp AS (SELECT ord, i, any_value(original) AS original, any_value(h) AS h, max_by(p, length(p)) AS topic_id FROM (SELECT *, unnest(list_transform(range(1, len(string_split(h, '.')) + 1), lambda i: array_to_string(string_split(h, '.')[1:i], '.'))) AS p FROM hint) WHERE p IN (SELECT topic_id FROM topics) GROUP BY 1, 2),
-    options AS (SELECT p.ord, 1 AS pos, ch.topic_id, 'exact_child_title' AS method FROM prop p JOIN ch USING (parent, title_key) UNION ALL SELECT p.ord, 2, box.topic_id, 'cross_source_consensus' FROM prop p JOIN box USING (parent, title_key)
-        UNION ALL SELECT p.ord, 3, un.topic_id, 'unique_title_same_part' FROM prop p JOIN un USING (title_key) WHERE string_split(p.parent, '.')[1] = string_split(un.topic_id, '.')[1]
-        UNION ALL SELECT ord, 10 + i, topic_id, CASE WHEN h <> original THEN 'explicit_node_alias' WHEN i = 0 THEN 'campaign_existing_node' ELSE 'campaign_parent' END || CASE WHEN topic_id <> original THEN '_ancestor' ELSE '' END FROM hp),
-    placed AS (SELECT prep.*, o.topic_id, coalesce(o.method, 'no_live_target') AS mapping_method FROM prep LEFT JOIN (SELECT ord, min_by(topic_id, pos) AS topic_id, min_by(method, pos) AS method FROM options GROUP BY ord) o USING (ord)),
-    judged AS (SELECT *, CASE WHEN mapping_method = 'no_live_target' THEN 'no_live_target' WHEN stage = 'build' THEN 'builder_only' WHEN mapping_method LIKE '%\\_ancestor' ESCAPE '\\' OR mapping_method LIKE 'campaign\\_parent%' ESCAPE '\\' THEN 'ancestor_or_parent_fallback'
-        WHEN stage = 'reviewed' AND mapping_method = 'explicit_node_alias' THEN 'not_allowed_for_stage' END AS reason FROM placed),
+    listed AS (SELECT ord, list_filter([{{'m': 'campaign_existing_node', 'h': trim(node_hint)}}, {{'m': 'campaign_preferred_home', 'h': home_hint}}, {{'m': 'campaign_parent_fallback', 'h': fallback_hint}}], lambda x: x.h <> '') AS hs, affected_hint FROM prep),
+    hints AS (SELECT ord, CASE WHEN len(hs) = 0 AND affected_hint <> '' THEN [{{'m': 'campaign_single_affected_node', 'h': affected_hint}}] ELSE hs END AS hs FROM listed),
+    hint AS (SELECT x.ord, i, x.x.m AS m, x.x.h AS original, coalesce(a.target_node_id, x.x.h) AS h FROM (SELECT ord, unnest(hs) AS x, unnest(range(len(hs))) AS i FROM hints) x LEFT JOIN aliases a ON a.source_node_id = x.x.h),
+    hp AS (SELECT ord, i, any_value(m) AS m, any_value(original) AS original, any_value(h) AS h, max_by(p, length(p)) AS topic_id FROM (SELECT *, unnest(list_transform(range(1, len(string_split(h, '.')) + 1), lambda i: array_to_string(string_split(h, '.')[1:i], '.'))) AS p FROM hint) WHERE p IN (SELECT topic_id FROM topics) GROUP BY 1, 2),
+    options AS (SELECT p.ord, -3 AS pos, ch.topic_id, 'campaign_exact_sibling_title' AS method, '' AS original FROM prop p JOIN ch USING (parent, title_key) UNION ALL SELECT p.ord, -2, box.topic_id, 'campaign_cross_source_candidate_container', '' FROM prop p JOIN box USING (parent, title_key)
+        UNION ALL SELECT p.ord, -1, un.topic_id, 'campaign_unique_same_part_title', '' FROM prop p JOIN un USING (title_key) WHERE string_split(p.parent, '.')[1] = string_split(un.topic_id, '.')[1]
+        UNION ALL SELECT ord, i, topic_id, CASE WHEN h <> original THEN 'explicit_node_alias' ELSE m END || CASE WHEN topic_id <> original THEN '_ancestor' ELSE '' END, original FROM hp),
+    placed AS (SELECT prep.*, o.topic_id, coalesce(o.method, 'no_live_target') AS mapping_method, coalesce(o.original, '') AS original_placement_hint FROM prep LEFT JOIN (SELECT ord, min_by(topic_id, pos) AS topic_id, min_by(method, pos) AS method, min_by(original, pos) AS original FROM options GROUP BY ord) o USING (ord)),
+    judged AS (SELECT *, CASE WHEN mapping_method = 'no_live_target' THEN 'no_live_target' WHEN stage = '0809_campaign_build' THEN 'builder_only_not_independently_reviewed' WHEN contains(mapping_method, 'ancestor') OR mapping_method = 'campaign_parent_fallback' THEN 'missing_or_unresolved_specific_container'
+        WHEN mapping_method = 'campaign_single_affected_node' THEN 'affected_node_is_not_a_confirmed_primary_owner' WHEN stage = '0809_campaign_published' AND mapping_method = 'campaign_preferred_home' THEN 'placement_not_in_public_allowlist' END AS reason FROM placed),
     split AS (SELECT *, CASE WHEN reason IS NOT NULL THEN 'quarantined' WHEN row_number() OVER (PARTITION BY topic_id, title_key, reason IS NULL ORDER BY source_item_id) = 1 AND NOT EXISTS (SELECT 1 FROM kept k WHERE k.rn = 1 AND k.topic_id = judged.topic_id AND k.title_key = judged.title_key) THEN 'public' ELSE 'duplicate_title' END AS outcome FROM judged)"""
 
 
@@ -199,14 +239,14 @@ def placed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return merges.place_candidates(k, t, a, boxes, p), boxes
 
 
-@query("materialize_containers", f"WITH {CANDIDATE_SQL} SELECT topic_id, title, campaigns, n_witnesses FROM box")
+@query("materialize_containers", f"WITH {CANDIDATE_SQL} SELECT box.topic_id, box.parent AS parent_topic_id, t.domain_id, box.title, t.depth + 1 AS depth, 'textbook_candidate_topic' AS axis, 'statement_attached' AS knowledge_status, campaigns, n_items FROM box JOIN topics t ON t.topic_id = box.parent")
 def materialize_containers(spark, d):
-    return placed(spark, d)[1].select("topic_id", "title", F.size("campaigns").cast("long").alias("campaigns"), "n_witnesses")
+    return placed(spark, d)[1].select("topic_id", "parent_topic_id", "domain_id", "title", "depth", "axis", "knowledge_status", F.array_join("campaigns", ",").alias("campaigns"), F.size("items").cast("long").alias("n_items"))
 
 
-@query("place_candidates", f"WITH {PLACED_SQL} SELECT ord, coalesce(topic_id, '') AS topic_id, mapping_method FROM placed")
+@query("place_candidates", f"WITH {PLACED_SQL} SELECT ord, coalesce(topic_id, '') AS topic_id, mapping_method, original_placement_hint FROM placed")
 def place_candidates(spark, d):
-    return placed(spark, d)[0].select("ord", F.coalesce("topic_id", F.lit("")).alias("topic_id"), "mapping_method")
+    return placed(spark, d)[0].select("ord", F.coalesce("topic_id", F.lit("")).alias("topic_id"), "mapping_method", "original_placement_hint")
 
 
 def split(spark: SparkSession, d: str) -> DataFrame:
@@ -218,6 +258,19 @@ def quarantine_split(spark, d):
     return split(spark, d).select("ord", F.coalesce("reason", F.lit("")).alias("reason"), "outcome")
 
 
+@query(
+    "quarantine_records",
+    f"""WITH {PLACED_SQL} SELECT s.source_item_id, s.campaign, s.stage, s.reason, CASE WHEN reason = 'no_live_target' THEN '' ELSE mapping_method END AS mapping_method, coalesce(s.topic_id, '') AS attempted_topic_id, original_placement_hint, title AS statement_title,
+    coalesce(list_aggregate(list_transform(h.hs, lambda x: x.m || '=' || x.h), 'string_agg', ','), '') AS placement_hints, confidence AS review_confidence, fallback_hint AS parent_candidate_ids, scope_note, home_hint AS preferred_home_node_id, s.affected_hint AS affected_existing_node_ids
+    FROM split s JOIN hints h USING (ord) WHERE outcome = 'quarantined'""",
+)
+def quarantine_records(spark, d):
+    r = merges.quarantine_records(split(spark, d))
+    hints = F.array_join(F.transform("placement_hints", lambda x: F.concat_ws("=", x["method"], x["hint"])), ",")
+    flat = r.select(*[c for c in r.columns[:-2] if c != "placement_hints"], hints.alias("placement_hints"), "new_node_candidate.*", "directory_assessment.*")
+    return flat.withColumns({c: F.array_join(c, ",") for c in ("parent_candidate_ids", "affected_existing_node_ids")})
+
+
 REPORT_SQL = " UNION ALL ".join(f"SELECT CASE WHEN reason IS NULL THEN 'added' ELSE 'quarantined' END AS state, '{n}' AS dimension, {c} AS value, count(*) AS n FROM judged WHERE {c} IS NOT NULL GROUP BY 1, 2, 3" for n, c in (("domain", "string_split(topic_id, '.')[1]"), ("stage", "stage"), ("method", "mapping_method"), ("reason", "reason")))
 
 
@@ -226,37 +279,70 @@ def placement_report(spark, d):
     return agg.placement_report(placed(spark, d)[0].withColumn("reason", merges.quarantine_reason()).withColumn("domain_id", F.substring_index("topic_id", ".", 1)))
 
 
-MOVES = [("R1.N2", "D1"), ("R1.N3", "D2"), ("R2", "D3"), ("R3.N3", "D4")]
+MOVES = [("R1.N2", "D1", "25"), ("R1.N3", "D2", "26"), ("R2", "D3", "27"), ("R3.N3", "D4", "28")]
 _INSIDE = "(topic_id = '{0}' OR starts_with(topic_id, '{0}.'))"
-MOVED_SQL = "SELECT topic_id, CASE " + " ".join(f"WHEN {_INSIDE.format(r)} THEN '{r}'" for r, _ in reversed(MOVES)) + " END AS moved_root, CASE " + " ".join(f"WHEN {_INSIDE.format(r)} THEN '{n}'" for r, n in reversed(MOVES)) + " ELSE domain_id END AS domain_id, depth, parent_topic_id FROM topics"
+NUMBERS_SQL = """r AS (SELECT topic_id, parent_topic_id, depth, row_number() OVER (PARTITION BY parent_topic_id ORDER BY kind, pos, topic_id) AS rank FROM topics WHERE depth > 0),
+    numbers AS (SELECT topic_id, substring(topic_id, 2) AS number FROM topics WHERE depth = 0 UNION ALL SELECT topic_id, substring(parent_topic_id, 2) || '.' || rank FROM r WHERE depth = 1
+    UNION ALL SELECT a.topic_id, substring(b.parent_topic_id, 2) || '.' || b.rank || '.' || a.rank FROM r a JOIN r b ON a.parent_topic_id = b.topic_id WHERE a.depth = 2)"""
+MOVED_SQL = f"""{NUMBERS_SQL}, mv AS (SELECT topic_id, CASE {" ".join(f"WHEN {_INSIDE.format(r)} THEN '{r}'" for r, _, _ in reversed(MOVES))} END AS moved_root, CASE {" ".join(f"WHEN {_INSIDE.format(r)} THEN '{n}'" for r, n, _ in reversed(MOVES))} ELSE domain_id END AS domain_id,
+    CASE {" ".join(f"WHEN {_INSIDE.format(r)} THEN '{n}'" for r, _, n in reversed(MOVES))} END AS new_number, depth, parent_topic_id FROM topics),
+    gone AS (SELECT mv.topic_id, mv.domain_id, moved_root, CAST(CASE WHEN moved_root IS NULL THEN mv.depth ELSE mv.depth - (len(string_split(moved_root, '.')) - 1) END AS INT) AS depth, CASE WHEN moved_root = mv.topic_id THEN '' ELSE coalesce(parent_topic_id, '') END AS parent_topic_id,
+        CASE WHEN moved_root IS NULL THEN n.number ELSE new_number || substring(n.number, length(o.number) + 1) END AS number FROM mv JOIN numbers n USING (topic_id) LEFT JOIN numbers o ON o.topic_id = moved_root)"""
+
+
+def extracted(spark: SparkSession, d: str) -> DataFrame:
+    t = fixture(spark, d, "topics")
+    return merges.extract_subtrees(t.join(win.display_numbers(t), "topic_id"), MOVES)
 
 
-@query("extract_subtrees", f"SELECT topic_id, domain_id, CAST(CASE WHEN moved_root IS NULL THEN depth ELSE depth - (len(string_split(moved_root, '.')) - 1) END AS INT) AS depth, CASE WHEN moved_root = topic_id THEN '' ELSE coalesce(parent_topic_id, '') END AS parent_topic_id FROM ({MOVED_SQL})")
+@query("extract_subtrees", f"WITH {MOVED_SQL} SELECT topic_id, domain_id, depth, parent_topic_id, number FROM gone")
 def extract_subtrees(spark, d):
-    return merges.extract_subtrees(fixture(spark, d, "topics"), MOVES).select("topic_id", "domain_id", "depth", F.coalesce("parent_topic_id", F.lit("")).alias("parent_topic_id"))
+    return extracted(spark, d).select("topic_id", "domain_id", "depth", F.coalesce("parent_topic_id", F.lit("")).alias("parent_topic_id"), "number")
+
+
+@query("extract_subtrees_report", f"WITH {MOVED_SQL} SELECT moved_root, domain_id, count(DISTINCT gone.topic_id) AS topics_moved, count(k.ord) AS statements_kept FROM gone LEFT JOIN (SELECT * FROM kept WHERE rn = 1) k ON k.topic_id = gone.topic_id WHERE moved_root IS NOT NULL GROUP BY 1, 2")
+def extract_subtrees_report(spark, d):
+    return merges.extract_report(extracted(spark, d), kept(spark, d))
+
+
+@query("extract_subtrees_routes", f"WITH {MOVED_SQL} SELECT a.topic_id, a.ancestor_id AS chapter_id FROM (SELECT g.topic_id, g.topic_id AS ancestor_id FROM gone g UNION ALL SELECT g.topic_id, p.topic_id FROM gone g JOIN gone p ON g.parent_topic_id = p.topic_id UNION ALL SELECT g.topic_id, q.topic_id FROM gone g JOIN gone p ON g.parent_topic_id = p.topic_id JOIN gone q ON p.parent_topic_id = q.topic_id) a JOIN gone c ON c.topic_id = a.ancestor_id WHERE c.depth = CASE WHEN starts_with(c.domain_id, 'D') THEN 0 ELSE 1 END")
+def extract_subtrees_routes(spark, d):
+    moved = cut(extracted(spark, d))
+    return src.node_routes(place.ancestors(moved), moved, [domain for _, domain, _ in MOVES])
 
 
 def workbook(spark: SparkSession, d: str) -> DataFrame:
     t = fixture(spark, d, "topics")
-    return merges.rename_export(t, place.breadcrumbs(t))
+    return merges.rename_export(t, place.breadcrumbs(t), t.where("depth = 0").select("domain_id", F.concat(F.lit("Domain "), "title").alias("display_name")))
 
 
-@query("rename_export", "SELECT 'topic:' || t.topic_id AS stable_id, t.domain_id AS batch_id, t.title AS current_title, p.path, (SELECT count(*) FROM topics c WHERE c.parent_topic_id = t.topic_id) AS child_count FROM topics t JOIN (SELECT a.topic_id, string_agg(u.title, '/' ORDER BY a.distance DESC) AS path FROM above a JOIN topics u ON a.ancestor_id = u.topic_id GROUP BY 1) p USING (topic_id)")
+@query("rename_export", "SELECT 'topic' AS record_type, 'topic:' || t.topic_id AS stable_id, t.domain_id AS batch_id, t.title AS current_title, p.path, (SELECT count(*) FROM topics c WHERE c.parent_topic_id = t.topic_id) AS child_count FROM topics t JOIN (SELECT a.topic_id, string_agg(u.title, '/' ORDER BY a.distance DESC) AS path FROM above a JOIN topics u ON a.ancestor_id = u.topic_id GROUP BY 1) p USING (topic_id) UNION ALL SELECT 'domain', 'domain:' || topic_id, topic_id, 'Domain ' || title, 'Domain ' || title, 1 FROM topics WHERE depth = 0")
 def rename_export(spark, d):
-    return workbook(spark, d).select("stable_id", "batch_id", "current_title", F.array_join("path", "/").alias("path"), "child_count")
+    return workbook(spark, d).select("record_type", "stable_id", "batch_id", "current_title", F.array_join("path", "/").alias("path"), "child_count")
 
 
-def renamed(spark: SparkSession, d: str) -> DataFrame:
+def renamed(exported: DataFrame) -> DataFrame:
     """The workbook with some new titles, some of them bad."""
-    pos = F.crc32(F.col("topic_id").cast("binary")) % 10
-    new = F.when(pos == 0, F.concat(F.lit("New "), "current_title")).when(pos == 1, F.concat("current_title", F.lit(" "))).when(pos == 2, "").otherwise(F.col("current_title"))
-    return workbook(spark, d).withColumn("new_title", new)
+    at = F.conv(F.substring(F.md5(F.col("topic_id").cast("binary")), 1, 2), 16, 10).cast("int") % 10
+    new = F.when(at == 0, F.concat(F.lit("New "), "current_title")).when(at == 1, F.concat("current_title", F.lit(" "))).when(at == 2, "").when(at == 3, F.concat(F.lit("Two\n"), "current_title")).otherwise(F.col("current_title"))
+    return exported.withColumn("new_title", new)
 
 
-@query("rename_validate")
+RENAMED_SQL = """b AS (SELECT 'topic:' || topic_id AS id, domain_id, parent_topic_id, topic_id, title, CAST('0x' || substr(md5(topic_id), 1, 2) AS INT) % 10 AS tenth FROM topics),
+    w AS (SELECT *, CASE tenth WHEN 0 THEN 'New ' || title WHEN 1 THEN title || ' ' WHEN 2 THEN '' WHEN 3 THEN 'Two' || chr(10) || title ELSE title END AS new FROM b),
+    twin AS (SELECT topic_id FROM (SELECT topic_id, count(*) OVER (PARTITION BY domain_id, parent_topic_id, lower(new)) AS n FROM w) WHERE n > 1)"""
+_ROW = "SELECT '{0}' AS code, count(*) AS failed_count, min({1}) AS sample FROM {2}"
+
+
+@query(
+    "rename_validate",
+    f"WITH {RENAMED_SQL} " + " UNION ALL ".join([_ROW.format(c, "id", f"w WHERE {x}") for c, x in (("duplicate_id", "false"), ("empty_title", "trim(new) = ''"), ("untrimmed_title", "trim(new) <> new"), ("multiline_title", "contains(new, chr(10))"), ("coverage", "false"), ("title_drift", "false"), ("protected_hash", "false"))])
+    + " UNION ALL " + _ROW.format("sibling_collision", "topic_id", "twin") + " UNION ALL SELECT 'record_count', 1, 'workbook'",
+)
 def rename_validate(spark, d):
-    exported = workbook(spark, d)
-    return checks.rename_validate(renamed(spark, d), exported, fixture(spark, d, "topics"))
+    exported = cut(workbook(spark, d))
+    digest = agg.protected_hash(exported, "new_title").first()[0]
+    return checks.rename_validate(renamed(exported), exported, fixture(spark, d, "topics"), exported.count() + 1, digest)
 
 
 OCCURRENCES_SQL = "SELECT 'tree-' || domain_id AS file, topic_id, title FROM topics UNION ALL SELECT 'manifest', topic_id, title FROM topics WHERE depth < 2"
@@ -284,9 +370,18 @@ def rename_restore(spark, d):
 # --- checks
 
 
-@query("check_render_contract", "SELECT statement_id, 'missing_title' AS reason FROM statements WHERE title = '' UNION ALL SELECT statement_id, 'missing_body' FROM (SELECT statement_id, CASE WHEN ord % 3 = 0 THEN '' ELSE latex END AS latex, plain FROM statements) WHERE latex = '' AND plain = ''")
+@query(
+    "check_render_contract",
+    """WITH s AS (SELECT statement_id, title, CASE WHEN ord % 3 = 0 THEN '' ELSE latex END AS latex, plain, ord FROM statements) SELECT statement_id, 'missing_title' AS reason FROM s WHERE title = '' UNION ALL SELECT statement_id, 'missing_body' FROM s WHERE latex = '' AND plain = ''
+    UNION ALL SELECT statement_id, 'assumptions_latex_is_no_list' FROM s WHERE ord % 5 = 1 UNION ALL SELECT statement_id, 'source_refs_is_no_list' FROM s WHERE ord % 7 = 1 UNION ALL SELECT statement_id, 'conclusion_is_no_object' FROM s WHERE ord % 4 = 3""",
+)
 def check_render_contract(spark, d):
-    return checks.render_contract(fixture(spark, d, "statements").withColumn("latex", F.when(F.col("ord") % 3 == 0, " ").otherwise(F.col("latex"))))
+    json = {
+        "assumptions_latex": F.when(F.col("ord") % 5 == 1, F.concat(F.lit('"'), "statement_id", F.lit('"'))).otherwise('["x"]'),
+        "source_refs": F.when(F.col("ord") % 7 == 1, "[1, ").when(F.col("ord") % 7 == 2, F.lit(None)).otherwise(" [] "),
+        "conclusion": F.when(F.col("ord") % 4 == 3, "[]").when(F.col("ord") % 4 == 1, F.concat(F.lit('{"rate_class": "'), "statement_id", F.lit('"}'))),
+    }
+    return checks.render_contract(fixture(spark, d, "statements").withColumn("latex", F.when(F.col("ord") % 3 == 0, " ").otherwise(F.col("latex"))).withColumns(json))
 
 
 @query("check_public_allowlist", f"WITH {PLACED_SQL} SELECT ord, stage, mapping_method FROM split WHERE outcome = 'public' AND mapping_method = 'campaign_existing_node'")
@@ -296,9 +391,11 @@ def check_public_allowlist(spark, d):
     return checks.public_allowlist(split(spark, d).where("outcome = 'public'"), allowed).select("ord", "stage", "mapping_method")
 
 
-@query("check_accounting", f"WITH {PLACED_SQL} SELECT count(*) AS candidates, count(*) FILTER (outcome = 'public') AS public, count(*) FILTER (outcome = 'quarantined') AS quarantined, count(*) FILTER (outcome = 'duplicate_title') AS duplicates, true AS balanced FROM split")
+@query("check_accounting", f"WITH {PLACED_SQL} SELECT count(*) AS candidates, count(*) FILTER (outcome = 'public') AS public, count(*) FILTER (outcome = 'quarantined') AS quarantined, count(*) FILTER (outcome = 'duplicate_title') AS duplicates, true AS balanced, 'candidates,public' AS misdeclared, (SELECT count(DISTINCT stage) FROM statements) AS layers, (SELECT count(DISTINCT stage) FROM statements WHERE stage <> 'current') AS partial_layers, CAST(1 AS BIGINT) AS misdeclared_layers FROM split")
 def check_accounting(spark, d):
-    return checks.accounting(split(spark, d))
+    layers = fixture(spark, d, "statements").groupBy("stage").agg(F.count("*").alias("records"))
+    layers = layers.select("records", (F.col("stage") != "current").alias("partial_run"), (F.col("records") + F.when(F.col("stage") == "current", 1).otherwise(0)).alias("declared_records"), F.lit(True).alias("declared_partial"))
+    return checks.accounting(split(spark, d), {"candidates": -1, "public": None, "balanced": 1 == 1}, layers)
 
 
 @query("check_stats_stale", "SELECT topic_id, 'statements' AS field, statements + 1 AS declared, statements AS computed FROM direct WHERE length(topic_id) % 5 = 0")
@@ -317,9 +414,16 @@ def broken(spark: SparkSession, d: str) -> DataFrame:
 BROKEN_SQL = "WITH b AS (SELECT * FROM topics WHERE NOT (depth = 1 AND domain_id = 'R2') UNION ALL SELECT * FROM topics WHERE depth = 1 AND domain_id = 'R1' UNION ALL SELECT 'R9', * EXCLUDE (topic_id) FROM topics WHERE depth = 0 AND domain_id = 'R4'), c AS (SELECT 'duplicate_topic_id' AS code, count(*) AS failed_count, min(topic_id) AS sample FROM (SELECT topic_id FROM b GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'missing_parent', count(*), min(topic_id) FROM b WHERE parent_topic_id NOT IN (SELECT topic_id FROM b) UNION ALL SELECT 'root_count', count(*), min(domain_id) FROM (SELECT domain_id FROM b GROUP BY 1 HAVING count(*) FILTER (parent_topic_id IS NULL) <> 1))"
 
 
-@query("check_structure", f"{BROKEN_SQL} SELECT * FROM c")
+EXPECTED_SQL = """SELECT * FROM c UNION ALL SELECT 'promoted_root', 2, 'R1.N1' UNION ALL SELECT 'moved_root_in_old_domain', 1, 'R3' UNION ALL SELECT 'unexpected_parent', 2, 'R2.N2' UNION ALL SELECT 'unexpected_title', 1, 'R1'
+    UNION ALL SELECT 'subtree_size', 1, 'R3' UNION ALL SELECT 'subtree_size', 0, NULL UNION ALL SELECT 'route_target', count(DISTINCT x), min(x) FROM (SELECT topic_id AS x FROM topics WHERE depth = 1 AND domain_id = 'R2' UNION ALL SELECT 'nowhere')"""
+
+
+@query("check_structure", f"{BROKEN_SQL} {EXPECTED_SQL}")
 def check_structure(spark, d):
-    return checks.structure(broken(spark, d))
+    t = broken(spark, d)
+    routes = fixture(spark, d, "topics").where("depth = 1").select("topic_id", F.lit("nowhere").alias("chapter_id"))
+    size = t.where("topic_id = 'R4' or startswith(topic_id, 'R4.')").count()
+    return checks.structure(t, {"R0": "R0", "R1.N1": "R1", "R7": "R7"}, {"R3": "R3", "R4": "R0"}, {"R1.N1": "R1", "R3.N3": "R1", "R2.N2": "R2"}, {"R1": "EUROPE?", "R0": "AFRICA"}, {"R3": 1, "R4": size}, routes)
 
 
 @query("check_forbidden_text", "SELECT topic_id, title FROM topics WHERE contains(lower(title), 'supplier') OR contains(lower(title), 'brand#1')")
@@ -374,12 +478,14 @@ def issue_activity_stream(spark, d):
     return drained(spark, log.activity(log.read_events(spark, events_again(spark, d))), "issue-activity")
 
 
-STATE_SQL = "SELECT issue_id, max_by(action, (created_at, event_id)) AS status, max(created_at) AS updated_at, max_by(event_id, (created_at, event_id)) AS last_event_id, count(*) AS n_events, min(created_at) AS opened_at FROM issue_events GROUP BY 1"
+#: What counts as an edit among the events of the test table.
+EDITS = ("purchase",)
+STATE_SQL = "SELECT issue_id, max_by(action, (created_at, event_id)) AS status, max(created_at) AS updated_at, max_by(event_id, (created_at, event_id)) AS last_event_id, count(*) AS n_events, count(*) FILTER (action = 'purchase') + 1 AS version, min(created_at) AS opened_at FROM issue_events GROUP BY 1"
 
 
 @query("issue_state", STATE_SQL)
 def issue_state(spark, d):
-    return log.state(fixture(spark, d, "issue_events"))
+    return log.state(fixture(spark, d, "issue_events"), EDITS)
 
 
 @query("issue_state_stream", STATE_SQL)
@@ -387,12 +493,12 @@ def issue_state_stream(spark, d):
     """The state kept by micro-batches equals that of all events."""
     out = scratch(spark, "issue-state")
     events = log.read_events(spark, events_again(spark, d), late="40 days", files=2)
-    events.writeStream.foreachBatch(log.upsert_state(out)).option("checkpointLocation", scratch(spark, "issue-state")).trigger(availableNow=True).start().awaitTermination()
+    events.writeStream.foreachBatch(log.upsert_state(out, EDITS, compact=2)).option("checkpointLocation", scratch(spark, "issue-state")).trigger(availableNow=True).start().awaitTermination()
     return log.read_state(spark, out)
 
 
 def issues(spark: SparkSession, d: str) -> DataFrame:
-    return log.state(fixture(spark, d, "issue_events")).withColumn("status", F.when(F.col("status") == "purchase", "resolved").otherwise(F.col("status")))
+    return log.state(fixture(spark, d, "issue_events"), EDITS).withColumn("status", F.when(F.col("status") == "purchase", "resolved").otherwise(F.col("status")))
 
 
 ISSUES_SQL = f"issues AS (SELECT * REPLACE (CASE WHEN status = 'purchase' THEN 'resolved' ELSE status END AS status) FROM ({STATE_SQL}))"

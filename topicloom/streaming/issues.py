@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 EVENTS = "event_id bigint, issue_id string, action string, created_at timestamp"
 HISTORY, RETRY_SECONDS, STAGGER_MS = 50, 60, 250
+#: What raises an issue's version, and after how many micro-batches their states are merged.
+EDITS, COMPACT = ("edited",), 50
 
 
 def read_events(spark: SparkSession, path: str, schema: str = EVENTS, late: str = "1 hour", files: int = 100) -> DataFrame:
@@ -22,25 +24,40 @@ def activity(events: DataFrame, width: str = "1 day") -> DataFrame:
     return events.groupBy(F.window("created_at", width), "action").count().select(F.col("window.start").alias("window_start"), "action", F.col("count").alias("n"))
 
 
-def state(events: DataFrame) -> DataFrame:
-    """The current state of each issue: its last event by time (not version, which status changes don't raise), and the number of its edits."""
-    return events.groupBy("issue_id").agg(F.max_by(F.struct("action", "created_at", "event_id"), F.struct("created_at", "event_id")).alias("s"), F.count("*").alias("n_events"), F.min("created_at").alias("opened_at")).select("issue_id", F.col("s.action").alias("status"), F.col("s.created_at").alias("updated_at"), F.col("s.event_id").alias("last_event_id"), "n_events", "opened_at")
+def state(events: DataFrame, edits: tuple[str, ...] = EDITS) -> DataFrame:
+    """The current state of each issue: its last event by time, and its version, 1 and one more for each edit (a change of status raises no version, so versions don't order events)."""
+    last = F.max_by(F.struct("action", "created_at", "event_id"), F.struct("created_at", "event_id"))
+    own = events.groupBy("issue_id").agg(last.alias("s"), F.count("*").alias("n_events"), F.count_if(F.col("action").isin(*edits)).alias("n_edits"), F.min("created_at").alias("opened_at"))
+    return own.select("issue_id", F.col("s.action").alias("status"), F.col("s.created_at").alias("updated_at"), F.col("s.event_id").alias("last_event_id"), "n_events", (F.col("n_edits") + 1).alias("version"), "opened_at")
 
 
-def upsert_state(path: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch: each micro-batch's states are kept under its own id, so a batch that runs again replaces itself; read_state() merges them."""
+def _merged(parts: DataFrame) -> DataFrame:
+    last = F.max_by(F.struct("status", "updated_at", "last_event_id"), F.struct("updated_at", "last_event_id"))
+    own = parts.groupBy("issue_id").agg(last.alias("s"), F.sum("n_events").alias("n_events"), (F.sum("version") - F.count("*") + 1).alias("version"), F.min("opened_at").alias("opened_at"))
+    return own.select("issue_id", "s.*", "n_events", "version", "opened_at")
+
+
+def upsert_state(path: str, edits: tuple[str, ...] = EDITS, compact: int = COMPACT) -> Callable[[DataFrame, int], None]:
+    """foreachBatch: each micro-batch's states are kept under its own id, so a batch that runs again replaces itself. Every `compact` batches those before are merged into one, so that at most `compact` and
+    one are read; merged folders are named by their last batch and read instead of what they hold."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        state(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        state(batch, edits).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        if batch_id and batch_id % compact == 0:
+            read_state(batch.sparkSession, path, below=batch_id).write.mode("overwrite").parquet(f"{path}/upto={batch_id - 1}")
 
     return write
 
 
-def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """The issues' states over all micro-batches; compacts to the same rows as state() over all events."""
-    parts = spark.read.option("basePath", path).parquet(path)
-    last = F.max_by(F.struct("status", "updated_at", "last_event_id"), F.struct("updated_at", "last_event_id"))
-    return parts.groupBy("issue_id").agg(last.alias("s"), F.sum("n_events").alias("n_events"), F.min("opened_at").alias("opened_at")).select("issue_id", "s.*", "n_events", "opened_at")
+def read_state(spark: SparkSession, path: str, below: int | None = None) -> DataFrame:
+    """The issues' states over all micro-batches (or those below a number), the same rows as state() over all their events: the last merged folder that is complete, and the batches after it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = [f.getPath().getName() for f in fs.listStatus(at) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+    number = lambda kind: [n for x in done if x.startswith(kind) and ((n := int(x.split("=")[1])) < below if below is not None else (n := int(x.split("=")[1])) >= 0)]
+    merged = max(number("upto="), default=-1)
+    paths = [f"{path}/batch={n}" for n in sorted(number("batch=")) if n > merged] + ([f"{path}/upto={merged}"] if merged >= 0 else [])
+    return _merged(spark.read.parquet(*paths))
 
 
 def retry_due(issues: DataFrame, now: Column) -> DataFrame:
