@@ -158,12 +158,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     """(key, fp, root, component_id, copies): root is a group's least fingerprint, component_id the least key linked to the row, copies how many rows have its fingerprint."""
     slim = cut(fingerprints(docs, key, text, shingle))
     distinct = cut(slim.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("copies")))
-    return labelled(slim, distinct, links(distinct.select("fp"), threshold))
+    return labelled(slim, distinct, connected_components(links(distinct.select("fp"), threshold)))
 
 
-def labelled(slim: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
-    """slim(key, fp) with the groups of distinct(fp, least, copies) that edges join."""
-    roots = connected_components(edges).withColumnRenamed("node", "fp")
+def labelled(slim: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataFrame:
+    """slim(key, fp) with the groups of distinct(fp, least, copies) by roots(node, root); a fingerprint without a root is a group."""
+    roots = roots.withColumnRenamed("node", "fp")
     joined = cut(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     least = cut(joined.groupBy("root").agg(F.min("least").alias("component_id")))  # so that both sides of the join below are plain shuffles, and a large group can be split
     labels = joined.join(least, "root").select("fp", "root", "component_id", "copies")
