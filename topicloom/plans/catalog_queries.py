@@ -10,7 +10,7 @@ from topicloom.operators import aggregates as agg
 from topicloom.operators import placement as place
 from topicloom.operators import projections as proj
 from topicloom.operators import windows as win
-from topicloom.plans.fixtures import fixture
+from topicloom.plans.fixtures import fixture, table
 from topicloom.plans.registration import query
 from topicloom.session import scratch
 from topicloom.sources import catalog as src
@@ -55,21 +55,23 @@ def flatten_tree(spark, d):
     return src.flatten_tree(catalogs(spark, d)).select("domain_id", "topic_id", "title", F.coalesce("parent_topic_id", F.lit("")).alias("parent_topic_id"), "depth")
 
 
-@query("restore_domain", "SELECT domain_id, topic_id, CASE WHEN pos % 3 = 0 THEN 'stub ' ELSE 'shard ' END || title AS root, pos % 3 <> 0 AS restored FROM topics WHERE depth = 1")
+@query("restore_domain", "SELECT domain_id, topic_id, CASE WHEN pos % 3 = 0 THEN 'stub ' ELSE 'shard ' END || title AS root, pos % 3 <> 0 AS restored FROM topics WHERE depth > 0")
 def restore_domain(spark, d):
-    chapters = fixture(spark, d, "topics").where("depth = 1").withColumn("shard_url", src.shard_url(F.col("domain_id"), F.col("topic_id")))
+    chapters = fixture(spark, d, "topics").where("depth > 0").withColumn("shard_url", src.shard_url(F.col("domain_id"), F.col("topic_id")))
     shards = chapters.where("pos % 3 <> 0").select("shard_url", F.col("topic_id").alias("chapter_id"), F.concat(F.lit("shard "), "title").alias("root"))
     return src.restore_domain(chapters.select("domain_id", "topic_id", "shard_url", F.concat(F.lit("stub "), "title").alias("raw")), shards)
 
 
 @query(
     "validated_shard_items",
-    """WITH f AS (SELECT source_item_id, campaign, campaign || '-' || (length(ord) % 7) || '.json' AS file_name, ord FROM candidates),
+    """WITH f AS (SELECT source_item_id, campaign, campaign || '-' || substring(split_part(source_item_id, '-', 1), 2) || '.json' AS file_name, ord FROM candidates),
     ok AS (SELECT * FROM f WHERE substring(file_name, 7, 1) <> '3' AND campaign <> 'camp4')
     SELECT source_item_id, campaign, file_name FROM (SELECT *, row_number() OVER (PARTITION BY source_item_id ORDER BY file_name DESC, ord DESC) AS rn FROM ok) WHERE rn = 1""",
 )
 def validated_shard_items(spark, d):
-    k = fixture(spark, d, "candidates").select("source_item_id", "campaign", F.concat("campaign", F.lit("-"), F.char_length("ord") % 7, F.lit(".json")).alias("file_name"), "ord")
+    """A shard holds a campaign's items of one order, so shards grow in number and not in length."""
+    order = F.expr("substring(substring_index(source_item_id, '-', 1), 2)")
+    k = fixture(spark, d, "candidates").select("source_item_id", "campaign", F.concat("campaign", F.lit("-"), order, F.lit(".json")).alias("file_name"), "ord")
     shards = k.groupBy("campaign", "file_name").agg(F.array_sort(F.collect_list(F.struct("ord", "source_item_id"))).alias("items"))
     stem = F.when(F.col("campaign") == "camp4", "other").otherwise(F.regexp_replace("file_name", "[.]json$", ""))
     shards = shards.select("campaign", F.lit("build").alias("phase"), "file_name", stem.alias("shard_id"), "items")
@@ -374,14 +376,17 @@ def alias_redirect(spark, d):
     return place.alias_redirect(k, fixture(spark, d, "aliases"), "node")
 
 
-@query("alias_map", "SELECT source_node_id, CASE WHEN source_node_id = 'R1.N6' THEN 'R1.N1' ELSE target_node_id END AS target_node_id FROM aliases")
+@query("alias_map", "SELECT topic_id AS source_node_id, CASE WHEN pos % 7 = 1 THEN domain_id ELSE parent_topic_id END AS target_node_id FROM topics WHERE depth > 0")
 def alias_map(spark, d):
-    a = fixture(spark, d, "aliases")
-    none = F.array().cast("array<string>")
-    one = a.select("source_node_id", F.col("source_node_id").alias("primary_target_node_id"), F.lit(None).cast("string").alias("target_node_id"), none.alias("target_node_ids"), (F.col("ord") + 5000).alias("ord"))
-    two = a.select("source_node_id", F.lit("").alias("primary_target_node_id"), "target_node_id", none.alias("target_node_ids"), "ord")
-    three = a.where("source_node_id = 'R1.N6'").select("source_node_id", F.lit("").alias("primary_target_node_id"), F.lit("").alias("target_node_id"), F.array(F.lit("R1.N1")).alias("target_node_ids"), (F.col("ord") + 1000).alias("ord"))
-    return place.alias_map(one.union(two).union(three))
+    """Every topic sent to the one above it, some later to their domain; references to themselves and blanks in between."""
+    t, none = fixture(spark, d, "topics").where("depth > 0"), F.array().cast("array<string>")
+    row = lambda primary, target, targets, late: (F.col("topic_id").alias("source_node_id"), primary.alias("primary_target_node_id"), target.alias("target_node_id"), targets.alias("target_node_ids"), (F.col("pos") + late).alias("ord"))
+    blank = F.lit("")
+    own = t.select(*row(F.col("topic_id"), F.lit(None).cast("string"), none, 3 * 10**12))
+    above = t.select(*row(blank, F.col("parent_topic_id"), none, 0))
+    later = t.where("pos % 7 = 1").select(*row(blank, blank, F.array("domain_id"), 10**12))
+    empty = t.select(*row(blank, blank, none, 2 * 10**12)).union(above.withColumn("source_node_id", blank))
+    return place.alias_map(own.union(above).union(later).union(empty))
 
 
 @query(
@@ -399,24 +404,33 @@ def resolve_route(spark, d):
     return place.resolve_route(u, defaults, prefixes, fixture(spark, d, "aliases").select(F.lit("R8").alias("domain_id"), "source_node_id", "target_node_id"))
 
 
-#: The revised tree: one subtree, whose leaves of odd place have new ids.
-REVISION_SQL = "SELECT CASE WHEN depth = 2 AND pos % 2 = 1 THEN topic_id || 'v2' ELSE topic_id END AS topic_id, parent_topic_id, domain_id, title, axis, depth, kind, pos FROM topics WHERE topic_id = 'R2.N2' OR starts_with(topic_id, 'R2.N2.')"
+#: The revised tree, whose leaves of odd place have new ids; and one subtree of it.
+REVISED_TREE_SQL = "SELECT CASE WHEN depth = 2 AND pos % 2 = 1 THEN topic_id || 'v2' ELSE topic_id END AS topic_id, parent_topic_id, domain_id, title, axis, depth, kind, pos FROM topics"
+REVISION_SQL = f"{REVISED_TREE_SQL} WHERE topic_id = 'R2.N2' OR starts_with(topic_id, 'R2.N2.')"
 
 
-def revision(spark: SparkSession, d: str) -> DataFrame:
+def revised(topics: DataFrame) -> DataFrame:
     new = F.when((F.col("depth") == 2) & (F.col("pos") % 2 == 1), F.concat("topic_id", F.lit("v2"))).otherwise(F.col("topic_id"))
-    return place.subtree(fixture(spark, d, "topics"), "R2.N2").withColumn("topic_id", new)
+    return topics.withColumn("topic_id", new)
+
 
+def revision(spark: SparkSession, d: str) -> DataFrame:
+    return revised(place.subtree(fixture(spark, d, "topics"), "R2.N2"))
 
-MATCH_SQL = f"""rev AS ({REVISION_SQL}), rt AS (SELECT lower(title) AS k, min(topic_id) AS only_id FROM rev GROUP BY 1 HAVING count(*) = 1),
+
+def match_sql(revision: str, old: str = "true") -> str:
+    return f"""rev AS ({revision}), rt AS (SELECT lower(title) AS k, min(topic_id) AS only_id FROM rev GROUP BY 1 HAVING count(*) = 1),
     matched AS (SELECT o.topic_id, coalesce(r.topic_id, rt.only_id) AS new_topic_id, CASE WHEN r.topic_id IS NOT NULL THEN 'id' WHEN rt.only_id IS NOT NULL THEN 'title' ELSE 'unmapped' END AS method
-    FROM topics o LEFT JOIN rev r ON o.topic_id = r.topic_id LEFT JOIN rt ON rt.k = lower(o.title) WHERE o.parent_topic_id IS NOT NULL AND (o.topic_id = 'R2.N2' OR starts_with(o.topic_id, 'R2.N2.')))"""
+    FROM topics o LEFT JOIN rev r ON o.topic_id = r.topic_id LEFT JOIN rt ON rt.k = lower(o.title) WHERE o.parent_topic_id IS NOT NULL AND ({old}))"""
+
 
+MATCH_SQL = match_sql(REVISION_SQL, "o.topic_id = 'R2.N2' OR starts_with(o.topic_id, 'R2.N2.')")
 
-@query("match_id_or_title", f"WITH {MATCH_SQL} SELECT topic_id, coalesce(new_topic_id, '') AS new_topic_id, method FROM matched")
+
+@query("match_id_or_title", f"WITH {match_sql(REVISED_TREE_SQL)} SELECT topic_id, coalesce(new_topic_id, '') AS new_topic_id, method FROM matched")
 def match_id_or_title(spark, d):
-    old = place.subtree(fixture(spark, d, "topics"), "R2.N2")
-    return place.match_id_or_title(old, revision(spark, d)).fillna("", ["new_topic_id"])
+    old = fixture(spark, d, "topics")
+    return place.match_id_or_title(old, revised(old)).fillna("", ["new_topic_id"])
 
 
 def titled(spark: SparkSession, d: str) -> DataFrame:
@@ -462,10 +476,20 @@ def subjects(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("west", 0, ["R0", "R1", "short"]), ("east", 1, ["R1", "R2"]), ("none", 2, [])], "subject_id string, pos int, items array<string>")
 
 
-@query("subject_of_domain", "SELECT topic_id AS domain_id, CASE WHEN topic_id IN ('R0', 'R1') THEN 'west' WHEN topic_id = 'R2' THEN 'east' ELSE '' END AS subject_id FROM topics WHERE depth = 0")
+def order_subjects(spark: SparkSession, d: str) -> DataFrame:
+    """Each order as a subject whose items are the parts on its lines; some parts have another name there."""
+    item = F.concat(F.when(F.col("l_partkey") % 50 == 0, "X").otherwise("P"), "l_partkey")
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("pos"), item.alias("item"))
+    return lines.groupBy("pos").agg(F.collect_set("item").alias("items")).select(F.concat(F.lit("o"), "pos").alias("subject_id"), "pos", "items")
+
+
+def part_domains(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select(F.concat(F.lit("P"), "p_partkey").alias("domain_id"))
+
+
+@query("subject_of_domain", "SELECT 'P' || p_partkey AS domain_id, coalesce('o' || min(l_orderkey), '') AS subject_id FROM part LEFT JOIN lineitem ON l_partkey = p_partkey AND l_partkey % 50 <> 0 GROUP BY p_partkey")
 def subject_of_domain(spark, d):
-    domains = fixture(spark, d, "topics").where("depth = 0").select("domain_id")
-    return place.subject_of_domain(domains, subjects(spark)).fillna("", ["subject_id"])
+    return place.subject_of_domain(part_domains(spark, d), order_subjects(spark, d)).fillna("", ["subject_id"])
 
 
 # --- aggregations

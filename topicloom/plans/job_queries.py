@@ -10,7 +10,7 @@ from topicloom.operators import aggregates as agg
 from topicloom.operators import checks, merges
 from topicloom.operators import placement as place
 from topicloom.operators import windows as win
-from topicloom.plans.catalog_queries import KEY_SQL, MATCH_SQL, NORMAL_SQL, REVISION_SQL, attached, canonical_columns, direct_counts, kept, revision, with_parts
+from topicloom.plans.catalog_queries import KEY_SQL, MATCH_SQL, NORMAL_SQL, REVISED_TREE_SQL, attached, canonical_columns, direct_counts, kept, order_subjects, part_domains, revised, revision, with_parts
 from topicloom.plans.fixtures import fixture
 from topicloom.plans.registration import query
 from topicloom.session import cut, scratch
@@ -93,23 +93,26 @@ def union_layers(spark, d):
     return win.union_layers(s.where(F.col("layer_role") == agg.BASE), layers, 1000, "R1").select("statement_id", "layer", F.coalesce("reason", F.lit("")).alias("reason"))
 
 
-@query("coverage_diff", f"WITH rev AS ({REVISION_SQL}), o AS (SELECT topic_id FROM topics WHERE topic_id = 'R2.N2' OR starts_with(topic_id, 'R2.N2.')) SELECT topic_id, 'missing' AS side FROM o WHERE topic_id NOT IN (SELECT topic_id FROM rev) UNION ALL SELECT topic_id, 'extra' FROM rev WHERE topic_id NOT IN (SELECT topic_id FROM o)")
+@query("coverage_diff", f"WITH rev AS ({REVISED_TREE_SQL}) SELECT topic_id, 'missing' AS side FROM topics WHERE topic_id NOT IN (SELECT topic_id FROM rev) UNION ALL SELECT topic_id, 'extra' FROM rev WHERE topic_id NOT IN (SELECT topic_id FROM topics)")
 def coverage_diff(spark, d):
-    return win.coverage_diff(place.subtree(fixture(spark, d, "topics"), "R2.N2"), revision(spark, d), "topic_id")
+    t = fixture(spark, d, "topics")
+    return win.coverage_diff(t, revised(t), "topic_id")
+
+
+MOVED_SQL = "SELECT * FROM topics WHERE depth = 2 AND pos % 6 = 0"
 
 
-@query("alias_map_equal", "SELECT source_node_id, target_node_id, 'missing' AS side FROM aliases WHERE ord = 6 UNION ALL SELECT source_node_id, 'R1.N1', 'extra' FROM aliases WHERE ord = 6")
+@query("alias_map_equal", f"WITH m AS ({MOVED_SQL}) SELECT topic_id AS source_node_id, parent_topic_id AS target_node_id, 'missing' AS side FROM m UNION ALL SELECT topic_id, domain_id, 'extra' FROM m")
 def alias_map_equal(spark, d):
-    a = fixture(spark, d, "aliases")
-    computed = a.withColumn("target_node_id", F.when(F.col("ord") == 6, "R1.N1").otherwise(F.col("target_node_id")))
-    return win.coverage_diff(a, computed, "source_node_id", "target_node_id")
+    t = fixture(spark, d, "topics").where("depth > 0")
+    declared = t.select(F.col("topic_id").alias("source_node_id"), F.col("parent_topic_id").alias("target_node_id"))
+    computed = t.select(F.col("topic_id").alias("source_node_id"), F.when((F.col("depth") == 2) & (F.col("pos") % 6 == 0), F.col("domain_id")).otherwise(F.col("parent_topic_id")).alias("target_node_id"))
+    return win.coverage_diff(declared, computed, "source_node_id", "target_node_id")
 
 
-@query("published_items_equal", "SELECT topic_id AS domain_id, 'missing' AS side FROM topics WHERE depth = 0 AND topic_id NOT IN ('R0', 'R1', 'R2') UNION ALL SELECT 'short', 'extra'")
+@query("published_items_equal", "WITH i AS (SELECT DISTINCT CASE WHEN l_partkey % 50 = 0 THEN 'X' ELSE 'P' END || l_partkey AS id FROM lineitem), p AS (SELECT 'P' || p_partkey AS id FROM part) SELECT id AS domain_id, 'missing' AS side FROM p WHERE id NOT IN (SELECT id FROM i) UNION ALL SELECT id, 'extra' FROM i WHERE id NOT IN (SELECT id FROM p)")
 def published_items_equal(spark, d):
-    from topicloom.plans.catalog_queries import subjects
-
-    return win.coverage_diff(fixture(spark, d, "topics").where("depth = 0"), subjects(spark).select(F.explode("items").alias("domain_id")), "domain_id")
+    return win.coverage_diff(part_domains(spark, d), order_subjects(spark, d).select(F.explode("items").alias("domain_id")), "domain_id")
 
 
 # --- merge jobs
@@ -467,15 +470,22 @@ def issue_event_stream(spark, d):
     return drained(spark, log.read_events(spark, events_again(spark, d), late="40 days"), "issue-log").select("event_id", "issue_id", "action")
 
 
-@query("issue_activity", "SELECT time_bucket(INTERVAL 1 DAY, created_at) AS window_start, action, count(*) AS n FROM issue_events GROUP BY 1, 2")
+ACTIVITY_SQL = "SELECT time_bucket(INTERVAL 1 DAY, created_at) AS window_start, action, count(*) AS n FROM issue_events GROUP BY 1, 2"
+
+
+@query("issue_activity", ACTIVITY_SQL)
 def issue_activity(spark, d):
     return log.activity(fixture(spark, d, "issue_events"))
 
 
-@query("issue_activity_stream")
+@query("issue_activity_stream", ACTIVITY_SQL)
 def issue_activity_stream(spark, d):
-    """The same by a stream in append mode: the windows that the watermark has closed, which are all but the last."""
-    return drained(spark, log.activity(log.read_events(spark, events_again(spark, d))), "issue-activity")
+    """The same by a stream in append mode. A last event, past every other's watermark, closes their windows; its own stays open."""
+    path = events_again(spark, d)
+    last = fixture(spark, d, "issue_events").agg((F.max("created_at") + F.expr("INTERVAL 3 DAYS")).alias("created_at"))
+    closing = last.select(F.lit(-1).cast("bigint").alias("event_id"), F.lit("").alias("issue_id"), F.lit("closing").alias("action"), "created_at")
+    closing.write.mode("append").parquet(path)
+    return drained(spark, log.activity(log.read_events(spark, path)), "issue-activity")
 
 
 #: What counts as an edit among the events of the test table.
