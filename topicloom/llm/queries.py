@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from topicloom.llm import op1_simhash, op2_decontaminate, op3_mix, op4_media, op5_quality, op6_tokens, op7_lm, op8_chat, op9_shard, op10_license
+from topicloom.llm import op1_simhash, op2_decontaminate, op3_mix, op4_media, op5_quality, op6_tokens, op7_lm, op8_chat, op9_shard, op10_license, op11_audit, op12_negatives, op13_urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat": op8_chat.query,
         "op9_shard": op9_shard.query,
         "op10_license": op10_license.query,
+        "op11_filter_audit": op11_audit.query,
+        "op12_hard_negatives": op12_negatives.query,
+        "op13_url_filter": op13_urls.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": op2_decontaminate.ORACLE_SQL, "op3_mix": op3_mix.ORACLE_SQL, "op8_chat": op8_chat.ORACLE_SQL}
+    modules = {
+        "op2_decontaminate": op2_decontaminate, "op3_mix": op3_mix, "op8_chat": op8_chat, "op11_filter_audit": op11_audit, "op12_hard_negatives": op12_negatives, "op13_url_filter": op13_urls,
+    }
+    return {name: m.ORACLE_SQL for name, m in modules.items()}
