@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.functions.text import container_id, in_subtree, item_id, normalize_text
+from topicloom.functions.text import container_id, first_non_empty, in_subtree, item_id, normalize_text
 from topicloom.operators.aggregates import BASE, SUPPORTED, cross_source_groups, modal_value, regenerated, witness_dedup
-from topicloom.operators.placement import alias_redirect, attach_nearest, live_parent, match_child_title, match_id_or_title, match_title_same_part, subtree
-from topicloom.operators.projections import normalize_statement, placement_hints
+from topicloom.operators.placement import alias_redirect, attach_nearest, live_parent, match_child_title, match_id_or_title, match_title_same_part, nearest_topics, subtree
+from topicloom.operators.projections import classify_convergence, normalize_statement, placement_hints
 from topicloom.operators.windows import best_stage, dedupe_best, dedupe_first, remint_colliding_ids
 from topicloom.session import cut
 
@@ -43,21 +44,57 @@ def without_titles(added: DataFrame, existing: DataFrame) -> DataFrame:
     return with_title_key(added).join(held, ["topic_id", "title_key"], "left_anti")
 
 
+def own_title(order: str = "ord") -> Column:
+    """The title key; rows without one are each their own, by `order`, which is unique."""
+    return F.when(F.col("title_key") != "", F.concat(F.lit("t"), "title_key")).otherwise(F.concat(F.lit("o"), F.col(order).cast("string")))
+
+
 def first_titles(rows: DataFrame, order: str = "ord") -> DataFrame:
-    """rows(topic_id, title_key) with `rn`; rows without a title are each their own."""
-    key = F.when(F.col("title_key") != "", F.concat(F.lit("t"), "title_key")).otherwise(F.concat(F.lit("o"), F.col(order).cast("string")))
-    return rows.withColumn("_key", key).withColumn("rn", F.row_number().over(Window.partitionBy("topic_id", "_key").orderBy(order))).drop("_key")
+    """The first of rows(topic_id, title_key) of each topic and title."""
+    keyed = rows.select("topic_id", own_title(order).alias("_key"), order, F.struct(*rows.columns).alias("_row"))
+    return keyed.groupBy("topic_id", "_key").agg(F.min_by("_row", order).alias("_row")).select("_row.*")
+
+
+#: Undecided rows that one task finishes by itself.
+LOOP_ROWS = 10_000
+
+
+def accepted(rows: DataFrame, first: str, second: str, order: str = "ord", loop_rows: int = LOOP_ROWS) -> DataFrame:
+    """(order) of the rows that are taken if all are looked at by `order` (unique), and each is taken unless one taken before has its first or its second key. A row that isn't taken holds neither key.
+
+    In rounds: rows that are the first undecided ones of both of their keys are taken, and what shares a key with them is dropped; a row can only be beaten by one before it, so this is what a loop would do. Firsts are
+    aggregates, and the drops are joins of plain sides. The last undecided rows, a bounded number, are looped over in one task."""
+    left, taken = cut(rows.select(order, first, second)), []
+    while left.limit(loop_rows + 1).count() > loop_rows:
+        leads = [left.groupBy(k).agg(F.min(order).alias(order)).select(order) for k in (first, second)]
+        now = cut(left.join(leads[0], order, "left_semi").join(leads[1], order, "left_semi"))
+        taken.append(now.select(order))
+        left = cut(left.join(now.select(first), first, "left_anti").join(now.select(second), second, "left_anti"))
+
+    def loop(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: tuple[set, set] = (set(), set())
+        for pdf in batches:
+            keep = []
+            for at, (a, b) in enumerate(zip(pdf[first], pdf[second], strict=True)):
+                if a not in held[0] and b not in held[1]:
+                    held[0].add(a)
+                    held[1].add(b)
+                    keep.append(at)
+            yield pdf[[order]].iloc[keep]
+
+    rest = left.coalesce(1).sortWithinPartitions(order).mapInPandas(loop, left.select(order).schema)
+    return cut(reduce(DataFrame.union, [*taken, rest]))
 
 
 def merge_preserved(current: DataFrame, preserved: DataFrame, topics: DataFrame) -> DataFrame:
     """Statements of an old snapshot that are added: same-id topics, titles the topic lacks, the first of each; colliding ids are reminted."""
     old = preserved.where(~regenerated()).join(topics.select("topic_id"), "topic_id", "left_semi")
-    return remint_colliding_ids(first_titles(without_titles(old, current)).where("rn = 1").drop("rn"), current)
+    return remint_colliding_ids(cut(first_titles(without_titles(old, current))), current)
 
 
-def preserved_titles(topics: DataFrame, old: DataFrame) -> DataFrame:
-    """topics(topic_id, title, structural_adjustment) with the title they had in old(topic_id, title), but for topics that a framework adjustment renamed and those whose old title is blank."""
-    had = old.select("topic_id", F.col("title").alias("_old")).dropDuplicates(["topic_id"])
+def preserved_titles(topics: DataFrame, old: DataFrame, order: str = "ord") -> DataFrame:
+    """topics(topic_id, title, structural_adjustment) with the title they had in old(topic_id, title, order), the first where a topic occurs again, but for topics that a framework adjustment renamed and those whose old title is blank."""
+    had = old.groupBy("topic_id").agg(F.min_by("title", order).alias("_old"))
     keeps = F.coalesce(F.trim("_old"), F.lit("")) != ""
     return topics.join(had, "topic_id", "left").withColumn("title", F.when(keeps & ~F.coalesce("structural_adjustment", F.lit(False)), F.col("_old")).otherwise(F.col("title"))).drop("_old")
 
@@ -119,17 +156,64 @@ def layer_gate(status: str | None, tree_mutated: bool | None, record_count: int
         raise ValueError(f"the layer declares {record_count} records and has {n}")
 
 
-def merge_layer(current: DataFrame, layer: DataFrame, topics: DataFrame, status: str | None, tree_mutated: bool | None, record_count: int | None) -> DataFrame:
-    """A convergence layer's records, after layer_gate(), with their outcome: unmapped, duplicate_title, duplicate_id or added."""
+def merge_layer(current: DataFrame, layer: DataFrame, topics: DataFrame, status: str | None, tree_mutated: bool | None, record_count: int | None, loop_rows: int = LOOP_ROWS) -> DataFrame:
+    """A convergence layer's records, after layer_gate(), with their outcome: unmapped, duplicate_title, duplicate_id or added.
+
+    Records are taken by ord. A record is added unless its topic has a statement of its title, or any statement has its id, there before or added before it; one that isn't added holds neither title nor id."""
     layer_gate(status, tree_mutated, record_count, layer)
-    placed = with_title_key(attach_nearest(layer, topics))
+    placed = cut(with_title_key(attach_nearest(layer, topics)))
     titles = with_title_key(current).select("topic_id", "title_key").where("title_key <> ''").distinct().withColumn("_title", F.lit(True))
     ids = current.select("statement_id").distinct().withColumn("_id", F.lit(True))
-    at = placed.join(titles, ["topic_id", "title_key"], "left").join(ids, "statement_id", "left")
-    open_ = F.col("topic_id").isNotNull() & F.col("_title").isNull()
-    by_title = F.row_number().over(Window.partitionBy("topic_id", F.when(F.col("title_key") != "", F.col("title_key")).otherwise(F.col("ord").cast("string")), open_).orderBy("ord"))
-    outcome = F.when(F.col("topic_id").isNull(), "unmapped").when(F.col("_title") | (F.col("_rn") > 1), "duplicate_title").when(F.col("_id"), "duplicate_id").otherwise("added")
-    return at.withColumn("_rn", by_title).withColumn("outcome", outcome).drop("_rn", "_title", "_id")
+    slim = placed.where("topic_id is not null").select("ord", "topic_id", "title_key", F.coalesce("statement_id", F.concat(F.lit("\u001f"), F.col("ord").cast("string"))).alias("statement_id"))
+    slim = cut(slim.join(cut(titles), ["topic_id", "title_key"], "left").join(cut(ids), "statement_id", "left").withColumn("_own", F.concat_ws("\u001f", "topic_id", own_title())))
+    added = accepted(slim.where("_title is null and _id is null"), "_own", "statement_id", loop_rows=loop_rows)
+    holders = cut(slim.join(added, "ord").select("_own", F.col("ord").alias("_since")))
+    judged = slim.join(holders, "_own", "left").join(added.withColumn("_added", F.lit(True)), "ord", "left")
+    outcome = F.when(F.col("_added"), "added").when(F.col("_title") | (F.col("_since") < F.col("ord")), "duplicate_title").otherwise("duplicate_id")
+    return placed.join(judged.select("ord", outcome.alias("outcome")), "ord", "left").withColumn("outcome", F.coalesce("outcome", F.lit("unmapped")))
+
+
+#: What a convergence record may have beside its title and texts, with its type; missing columns count as null.
+RECORD = {
+    "variant_id": "string", "title": "string", "algorithm_topic_id": "string", "latex": "string", "plain": "string", "theorem_family_id": "string", "assumptions_latex": "array<string>", "boundary_notes": "array<string>",
+    "equivalent_formulations_latex": "array<string>", "review_flags": "array<string>", "source_refs": "array<struct<source:string,locator:string>>",
+    "conclusion": "struct<conclusion_latex:string,rate_class:string,nonasymptotic_bound_latex:string,epsilon_complexity_latex:string>",
+}
+
+
+def layer_records(raw: DataFrame) -> DataFrame:
+    """Records as merge_layer() takes them: the id from the variant, the variant's name for a missing title, the topic that they were proposed for as their node. The fields of RECORD stay."""
+    full = raw.withColumns({c: F.col(c).cast(t) if c in raw.columns else F.lit(None).cast(t) for c, t in RECORD.items()})
+    own = F.concat(F.lit("stmt_"), F.replace(F.lower("variant_id"), F.lit("-"), F.lit("_")))
+    return full.withColumns({"statement_id": own, "title": first_non_empty(F.col("title"), F.col("variant_id"), default="Convergence variant"), "source_node_id": F.coalesce("algorithm_topic_id", F.lit(""))})
+
+
+def layer_statements(merged: DataFrame, source_path: str, status: str, partial_run: bool) -> DataFrame:
+    """The statements that merge_layer() added of layer_records(), in canonical form; the kind follows from boundary notes and rates, witnesses are the references, metadata names the layer."""
+    c = F.col("conclusion")
+    bound = first_non_empty(c["nonasymptotic_bound_latex"], c["epsilon_complexity_latex"])
+    # The stage of a layer by its kind.
+    stage = "convergence_partial_fast_candidate_unreviewed" if partial_run else "convergence_fast_candidate_unreviewed"
+    lists = {n: F.coalesce(n, F.array().cast(RECORD[n])).alias(n) for n in ("assumptions_latex", "equivalent_formulations_latex", "boundary_notes", "review_flags", "source_refs")}
+    about = {"stage": F.lit(stage), "source_path": F.lit(source_path), "source_publication_status": F.lit(status), "partial_run": F.lit(str(partial_run).lower()), "variant_id": F.col("variant_id"), "theorem_family_id": F.col("theorem_family_id")}
+    return merged.where("outcome = 'added'").select(
+        F.col("statement_id").alias("id"), F.lit("knowledge_statement").alias("node_type"), "title", classify_convergence(lists["boundary_notes"], F.coalesce(c["rate_class"], F.lit("")), bound).alias("content_kind"),
+        first_non_empty(F.col("latex"), c["conclusion_latex"], default="").alias("latex"), F.coalesce("plain", F.lit("")).alias("plain"), *lists.values(), F.coalesce(c["conclusion_latex"], F.lit("")).alias("conclusion_latex"), "conclusion",
+        lists["source_refs"].alias("source_witnesses"), F.lit("candidate").alias("review_status"), F.lit(False).alias("proof_included"), "topic_id", F.col("source_node_id").alias("original_topic_id"), F.array("topic_id").alias("mapped_topic_ids"), "mapping_method",
+        F.lit("intermediate_result").alias("layer_role"), F.create_map(*[x for k, v in about.items() for x in (F.lit(k), v)]).alias("metadata"), "ord",
+    )
+
+
+def layer_merge_report(merged: DataFrame, topics: DataFrame) -> DataFrame:
+    """One row: how many records a layer has and what became of them, how many went to an ancestor (whatever became of them), and the added ones by domain, as a map."""
+    n = lambda o: F.count_if(F.col("outcome") == o)
+    counts = merged.agg(
+        F.count("*").alias("source_record_count"), n("added").alias("added_statement_count"), n("duplicate_title").alias("duplicate_title_count"), n("duplicate_id").alias("duplicate_id_count"), n("unmapped").alias("unmapped_count"),
+        F.count_if(F.col("mapping_method") == "nearest_canonical_ancestor").alias("ancestor_mapped_count"),
+    )
+    by_topic = merged.where("outcome = 'added'").groupBy("topic_id").agg(F.count("*").alias("n"))
+    each = by_topic.join(topics.select("topic_id", "domain_id"), "topic_id").groupBy("domain_id").agg(F.sum("n").alias("n"))
+    return counts.join(each.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("domain_id", "n")))).alias("added_by_domain")))  # one row each
 
 
 def prepare_candidates(*sources: DataFrame) -> DataFrame:
@@ -167,23 +251,37 @@ def materialize_containers(proposed: DataFrame, topics: DataFrame) -> DataFrame:
     )
 
 
+def placed_titles(proposed: DataFrame, topics: DataFrame, containers: DataFrame) -> DataFrame:
+    """(parent, title_key, topic_id, method): where a proposal of this title under this parent goes: to the exact child, a container, or a unique title of the part, in this order. Each distinct proposal is resolved once."""
+    p = cut(proposed.select("parent", "title_key").distinct())
+    by = lambda df, m, pos: df.select("parent", "title_key", F.struct(F.lit(pos).alias("pos"), "topic_id", F.lit(m).alias("method")).alias("to"))
+    child = by(match_child_title(p, topics), "campaign_exact_sibling_title", 1)
+    box = by(p.join(containers.select("parent", "title_key", "topic_id"), ["parent", "title_key"]), "campaign_cross_source_candidate_container", 2)
+    everything = topics.select("topic_id", "title").union(containers.select("topic_id", "title"))
+    part = by(match_title_same_part(p, everything), "campaign_unique_same_part_title", 3)
+    best = child.union(box).union(part).groupBy("parent", "title_key").agg(F.min("to").alias("to"))
+    return cut(best.select("parent", "title_key", "to.topic_id", "to.method"))
+
+
+def placed_hints(hints: DataFrame, topics: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(original, topic_id, aliased): the topic, or its nearest ancestor, of each distinct hint, after aliases."""
+    each = cut(alias_redirect(hints.select("original").distinct().withColumn("hint", F.col("original")), aliases, "hint"))
+    near = nearest_topics(each, topics, "hint")
+    return cut(each.join(near, "hint").select("original", "topic_id", (F.col("hint") != F.col("original")).alias("aliased")))
+
+
 def place_candidates(candidates: DataFrame, topics: DataFrame, aliases: DataFrame, containers: DataFrame, proposed: DataFrame) -> DataFrame:
     """Candidates with topic_id, mapping_method and original_placement_hint: by proposal (exact child, container, unique title in the part, in this order), else by the first of their placement_hints
     that resolves to a topic or an ancestor of it, else no_live_target."""
     none = F.lit("")
-    by = lambda df, m, pos: df.select("ord", "topic_id", F.lit(m).alias("method"), none.alias("original"), F.lit(pos).alias("pos"))
-    p = proposed.select("ord", "parent", "title_key")
-    child = by(match_child_title(p, topics), "campaign_exact_sibling_title", -3)
-    box = by(p.join(containers.select("parent", "title_key", "topic_id"), ["parent", "title_key"]), "campaign_cross_source_candidate_container", -2)
-    everything = topics.select("topic_id", "title").union(containers.select("topic_id", "title"))
-    part = by(match_title_same_part(p, everything), "campaign_unique_same_part_title", -1)
-    hints = candidates.select("ord", F.posexplode("placement_hints").alias("pos", "h")).select("ord", "pos", "h.method", F.col("h.hint").alias("original"), F.col("h.hint").alias("hint"))
-    hints = alias_redirect(hints, aliases, "hint").withColumn("k", F.concat_ws("#", "ord", "pos"))
-    found = attach_nearest(hints.drop("mapping_method"), topics, "hint", "k").where("topic_id is not null")
-    label = F.when(F.col("hint") != F.col("original"), "explicit_node_alias").otherwise(F.col("method"))
+    titled = placed_titles(proposed, topics, containers)
+    named = proposed.select("ord", "parent", "title_key").join(titled, ["parent", "title_key"]).select("ord", "topic_id", "method", none.alias("original"), F.lit(-1).alias("pos"))
+    hints = candidates.select("ord", F.posexplode("placement_hints").alias("pos", "h")).select("ord", "pos", "h.method", F.col("h.hint").alias("original"))
+    found = hints.join(placed_hints(hints, topics, aliases), "original")
+    label = F.when(F.col("aliased"), "explicit_node_alias").otherwise(F.col("method"))
     label = F.when(F.col("topic_id") != F.col("original"), F.concat(label, F.lit("_ancestor"))).otherwise(label)
     hinted = found.select("ord", "topic_id", label.alias("method"), "original", "pos")
-    best = child.union(box).union(part).union(hinted).groupBy("ord").agg(F.min_by(F.struct("topic_id", "method", "original"), F.struct("pos", "topic_id")).alias("b"))
+    best = named.union(hinted).groupBy("ord").agg(F.min_by(F.struct("topic_id", "method", "original"), "pos").alias("b"))
     placed = candidates.join(best, "ord", "left").withColumn("topic_id", F.col("b.topic_id")).withColumn("original_placement_hint", F.coalesce("b.original", none))
     return placed.withColumn("mapping_method", F.coalesce("b.method", F.lit("no_live_target"))).drop("b")
 
@@ -203,13 +301,19 @@ def quarantine_reason() -> Column:
     )
 
 
-def quarantine_split(placed: DataFrame, current: DataFrame) -> DataFrame:
-    """Placed candidates with reason and outcome: quarantined, duplicate_title or public. Only admitted rows hold titles, in the order of source_item_id."""
+def quarantine_split(placed: DataFrame, current: DataFrame, domain: Column | None = None) -> DataFrame:
+    """Placed candidates with reason, outcome (quarantined, duplicate_title or public) and statement_id. Only admitted rows hold titles, in the order of source_item_id; they all get in, and one whose id the domain has already, or
+    was given before, gets a new one (`reminted`). `domain` is the domain of a topic id, its first segment if not given."""
+    domain = F.substring_index("topic_id", ".", 1) if domain is None else domain
     judged = placed.withColumn("reason", quarantine_reason())
-    admitted = judged.where("reason is null").select("ord", "source_item_id", "topic_id", "title", "title_key")
-    fresh = first_titles(without_titles(admitted, current), "source_item_id").withColumn("outcome", F.when(F.col("rn") == 1, "public").otherwise("duplicate_title"))
-    out = judged.join(fresh.select("ord", "outcome"), "ord", "left")
-    return out.withColumn("outcome", F.when(F.col("reason").isNotNull(), "quarantined").otherwise(F.coalesce("outcome", F.lit("duplicate_title"))))
+    slim = cut(judged.select("ord", "source_item_id", "statement_id", "topic_id", "title_key", "stage", "latex", "reason"))  # what decides, without the rest of the rows
+    now = with_title_key(current).select("topic_id", "title_key", "statement_id")
+    fresh = first_titles(without_titles(slim.where("reason is null"), now), "source_item_id").withColumn("domain_id", domain).withColumn("_body", normalize_text(F.col("latex")))
+    public = remint_colliding_ids(cut(fresh), now.withColumn("domain_id", domain), within=("domain_id",), order="source_item_id", parts=("source_item_id", "topic_id", "title_key", "stage", "_body"))
+    to = slim.join(public.select("ord", F.col("statement_id").alias("_new"), "reminted"), "ord", "left")
+    outcome = F.when(F.col("reason").isNotNull(), "quarantined").when(F.col("_new").isNotNull(), "public").otherwise("duplicate_title")
+    told = to.select("ord", outcome.alias("outcome"), "_new", F.coalesce("reminted", F.lit(False)).alias("reminted"))
+    return judged.join(told, "ord").withColumn("statement_id", F.coalesce("_new", "statement_id")).drop("_new")
 
 
 def quarantine_records(split: DataFrame) -> DataFrame:

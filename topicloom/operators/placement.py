@@ -16,15 +16,19 @@ def attach_exact(records: DataFrame, topics: DataFrame, node: str = "source_node
     return records.join(topics.select("topic_id"), F.col(node) == F.col("topic_id"))
 
 
-def attach_nearest(records: DataFrame, topics: DataFrame, node: str = "source_node_id", key: str = "ord") -> DataFrame:
-    """Records with topic_id, the topic of their node or else its longest id prefix that is one, and the mapping method; null where no prefix is. `key` is unique. Only records without an exact topic are exploded."""
-    ids = topics.select("topic_id").distinct()
-    exact = records.join(ids, F.col(node) == F.col("topic_id"), "left")
-    misses = exact.where("topic_id is null").select(key, F.posexplode(F.slice(id_prefixes(F.col(node)), 1, F.size(F.split(node, "[.]")) - 1)).alias("length", "prefix"))
-    near = misses.join(ids, F.col("prefix") == F.col("topic_id")).groupBy(key).agg(F.max_by("prefix", "length").alias("near"))
-    found = exact.join(near, key, "left")
-    method = F.when(F.col("topic_id").isNotNull(), "exact_topic_id").when(F.col("near").isNotNull(), "nearest_canonical_ancestor")
-    return found.withColumn("mapping_method", method).withColumn("topic_id", F.coalesce("topic_id", "near")).drop("near")
+def nearest_topics(nodes: DataFrame, topics: DataFrame, node: str = "source_node_id") -> DataFrame:
+    """(node, topic_id) of every distinct node that is a topic or has an id prefix that is one, the longest. A node climbs its prefixes once, whatever the number of records that name it. Written, so that what joins it is
+    a join of two plain sides, which Spark can split where one node has many records."""
+    each = nodes.where(F.col(node).isNotNull()).select(node).distinct()
+    chain = each.select(node, F.posexplode(id_prefixes(F.col(node))).alias("length", "topic_id"))
+    return cut(chain.join(topics.select("topic_id"), "topic_id", "left_semi").groupBy(node).agg(F.max_by("topic_id", "length").alias("topic_id")))
+
+
+def attach_nearest(records: DataFrame, topics: DataFrame, node: str = "source_node_id") -> DataFrame:
+    """Records with topic_id, the topic of their node or else its longest id prefix that is one, and the mapping method; null where no prefix is."""
+    found = records.join(nearest_topics(records, topics, node), node, "left")
+    method = F.when(F.col("topic_id") == F.col(node), "exact_topic_id").when(F.col("topic_id").isNotNull(), "nearest_canonical_ancestor")
+    return found.withColumn("mapping_method", method)
 
 
 def alias_redirect(records: DataFrame, aliases: DataFrame, column: str) -> DataFrame:
@@ -33,10 +37,15 @@ def alias_redirect(records: DataFrame, aliases: DataFrame, column: str) -> DataF
     return records.join(to, F.col(column) == F.col("_from"), "left").withColumn(column, F.coalesce("_to", column)).drop("_from", "_to")
 
 
-def alias_map(mappings: DataFrame) -> DataFrame:
-    """mappings(source_node_id, primary_target_node_id, target_node_id, target_node_ids, ord) to one target a source: the first non-empty field; blanks and self-references go, the last row wins."""
+def alias_map(mappings: DataFrame, topics: DataFrame | None = None) -> DataFrame:
+    """mappings(source_node_id, primary_target_node_id, target_node_id, target_node_ids, ord) to one target a source: the first non-empty field; blanks and self-references go, the last row wins. With topics, a
+    target of any row that isn't one of them is an error, raised when the rows are read, also where a later row wins."""
     target = first_non_empty(F.col("primary_target_node_id"), F.col("target_node_id"), F.try_element_at("target_node_ids", F.lit(1)))
     named = mappings.select("source_node_id", target.alias("target_node_id"), "ord").where("source_node_id <> '' and target_node_id is not null and source_node_id <> target_node_id")
+    if topics is not None:
+        known = topics.select(F.col("topic_id").alias("target_node_id"), F.lit(True).alias("_known")).distinct()
+        what = F.concat(F.lit("alias target outside the tree: "), "source_node_id", F.lit(" -> "), "target_node_id")
+        named = named.join(known, "target_node_id", "left").withColumn("target_node_id", F.when(F.col("_known"), F.col("target_node_id")).otherwise(F.raise_error(what).cast("string")))
     return named.groupBy("source_node_id").agg(F.max_by("target_node_id", "ord").alias("target_node_id"))
 
 
@@ -79,9 +88,11 @@ def match_title_same_part(proposals: DataFrame, topics: DataFrame) -> DataFrame:
 
 
 def live_parent(proposals: DataFrame, topics: DataFrame, aliases: DataFrame, key: str = "ord", parents: str = "parents") -> DataFrame:
-    """(key, parent): the first of a list of parents that is a topic, after aliases."""
-    each = alias_redirect(proposals.select(key, F.posexplode(parents).alias("pos", "parent")), aliases, "parent")
-    return each.join(topics.select(F.col("topic_id").alias("parent")), "parent", "left_semi").groupBy(key).agg(F.min_by("parent", "pos").alias("parent"))
+    """(key, parent): the first of a list of parents that is a topic, after aliases. Each distinct list is resolved once."""
+    lists = proposals.select(F.col(parents).alias("_list")).where(F.size("_list") > 0).distinct()
+    each = alias_redirect(lists.select("_list", F.posexplode("_list").alias("pos", "parent")), aliases, "parent")
+    found = cut(each.join(topics.select(F.col("topic_id").alias("parent")), "parent", "left_semi").groupBy("_list").agg(F.min_by("parent", "pos").alias("parent")))
+    return proposals.select(key, F.col(parents).alias("_list")).join(found, "_list").select(key, "parent")
 
 
 def orphans(targets: DataFrame, topics: DataFrame, column: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""First-wins and best-wins records, numbering, paging, and set differences. Windows are partitioned by all keys, so a hot topic spreads over its titles."""
+"""First-wins and best-wins records, numbering, paging, and set differences. Winners are aggregates, which combine before the shuffle, so that the records of a hot topic and title never meet in one task."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicloom.functions.text import casefold, fingerprint, non_empty, normalize_text
-from topicloom.operators.placement import first_by
 from topicloom.session import cut
 
 PAGE = 24
@@ -24,6 +23,14 @@ def preference() -> Column:
     return F.struct((F.col("evidence") > 0).alias("has"), F.col("evidence").alias("n"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), explicit.alias("explicit"), body.alias("length"))
 
 
+def worse() -> Column:
+    """preference() upside down, so that the least is the best; what is missing is worst."""
+    p = preference()
+    down = lambda c: -F.coalesce(c, F.lit(0))
+    yes = lambda c: ~F.coalesce(c, F.lit(False))
+    return F.struct(yes(p["has"]).alias("has"), down(p["n"]).alias("n"), down(p["confidence"]).alias("confidence"), yes(p["explicit"]).alias("explicit"), down(p["length"]).alias("length"))
+
+
 def title_or_print() -> Column:
     """The key of a record within its topic: its title, or the fingerprint of a record without one."""
     key = normalize_text(F.col("title"))
@@ -31,26 +38,32 @@ def title_or_print() -> Column:
 
 
 def dedupe_first(statements: DataFrame) -> DataFrame:
-    """All rows with `rn`, 1 for the first by ord of each topic and title (or fingerprint)."""
-    keyed = statements.withColumn("_key", title_or_print())
-    return keyed.withColumn("rn", F.row_number().over(Window.partitionBy("topic_id", "_key").orderBy("ord"))).drop("_key")
+    """All rows with `rn`, 1 for the first by ord (unique) of each topic and title (or fingerprint), 2 for the rest. Only (topic, key, ord) is aggregated; the firsts are joined back by ord, a key of one row."""
+    first = statements.groupBy("topic_id", title_or_print().alias("_key")).agg(F.min("ord").alias("ord"))
+    return statements.join(first.select("ord", F.lit(1).alias("rn")), "ord", "left").withColumn("rn", F.coalesce("rn", F.lit(2)))
+
+
+def first_rows(statements: DataFrame) -> DataFrame:
+    """The firsts of dedupe_first() alone, in one pass over the rows."""
+    keyed = statements.select("topic_id", title_or_print().alias("_key"), "ord", F.struct(*statements.columns).alias("_row"))
+    return keyed.groupBy("topic_id", "_key").agg(F.min_by("_row", "ord").alias("_row")).select("_row.*")
 
 
 def dedupe_best(statements: DataFrame) -> DataFrame:
     """The best row of each topic and title, or id where there is no title, at the place (ord) of the first; the earlier wins ties. Rows without title and id all stay."""
     title = normalize_text(F.col("title"))
     key = F.when(title != "", F.concat(F.lit("t"), title)).otherwise(F.coalesce(F.concat(F.lit("i"), non_empty(F.col("statement_id"))), F.concat(F.lit("o"), F.col("ord").cast("string"))))
-    keyed = statements.withColumn("_key", key).withColumn("_best", preference())
-    by_key = Window.partitionBy("topic_id", "_key")
-    ranked = keyed.withColumn("_rn", F.row_number().over(by_key.orderBy(F.desc("_best"), "ord"))).withColumn("first_ord", F.min("ord").over(by_key))
-    return ranked.where("_rn = 1").drop("_key", "_best", "_rn")
+    keyed = statements.select("topic_id", key.alias("_key"), "ord", F.struct(worse().alias("p"), F.col("ord").alias("o")).alias("_worse"), F.struct(*statements.columns).alias("_row"))
+    best = keyed.groupBy("topic_id", "_key").agg(F.min_by("_row", "_worse").alias("_row"), F.min("ord").alias("first_ord"))
+    return best.select("_row.*", "first_ord")
 
 
 def best_stage(candidates: DataFrame) -> DataFrame:
     """Of each source item the candidate with a body of the highest stage, the first by ord on ties."""
     rank = F.element_at(F.create_map(*[F.lit(x) for kv in STAGES.items() for x in kv]), F.col("stage"))
     has_body = (F.coalesce("title", F.lit("")) != "") & (F.coalesce("latex", F.lit("")) != "")
-    return first_by(candidates.where(has_body), ["source_item_id"], [F.desc(rank), F.col("ord")])
+    keyed = candidates.where(has_body).select("source_item_id", F.struct((-F.coalesce(rank, F.lit(0))).alias("rank"), "ord").alias("_at"), F.struct(*candidates.columns).alias("_row"))
+    return keyed.groupBy("source_item_id").agg(F.min_by("_row", "_at").alias("_row")).select("_row.*")
 
 
 def display_numbers(topics: DataFrame) -> DataFrame:
@@ -72,13 +85,15 @@ def statement_page(statements: DataFrame, page: int = 1, size: int = PAGE) -> Da
     return ranked.where(F.col("rank") <= page * size).withColumn("has_more", F.col("total") > page * size)
 
 
-def remint_colliding_ids(added: DataFrame, existing: DataFrame, key: str = "statement_id") -> DataFrame:
-    """Rows whose id exists, or came earlier in this pass, get a new id from the old one, topic and place; `reminted` marks them."""
-    known = existing.select(key).distinct().withColumn("_known", F.lit(True))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy("ord"))
-    out = added.withColumn("_rank", rank).join(known, key, "left").withColumn("reminted", F.coalesce("_known", F.lit(False)) | (F.col("_rank") > 1))
-    new = F.concat(F.lit("stmt_0809_version_"), F.substring(F.sha2(F.concat_ws("\u001f", key, "topic_id", F.col("ord").cast("string")), 256), 1, 20))
-    return out.withColumn(key, F.when(F.col("reminted"), new).otherwise(F.col(key))).drop("_known", "_rank")
+def remint_colliding_ids(added: DataFrame, existing: DataFrame, key: str = "statement_id", within: tuple[str, ...] = (), order: str = "ord", parts: tuple[str, ...] | None = None) -> DataFrame:
+    """Rows whose id exists, or came earlier in this pass by `order` (unique), get a new id from `parts` (the old id, the topic and the place, if not given); `reminted` marks them. Ids count within the columns `within`.
+    Firsts are an aggregate and the ids that exist a join by key, both before the rows are touched."""
+    keys = [*within, key]
+    first = added.groupBy(*keys).agg(F.min(order).alias(order))
+    fresh = first.join(existing.select(*keys).distinct(), keys, "left_anti").select(order, F.lit(False).alias("reminted"))
+    out = added.join(cut(fresh), order, "left").withColumn("reminted", F.coalesce("reminted", F.lit(True)))
+    new = F.concat(F.lit("stmt_0809_version_"), F.substring(F.sha2(F.concat_ws("\u001f", *[F.col(c).cast("string") for c in parts or (key, "topic_id", order)]), 256), 1, 20))
+    return out.withColumn(key, F.when(F.col("reminted"), new).otherwise(F.col(key)))
 
 
 def sibling_collisions(topics: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from topicloom.functions import formula, text
@@ -24,7 +24,7 @@ def attached(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kept(spark: SparkSession, d: str) -> DataFrame:
-    return win.dedupe_first(attached(spark, d).where("topic_id is not null")).where("rn = 1").drop("rn")
+    return win.first_rows(attached(spark, d).where("topic_id is not null"))
 
 
 # --- sources and sinks
@@ -198,9 +198,9 @@ def classify_convergence(spark, d):
 
 @query(
     "placement_hints",
-    """SELECT ord, CAST(0 AS INT) AS pos, 'node' AS method, node_hint AS hint FROM candidates WHERE latex <> ''
-    UNION ALL SELECT ord, CAST(CASE WHEN latex <> '' THEN 1 ELSE 0 END AS INT), 'parent', parent_hint FROM candidates WHERE locator <> 'loc0'
-    UNION ALL SELECT ord, CAST(0 AS INT), 'single_affected_node', root_hint FROM candidates WHERE latex = '' AND locator = 'loc0'""",
+    """WITH h AS (SELECT *, latex <> '' AND trim(node_hint) <> '' AS node, locator <> 'loc0' AS up FROM candidates) SELECT ord, CAST(0 AS INT) AS pos, 'node' AS method, node_hint AS hint FROM h WHERE node
+    UNION ALL SELECT ord, CAST(CASE WHEN node THEN 1 ELSE 0 END AS INT), 'parent', parent_hint FROM h WHERE up
+    UNION ALL SELECT ord, CAST(0 AS INT), 'campaign_single_affected_node', root_hint FROM h WHERE NOT node AND NOT up""",
 )
 def placement_hints(spark, d):
     k = fixture(spark, d, "candidates")
@@ -259,11 +259,11 @@ def prerequisite_links(spark, d):
     return proj.prerequisite_links(k, owners).withColumnRenamed("statement_id", "ord")
 
 
-@query("statement_preference", "SELECT statement_id, row_number() OVER (PARTITION BY topic_id ORDER BY evidence > 0 DESC, evidence DESC, confidence DESC, mapping_method = 'exact_topic_id' DESC, length(latex) + length(plain) DESC, ord) AS place FROM attached WHERE topic_id IS NOT NULL")
+@query("statement_preference", "SELECT statement_id, row_number() OVER (PARTITION BY topic_id ORDER BY evidence > 2 DESC, evidence > 2 DESC, ord % 2 DESC, ord % 3 = 0 DESC, length(latex) + length(plain) DESC, ord) AS place FROM attached WHERE topic_id IS NOT NULL")
 def statement_preference(spark, d):
-    from pyspark.sql import Window
-
-    a = attached(spark, d).where("topic_id is not null").withColumn("p", win.preference())
+    """Statements of few kinds of evidence and confidence, so that explicit aliases and lengths decide as well."""
+    a = attached(spark, d).where("topic_id is not null").withColumn("mapping_method", F.when(F.col("ord") % 3 == 0, win.EXPLICIT).otherwise(F.col("mapping_method")))
+    a = a.withColumn("evidence", (F.col("evidence") > 2).cast("int")).withColumn("confidence", (F.col("ord") % 2).cast("double")).withColumn("p", win.preference())
     return a.select("statement_id", F.row_number().over(Window.partitionBy("topic_id").orderBy(F.desc("p"), "ord")).cast("long").alias("place"))
 
 
@@ -386,7 +386,7 @@ def alias_map(spark, d):
     above = t.select(*row(blank, F.col("parent_topic_id"), none, 0))
     later = t.where("pos % 7 = 1").select(*row(blank, blank, F.array("domain_id"), 10**12))
     empty = t.select(*row(blank, blank, none, 2 * 10**12)).union(above.withColumn("source_node_id", blank))
-    return place.alias_map(own.union(above).union(later).union(empty))
+    return place.alias_map(own.union(above).union(later).union(empty), fixture(spark, d, "topics"))
 
 
 @query(

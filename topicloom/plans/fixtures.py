@@ -91,4 +91,6 @@ def with_fixtures(query: str) -> str:
     body = query.strip()
     if not parts:
         return body
-    return f"WITH {', '.join(parts)}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {', '.join(parts)} {body}"
+    recursive = body.upper().startswith("WITH RECURSIVE ")
+    head = "WITH RECURSIVE " if recursive else "WITH "
+    return f"{head}{', '.join(parts)}, {body[len(head):]}" if body.upper().startswith("WITH ") else f"WITH {', '.join(parts)} {body}"

@@ -10,7 +10,7 @@ from topicloom.operators import aggregates as agg
 from topicloom.operators import checks, merges
 from topicloom.operators import placement as place
 from topicloom.operators import windows as win
-from topicloom.plans.catalog_queries import KEY_SQL, MATCH_SQL, NORMAL_SQL, REVISED_TREE_SQL, attached, canonical_columns, direct_counts, kept, order_subjects, part_domains, revised, revision, with_parts
+from topicloom.plans.catalog_queries import KEY_SQL, MATCH_SQL, NORMAL_SQL, REVISED_TREE_SQL, attached, canonical_columns, direct_counts, joined_map, kept, order_subjects, part_domains, revised, revision, with_parts
 from topicloom.plans.fixtures import fixture
 from topicloom.plans.registration import query
 from topicloom.session import cut, scratch
@@ -141,7 +141,8 @@ def merge_preserved(spark, d):
 @query("preserved_titles", "SELECT topic_id, CASE WHEN pos % 3 <> 0 AND title <> '' AND depth > 0 THEN 'Old ' || title ELSE title END AS title FROM topics")
 def preserved_titles(spark, d):
     t = fixture(spark, d, "topics")
-    old = t.where("depth > 0").select("topic_id", F.when(F.col("title") != "", F.concat(F.lit("Old "), "title")).otherwise("").alias("title"))
+    old = t.where("depth > 0").select("topic_id", F.when(F.col("title") != "", F.concat(F.lit("Old "), "title")).otherwise("").alias("title"), F.lit(0).alias("ord"))
+    old = old.union(t.select("topic_id", F.lit("Older").alias("title"), F.lit(1).alias("ord")).where("depth > 0"))  # topics that occur again
     return merges.preserved_titles(t.withColumn("structural_adjustment", F.col("pos") % 3 == 0), old).select("topic_id", "title")
 
 
@@ -193,18 +194,55 @@ def relocate_aliased(spark, d):
     return merges.relocate_aliased(attached(spark, d).where("topic_id is not null"), aliases, t).select("topic_id", "statement_id")
 
 
-LAYER_SQL = """WITH now AS (SELECT * FROM kept WHERE rn = 1 AND ord % 3 = 0), l AS (SELECT a.* EXCLUDE (statement_id), CASE WHEN ord % 7 = 0 THEN (SELECT min(statement_id) FROM now) ELSE statement_id END AS statement_id FROM attached a WHERE ord % 3 <> 0),
-    j AS (SELECT l.*, EXISTS (SELECT 1 FROM now WHERE now.topic_id = l.topic_id AND now.title_key = l.title_key AND l.title_key <> '') AS titled, statement_id IN (SELECT statement_id FROM now) AS known FROM l),
-    r AS (SELECT *, row_number() OVER (PARTITION BY topic_id, CASE WHEN title_key <> '' THEN title_key ELSE CAST(ord AS VARCHAR) END, topic_id IS NOT NULL AND NOT titled ORDER BY ord) AS rn FROM j)
-    SELECT ord, CASE WHEN topic_id IS NULL THEN 'unmapped' WHEN titled OR rn > 1 THEN 'duplicate_title' WHEN known THEN 'duplicate_id' ELSE 'added' END AS outcome FROM r"""
+LAYER_SQL = """WITH RECURSIVE now AS (SELECT * FROM kept WHERE rn = 1 AND ord % 3 = 0), l AS (SELECT a.* EXCLUDE (statement_id), CASE WHEN ord % 7 = 0 THEN (SELECT min(statement_id) FROM now) ELSE 'stmt_v_' || lower(regexp_extract(source_node_id, 'C[0-9]+')) || '_' || ord % 4 END AS statement_id FROM attached a WHERE ord % 3 <> 0),
+    j AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY ord) AS n FROM l WHERE topic_id IS NOT NULL),
+    had AS (SELECT topic_id, list(title_key) AS titles FROM now WHERE title_key <> '' GROUP BY 1), ids AS (SELECT min(statement_id) AS id FROM now),
+    told AS (SELECT j.topic_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS ord, '' AS outcome, coalesce(any_value(had.titles), []) AS titles, [any_value(ids.id)] AS held FROM j LEFT JOIN had USING (topic_id), ids GROUP BY 1
+        UNION ALL SELECT topic_id, n, ord, outcome, CASE WHEN outcome = 'added' AND title_key <> '' THEN list_append(titles, title_key) ELSE titles END, CASE WHEN outcome = 'added' THEN list_append(held, statement_id) ELSE held END
+        FROM (SELECT j.*, t.titles, t.held, CASE WHEN j.title_key <> '' AND list_contains(t.titles, j.title_key) THEN 'duplicate_title' WHEN list_contains(t.held, j.statement_id) THEN 'duplicate_id' ELSE 'added' END AS outcome FROM told t JOIN j ON t.topic_id = j.topic_id AND j.n = t.n + 1)),
+    merged AS (SELECT l.*, coalesce(t.outcome, 'unmapped') AS outcome FROM l LEFT JOIN told t USING (ord))"""
 
 
-@query("merge_layer", LAYER_SQL)
-def merge_layer(spark, d):
+def merged_layer(spark: SparkSession, d: str) -> DataFrame:
+    """A layer whose variants share ids and titles within a topic, and some an id that there is."""
     s, now = fixture(spark, d, "statements"), kept(spark, d).where("ord % 3 = 0")
     least = now.agg(F.min("statement_id").alias("least"))
-    layer = s.where("ord % 3 <> 0").join(F.broadcast(least)).withColumn("statement_id", F.when(F.col("ord") % 7 == 0, F.col("least")).otherwise(F.col("statement_id"))).drop("least")  # one row
-    return merges.merge_layer(now, layer, fixture(spark, d, "topics"), merges.LAYER_STATUS[0], False, layer.count()).select("ord", "outcome")
+    raw = s.where("ord % 3 <> 0").withColumnRenamed("source_node_id", "algorithm_topic_id").withColumn("variant_id", F.concat(F.lit("V-"), F.regexp_extract("algorithm_topic_id", "C[0-9]+", 0), F.lit("-"), F.col("ord") % 4))
+    raw = raw.withColumns(
+        {
+            "title": F.when(F.col("title") == "", F.lit(None)).otherwise(F.col("title")), "boundary_notes": F.when(F.col("ord") % 5 == 0, F.array(F.lit("It may"), F.lit("DIVERGE"))), "theorem_family_id": F.lit("f"),
+            "conclusion": F.struct(F.col("plain").alias("conclusion_latex"), F.when(F.col("ord") % 2 == 0, "linear").alias("rate_class"), F.lit("").alias("nonasymptotic_bound_latex"), F.lit(None).cast("string").alias("epsilon_complexity_latex")),
+            "latex": F.when(F.col("ord") % 4 == 1, "").otherwise(F.col("latex")),
+        }
+    )
+    layer = merges.layer_records(raw).withColumn("title", F.coalesce(text.non_empty(F.when(F.col("title") != F.col("variant_id"), F.col("title"))), F.lit("")))  # so that there are rows without a title
+    layer = layer.join(F.broadcast(least)).withColumn("statement_id", F.when(F.col("ord") % 7 == 0, F.col("least")).otherwise(F.col("statement_id"))).drop("least")  # one row
+    return merges.merge_layer(now, layer, fixture(spark, d, "topics"), merges.LAYER_STATUS[1], False, layer.count(), loop_rows=100)
+
+
+@query("merge_layer", f"{LAYER_SQL} SELECT ord, outcome FROM merged")
+def merge_layer(spark, d):
+    return merged_layer(spark, d).select("ord", "outcome")
+
+
+@query(
+    "merge_layer_rows",
+    f"""{LAYER_SQL} SELECT statement_id AS id, title, topic_id, source_node_id AS original_topic_id, mapping_method, CASE WHEN ord % 5 = 0 THEN 'failure_boundary' WHEN ord % 2 = 0 THEN 'complexity_bound' ELSE 'theorem' END AS content_kind,
+    CASE WHEN ord % 4 = 1 THEN plain ELSE latex END AS latex, plain, CASE WHEN ord % 5 = 0 THEN 'It may,DIVERGE' ELSE '' END AS boundary_notes, 'convergence_partial_fast_candidate_unreviewed' AS stage, 'layers/partial.json' AS source_path, 'V-' || regexp_extract(source_node_id, 'C[0-9]+') || '-' || ord % 4 AS variant_id, ord FROM merged WHERE outcome = 'added'""",
+)
+def merge_layer_rows(spark, d):
+    rows = merges.layer_statements(merged_layer(spark, d), "layers/partial.json", merges.LAYER_STATUS[1], True)
+    return rows.select("id", "title", "topic_id", "original_topic_id", "mapping_method", "content_kind", "latex", "plain", F.array_join("boundary_notes", ",").alias("boundary_notes"), *[F.col("metadata")[k].alias(k) for k in ("stage", "source_path", "variant_id")], "ord")
+
+
+@query(
+    "merge_layer_report",
+    f"""{LAYER_SQL} SELECT count(*) AS source_record_count, count(*) FILTER (outcome = 'added') AS added_statement_count, count(*) FILTER (outcome = 'duplicate_title') AS duplicate_title_count, count(*) FILTER (outcome = 'duplicate_id') AS duplicate_id_count, count(*) FILTER (outcome = 'unmapped') AS unmapped_count,
+    count(*) FILTER (mapping_method = 'nearest_canonical_ancestor') AS ancestor_mapped_count, (SELECT string_agg(d || '=' || n, ',' ORDER BY d) FROM (SELECT split_part(topic_id, '.', 1) AS d, count(*) AS n FROM merged WHERE outcome = 'added' GROUP BY 1)) AS added_by_domain FROM merged""",
+)
+def merge_layer_report(spark, d):
+    report = merges.layer_merge_report(cut(merged_layer(spark, d)), fixture(spark, d, "topics"))
+    return report.withColumn("added_by_domain", joined_map("added_by_domain"))
 
 
 def prepared(spark: SparkSession, d: str) -> DataFrame:
@@ -253,12 +291,20 @@ def place_candidates(spark, d):
 
 
 def split(spark: SparkSession, d: str) -> DataFrame:
-    return merges.quarantine_split(cut(placed(spark, d)[0]), kept(spark, d))
+    """Against statements of which some have an id that a candidate will have."""
+    now = kept(spark, d).withColumn("statement_id", F.when(F.col("ord") % 3 == 0, text.item_id(F.concat(F.lit("i"), F.col("ord").cast("string"), F.lit("-1")))).otherwise(F.col("statement_id")))
+    return merges.quarantine_split(cut(placed(spark, d)[0]), now)
 
 
-@query("quarantine_split", f"WITH {PLACED_SQL} SELECT ord, coalesce(reason, '') AS reason, outcome FROM split")
+@query(
+    "quarantine_split",
+    f"""WITH {PLACED_SQL}, has AS (SELECT DISTINCT split_part(topic_id, '.', 1) AS domain_id, 'i' || ord || '-1' AS item FROM kept WHERE rn = 1 AND ord % 3 = 0)
+    SELECT ord, coalesce(reason, '') AS reason, outcome, outcome = 'public' AND item IS NOT NULL AS reminted, CASE WHEN outcome = 'public' AND item IS NOT NULL
+        THEN 'stmt_0809_version_' || substring(sha256(concat_ws(chr(31), source_item_id, topic_id, title_key, stage, lower(latex))), 1, 20) ELSE 'stmt_0809_' || substring(sha256(source_item_id), 1, 20) END AS statement_id
+    FROM split LEFT JOIN has ON item = source_item_id AND domain_id = split_part(topic_id, '.', 1)""",
+)
 def quarantine_split(spark, d):
-    return split(spark, d).select("ord", F.coalesce("reason", F.lit("")).alias("reason"), "outcome")
+    return split(spark, d).select("ord", F.coalesce("reason", F.lit("")).alias("reason"), "outcome", "reminted", "statement_id")
 
 
 @query(
