@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.functions.text import first_non_empty
+from topicloom.operators.windows import numbered
 from topicloom.session import cut
 
 BASE = "base_statement_layer"
@@ -91,17 +92,29 @@ def modal_value(df: DataFrame, keys: list[str], value: str, order: str) -> DataF
     return df.select(*keys).distinct().join(best, keys, "left").fillna("", [value])
 
 
+GROUP = ["parent", "title_key"]
+
+
 def cross_source_groups(proposals: DataFrame, least: int = 2) -> DataFrame:
-    """proposals(parent, title_key, campaign, source_item_id, stage): groups of reviewed or published ones from at least `least` campaigns. Sets are collected for the survivors alone."""
+    """proposals(parent, title_key, campaign, source_item_id, stage): (parent, title_key, campaigns, n_items) of the groups of reviewed or published ones from at least `least` campaigns. Items are counted; what they are says
+    group_members(). Campaigns, of which there are as many as sources, are a sorted list."""
     open_ = proposals.where(F.col("stage").isin(*SUPPORTED))
-    groups = open_.groupBy("parent", "title_key", "campaign").count().groupBy("parent", "title_key").agg(F.count("*").alias("n_campaigns")).where(F.col("n_campaigns") >= least)
-    return open_.join(groups, ["parent", "title_key"]).groupBy("parent", "title_key").agg(F.array_sort(F.collect_set("campaign")).alias("campaigns"), F.array_sort(F.collect_set("source_item_id")).alias("items"))
+    by_campaign = open_.groupBy(*GROUP, "campaign").agg(F.count("*").alias("n"))
+    groups = by_campaign.groupBy(*GROUP).agg(F.array_sort(F.collect_list("campaign")).alias("campaigns")).where(F.size("campaigns") >= least)
+    items = open_.select(*GROUP, "source_item_id").distinct().groupBy(*GROUP).agg(F.count("*").alias("n_items"))
+    return groups.join(items, GROUP)
+
+
+def group_members(proposals: DataFrame, groups: DataFrame) -> DataFrame:
+    """(parent, title_key, source_item_id, number): the distinct items of each group, a row each, numbered in their order."""
+    open_ = proposals.where(F.col("stage").isin(*SUPPORTED)).select(*GROUP, "source_item_id").distinct()
+    return numbered(open_.join(groups.select(*GROUP), GROUP, "left_semi"), GROUP, ["source_item_id"])
 
 
 def witness_dedup(rows: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:
-    """Distinct (campaign, locator) of each group in the order they were first seen."""
+    """Distinct (campaign, locator) of each group, numbered (`pos`) in the order they were first seen."""
     first = rows.groupBy(*keys, "campaign", "locator").agg(F.min(order).alias("at"))
-    return first.withColumn("pos", F.row_number().over(Window.partitionBy(*keys).orderBy("at", "campaign", "locator")))
+    return numbered(first, keys, ["at", "campaign", "locator"], "pos").withColumn("pos", F.col("pos").cast("int"))
 
 
 def regenerated(stage: str = "stage"):

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.functions.text import container_id, first_non_empty, in_subtree, item_id, normalize_text
-from topicloom.operators.aggregates import BASE, SUPPORTED, cross_source_groups, modal_value, regenerated, witness_dedup
-from topicloom.operators.placement import alias_redirect, attach_nearest, live_parent, match_child_title, match_id_or_title, match_title_same_part, nearest_topics, subtree
+from topicloom.operators.aggregates import BASE, GROUP, SUPPORTED, cross_source_groups, modal_value, regenerated, witness_dedup
+from topicloom.operators.placement import alias_redirect, attach_nearest, live_parent, match_child_title, match_id_or_title, match_title_same_part, nearest_topics, subtree, unique_children
 from topicloom.operators.projections import classify_convergence, normalize_statement, placement_hints
 from topicloom.operators.windows import best_stage, dedupe_best, dedupe_first, remint_colliding_ids
 from topicloom.session import cut
@@ -228,29 +228,38 @@ def prepare_candidates(*sources: DataFrame) -> DataFrame:
 
 
 def proposals(candidates: DataFrame, topics: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Candidates that propose a title, under their first live parent."""
-    named = candidates.where("title_key <> ''")
+    """What places and containers need of the candidates that propose a title, with their first live parent."""
+    named = candidates.where("title_key <> ''").select("ord", "source_item_id", "title_key", "title", "stage", "campaign", "locator", "scope_note", "parent_hint", "root_hint")
     return named.join(live_parent(named.withColumn("parents", F.array("parent_hint", "root_hint")), topics, aliases), "ord")
 
 
 def materialize_containers(proposed: DataFrame, topics: DataFrame) -> DataFrame:
-    """A new topic for each group of two campaigns or more without such a child: (parent, title_key, topic_id, parent_topic_id, domain_id, title, axis, depth, scope_note, knowledge_status, campaigns, items, witnesses)."""
+    """A new topic for each group of two campaigns or more without such a child: (parent, title_key, topic_id, parent_topic_id, domain_id, title, axis, depth, scope_note, knowledge_status, campaigns, n_items). Its items and witnesses,
+    which may be many, are tables of their own: group_members() and container_witnesses()."""
     groups = cross_source_groups(proposed)
-    groups = cut(groups.join(match_child_title(groups.select("parent", "title_key"), topics), ["parent", "title_key"], "left_anti"))
-    own = proposed.select("ord", "parent", "title_key", "stage", "title", "campaign", "locator", "scope_note")
-    own = cut(own.where(F.col("stage").isin(*SUPPORTED)).join(groups.select("parent", "title_key"), ["parent", "title_key"], "left_semi"))
-    title = own.groupBy("parent", "title_key").agg(F.min_by("title", "ord").alias("title"))
-    each = witness_dedup(own, ["parent", "title_key"]).groupBy("parent", "title_key").agg(F.array_sort(F.collect_list(F.struct("pos", "campaign", "locator"))).alias("w"))
-    witnesses = each.select("parent", "title_key", F.transform("w", lambda x: F.struct(x["campaign"].alias("campaign"), x["locator"].alias("locator"))).alias("witnesses"))
-    notes = modal_value(own, ["parent", "title_key"], "scope_note", "ord")
+    groups = cut(groups.join(unique_children(topics), GROUP, "left_anti"))
+    own = cut(supported(proposed, groups).select(*GROUP, "title", "scope_note", "ord"))
+    title = own.groupBy(*GROUP).agg(F.min_by("title", "ord").alias("title"))
+    notes = modal_value(own, GROUP, "scope_note", "ord")
     above = topics.select(F.col("topic_id").alias("parent"), "domain_id", (F.col("depth") + 1).alias("depth"))
-    joined = groups.join(title, ["parent", "title_key"]).join(notes, ["parent", "title_key"]).join(witnesses, ["parent", "title_key"]).join(above, "parent")
+    joined = groups.join(title, GROUP).join(notes, GROUP).join(above, "parent")
     return joined.select(
         "parent", "title_key", container_id(F.col("parent"), F.col("title_key")).alias("topic_id"), F.col("parent").alias("parent_topic_id"), "domain_id", "title",
-        F.lit(CONTAINER_AXIS).alias("axis"), "depth", "scope_note", F.lit("statement_attached").alias("knowledge_status"), "campaigns", "items", "witnesses",
+        F.lit(CONTAINER_AXIS).alias("axis"), "depth", "scope_note", F.lit("statement_attached").alias("knowledge_status"), "campaigns", "n_items",
     )
 
 
+def supported(proposed: DataFrame, groups: DataFrame) -> DataFrame:
+    """The reviewed or published proposals of groups."""
+    return proposed.where(F.col("stage").isin(*SUPPORTED)).join(groups.select(*GROUP), GROUP, "left_semi")
+
+
+def container_witnesses(proposed: DataFrame, containers: DataFrame) -> DataFrame:
+    """(topic_id, pos, campaign, locator): a row for each distinct witness of a container, in the order they were first seen."""
+    each = witness_dedup(supported(proposed, containers), GROUP)
+    return each.join(cut(containers.select(*GROUP, "topic_id")), GROUP).select("topic_id", "pos", "campaign", "locator")
+
+
 def placed_titles(proposed: DataFrame, topics: DataFrame, containers: DataFrame) -> DataFrame:
     """(parent, title_key, topic_id, method): where a proposal of this title under this parent goes: to the exact child, a container, or a unique title of the part, in this order. Each distinct proposal is resolved once."""
     p = cut(proposed.select("parent", "title_key").distinct())
@@ -281,7 +290,7 @@ def place_candidates(candidates: DataFrame, topics: DataFrame, aliases: DataFram
     label = F.when(F.col("aliased"), "explicit_node_alias").otherwise(F.col("method"))
     label = F.when(F.col("topic_id") != F.col("original"), F.concat(label, F.lit("_ancestor"))).otherwise(label)
     hinted = found.select("ord", "topic_id", label.alias("method"), "original", "pos")
-    best = named.union(hinted).groupBy("ord").agg(F.min_by(F.struct("topic_id", "method", "original"), "pos").alias("b"))
+    best = cut(named.union(hinted).groupBy("ord").agg(F.min(F.struct("pos", "topic_id", "method", "original")).alias("b")))  # a place a candidate; the wide rows are joined where they are read
     placed = candidates.join(best, "ord", "left").withColumn("topic_id", F.col("b.topic_id")).withColumn("original_placement_hint", F.coalesce("b.original", none))
     return placed.withColumn("mapping_method", F.coalesce("b.method", F.lit("no_live_target"))).drop("b")
 
@@ -307,7 +316,7 @@ def quarantine_split(placed: DataFrame, current: DataFrame, domain: Column | Non
     domain = F.substring_index("topic_id", ".", 1) if domain is None else domain
     judged = placed.withColumn("reason", quarantine_reason())
     slim = cut(judged.select("ord", "source_item_id", "statement_id", "topic_id", "title_key", "stage", "latex", "reason"))  # what decides, without the rest of the rows
-    now = with_title_key(current).select("topic_id", "title_key", "statement_id")
+    now = cut(with_title_key(current).select("topic_id", "title_key", "statement_id"))
     fresh = first_titles(without_titles(slim.where("reason is null"), now), "source_item_id").withColumn("domain_id", domain).withColumn("_body", normalize_text(F.col("latex")))
     public = remint_colliding_ids(cut(fresh), now.withColumn("domain_id", domain), within=("domain_id",), order="source_item_id", parts=("source_item_id", "topic_id", "title_key", "stage", "_body"))
     to = slim.join(public.select("ord", F.col("statement_id").alias("_new"), "reminted"), "ord", "left")

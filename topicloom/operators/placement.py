@@ -75,10 +75,14 @@ def unique_titles(topics: DataFrame, *within: str) -> DataFrame:
     return keyed.groupBy(*within, "title_key").agg(F.count("*").alias("_n"), F.min("topic_id").alias("only_id")).where("_n = 1").drop("_n")
 
 
+def unique_children(topics: DataFrame) -> DataFrame:
+    """(parent, title_key, topic_id) of the direct children whose title no other child of the parent has."""
+    return unique_titles(topics.where("parent_topic_id is not null"), "parent_topic_id").withColumnsRenamed({"parent_topic_id": "parent", "only_id": "topic_id"})
+
+
 def match_child_title(proposals: DataFrame, topics: DataFrame) -> DataFrame:
     """proposals(parent, title_key, ...) with the topic_id of the one direct child of the parent that has the title."""
-    children = unique_titles(topics.where("parent_topic_id is not null"), "parent_topic_id")
-    return proposals.join(children.withColumnsRenamed({"parent_topic_id": "parent", "only_id": "topic_id"}), ["parent", "title_key"])
+    return proposals.join(unique_children(topics), ["parent", "title_key"])
 
 
 def match_title_same_part(proposals: DataFrame, topics: DataFrame) -> DataFrame:

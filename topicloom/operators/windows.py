@@ -78,6 +78,17 @@ def display_numbers(topics: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, levels)
 
 
+def numbered(rows: DataFrame, keys: list[str], order: list[str], number: str = "number") -> DataFrame:
+    """rows with their number, from 1 on, within each group of keys, by `order`. Rows are dealt into ranges of (keys, order), so that a group of any size lies in several; each range numbers its own rows, and starts after those
+    before it. (keys, order) must tell rows apart, or ties may fall either way."""
+    ranged = cut(rows.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))  # a row for each range that a group touches
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    starts = cut(sizes.select(*keys, "_range", before.alias("_before")))
+    own = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
+    return ranged.withColumn("_own", own).join(starts, [*keys, "_range"]).withColumn(number, (F.col("_own") + F.col("_before")).cast("long")).drop("_range", "_own", "_before")
+
+
 def statement_page(statements: DataFrame, page: int = 1, size: int = PAGE) -> DataFrame:
     """The first page * size statements of each topic with how many there are and whether more follow."""
     by_topic = Window.partitionBy("topic_id")

@@ -12,7 +12,7 @@ from topicloom.operators import projections as proj
 from topicloom.operators import windows as win
 from topicloom.plans.fixtures import fixture, table
 from topicloom.plans.registration import query
-from topicloom.session import scratch
+from topicloom.session import cut, scratch
 from topicloom.sources import catalog as src
 
 KEY_SQL = r"replace(lower(trim(regexp_replace(coalesce({0}, ''), '\s+', ' ', 'g'))), 'ß', 'ss')"
@@ -551,7 +551,14 @@ def modal_scope_note(spark, d):
 @query("cross_source_groups", f"SELECT parent_hint AS parent, {KEY_SQL.format('title')} AS title_key, string_agg(DISTINCT campaign, ',' ORDER BY campaign) AS campaigns, count(DISTINCT source_item_id) AS items FROM candidates WHERE stage <> '0809_campaign_build' AND title <> '' GROUP BY 1, 2 HAVING count(DISTINCT campaign) >= 2")
 def cross_source_groups(spark, d):
     k = fixture(spark, d, "candidates").where("title <> ''").withColumn("parent", F.col("parent_hint")).withColumn("title_key", text.normalize_text(F.col("title")))
-    return agg.cross_source_groups(k).select("parent", "title_key", F.array_join("campaigns", ",").alias("campaigns"), F.size("items").cast("long").alias("items"))
+    return agg.cross_source_groups(k).select("parent", "title_key", F.array_join("campaigns", ",").alias("campaigns"), F.col("n_items").alias("items"))
+
+
+@query("cross_source_members", f"WITH k AS (SELECT parent_hint AS parent, {KEY_SQL.format('title')} AS title_key, campaign, source_item_id FROM candidates WHERE stage <> '0809_campaign_build' AND title <> ''), g AS (SELECT parent, title_key FROM k GROUP BY 1, 2 HAVING count(DISTINCT campaign) >= 2) SELECT parent, title_key, source_item_id, row_number() OVER (PARTITION BY parent, title_key ORDER BY source_item_id) AS number FROM (SELECT DISTINCT parent, title_key, source_item_id FROM k JOIN g USING (parent, title_key))")
+def cross_source_members(spark, d):
+    k = fixture(spark, d, "candidates").where("title <> ''").withColumn("parent", F.col("parent_hint")).withColumn("title_key", text.normalize_text(F.col("title")))
+    k = cut(k.select("parent", "title_key", "campaign", "source_item_id", "stage"))
+    return agg.group_members(k, agg.cross_source_groups(k))
 
 
 @query("witness_dedup", "SELECT parent_hint, campaign, locator, CAST(row_number() OVER (PARTITION BY parent_hint ORDER BY min(ord), campaign, locator) AS INT) AS pos FROM candidates GROUP BY 1, 2, 3")

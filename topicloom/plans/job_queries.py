@@ -273,16 +273,23 @@ PLACED_SQL = f"""{CANDIDATE_SQL}, un AS (SELECT lower(title) AS title_key, min(t
     split AS (SELECT *, CASE WHEN reason IS NOT NULL THEN 'quarantined' WHEN row_number() OVER (PARTITION BY topic_id, title_key, reason IS NULL ORDER BY source_item_id) = 1 AND NOT EXISTS (SELECT 1 FROM kept k WHERE k.rn = 1 AND k.topic_id = judged.topic_id AND k.title_key = judged.title_key) THEN 'public' ELSE 'duplicate_title' END AS outcome FROM judged)"""
 
 
-def placed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    t, a, k = fixture(spark, d, "topics"), fixture(spark, d, "aliases"), cut(prepared(spark, d))
+def placed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Placed candidates, containers and proposals."""
+    t, a, k = cut(fixture(spark, d, "topics")), fixture(spark, d, "aliases"), cut(prepared(spark, d))
     p = cut(merges.proposals(k, t, a))
     boxes = cut(merges.materialize_containers(p, t))
-    return merges.place_candidates(k, t, a, boxes, p), boxes
+    return merges.place_candidates(k, t, a, boxes, p), boxes, p
 
 
 @query("materialize_containers", f"WITH {CANDIDATE_SQL} SELECT box.topic_id, box.parent AS parent_topic_id, t.domain_id, box.title, t.depth + 1 AS depth, 'textbook_candidate_topic' AS axis, 'statement_attached' AS knowledge_status, campaigns, n_items FROM box JOIN topics t ON t.topic_id = box.parent")
 def materialize_containers(spark, d):
-    return placed(spark, d)[1].select("topic_id", "parent_topic_id", "domain_id", "title", "depth", "axis", "knowledge_status", F.array_join("campaigns", ",").alias("campaigns"), F.size("items").cast("long").alias("n_items"))
+    return placed(spark, d)[1].select("topic_id", "parent_topic_id", "domain_id", "title", "depth", "axis", "knowledge_status", F.array_join("campaigns", ",").alias("campaigns"), "n_items")
+
+
+@query("container_witnesses", f"WITH {CANDIDATE_SQL} SELECT topic_id, CAST(row_number() OVER (PARTITION BY topic_id ORDER BY min(ord), campaign, locator) AS INT) AS pos, campaign, locator FROM (SELECT box.topic_id, p.campaign, locator, ord FROM prop p JOIN box USING (parent, title_key) WHERE stage <> '0809_campaign_build') GROUP BY topic_id, campaign, locator")
+def container_witnesses(spark, d):
+    _, boxes, proposed = placed(spark, d)
+    return merges.container_witnesses(proposed, boxes)
 
 
 @query("place_candidates", f"WITH {PLACED_SQL} SELECT ord, coalesce(topic_id, '') AS topic_id, mapping_method, original_placement_hint FROM placed")
@@ -293,7 +300,7 @@ def place_candidates(spark, d):
 def split(spark: SparkSession, d: str) -> DataFrame:
     """Against statements of which some have an id that a candidate will have."""
     now = kept(spark, d).withColumn("statement_id", F.when(F.col("ord") % 3 == 0, text.item_id(F.concat(F.lit("i"), F.col("ord").cast("string"), F.lit("-1")))).otherwise(F.col("statement_id")))
-    return merges.quarantine_split(cut(placed(spark, d)[0]), now)
+    return merges.quarantine_split(placed(spark, d)[0], now)
 
 
 @query(
