@@ -51,41 +51,33 @@ def test_all_templates_of_one_file(spark):
             assert set(op.TEMPLATES) <= set(got[i]["labels"]) and got[i]["score"] == pytest.approx(1)
 
 
-def plain_labels(texts, templates, key_phrases, min_score):
-    """Labels and score of each text from the definitions: every place of every template, scored by the IDF of the words that stand there."""
+def plain_labels(texts, templates, key_phrases, min_score=op.MIN_SCORE, floor=op.FLOOR):
+    """Labels and score of each text from the definitions: every place of every template in every file, by the IDF of the words that stand there over that of all words of the template."""
     words = [split(t) for t in texts]
-    body = {name: split(t) for name, t in templates.items()}
-    vocabulary = {w for ws in body.values() for w in ws} | {w for ps in key_phrases.values() for p in ps for w in p.split()} | {w for p in op.PHRASES for w in p.split()}
-    df = {w: sum(w in ws for ws in map(set, words)) for w in vocabulary}
-    idf = {w: math.log((1 + len(texts)) / (1 + df[w])) for w in vocabulary}
     says = lambda ws, p: any(ws[i : i + len(p.split())] == p.split() for i in range(len(ws)))
-    phrases = {*op.PHRASES, *(p for ps in key_phrases.values() for p in ps)}
     out = []
     for ws in words:
         labels, best = {label for p, label in op.PHRASES.items() if says(ws, p)}, 0.0
-        for name, ts in body.items():
-            if not any(set(p.split()) <= set(ws) for p in phrases):
-                break
-            known = [t for t in ts if df[t]]
-            alike = sum(idf[t] for t in known) <= 0
-            worth = {t: 1.0 if alike else idf[t] for t in known}
-            whole = sum(worth[t] for t in known)
-            met = max((sum(worth[t] for k, t in enumerate(ts) if 0 <= at + k < len(ws) and ws[at + k] == t) for at in range(-len(ts), len(ws))), default=0)
-            score = min(1.0, met / whole) if whole else 0.0
+        for name, t in templates.items():
+            ts = split(t)
+            idf = [math.log((1 + len(texts)) / (1 + sum(x in other for other in map(set, words)))) for x in ts]
+            worth = idf if sum(idf) > 1e-9 else [1.0] * len(ts)
+            met = max((sum(worth[k] for k in range(len(ts)) if 0 <= at + k < len(ws) and ws[at + k] == ts[k]) for at in range(-len(ts), len(ws))), default=0)
+            score = met / sum(worth)
             best = max(best, score)
-            if score >= min_score and all(says(ws, p) for p in key_phrases[name]):
+            if score >= min_score - 1e-9 and all(says(ws, p) for p in key_phrases[name]):
                 labels.add(name)
-        out.append((sorted(labels), best))
+        out.append((sorted(labels), best if best >= floor - 1e-9 else 0.0))
     return out
 
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_labels_and_scores_against_brute_force(spark, seed):
-    """Whole, partial, repeated, overlapping and broken templates, in any order, with ties."""
+    """Whole, partial, repeated, overlapping and broken templates, in any order, with ties; with words and whole templates that no file has."""
     rng = random.Random(seed)
-    templates = {"a": "free use of the work is granted to all who keep this notice", "b": "the work is granted as is without any warranty of use", "c": "free free use use granted granted"}
-    keys = {"a": ["free use", "this notice"], "b": ["without any warranty"], "c": ["granted granted"]}
-    texts = [None, "", *templates.values(), " ".join(templates.values()) + " " + templates["a"]]
+    templates = {"a": "free use of the work is granted to all who keep this notice", "b": "the work is granted as is without any warranty of use", "c": "free free use use granted granted", "unseen": "free use of a most peculiar sort"}
+    keys = {"a": ["free use", "this notice"], "b": ["without any warranty"], "c": ["granted granted"], "unseen": ["free use"]}
+    texts = [None, "", *[templates[k] for k in "abc"], " ".join(templates[k] for k in "abc") + " " + templates["a"], "the " * 400, "MIT License"]
     for _ in range(60):
         parts = []
         for _ in range(rng.randrange(1, 5)):
@@ -100,7 +92,18 @@ def test_labels_and_scores_against_brute_force(spark, seed):
             parts += ws
         texts.append(" ".join(parts))
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    want = plain_labels(texts, templates, keys, op.MIN_SCORE)
+    want = plain_labels(texts, templates, keys)
+    assert any(0 < s < op.MIN_SCORE for _, s in want)
     for r in op.scan(d, templates=templates, key_phrases=keys).collect():
         labels, score = want[r["doc_id"]]
         assert (r["labels"], r["score"]) == (labels, pytest.approx(score, abs=1e-9)), texts[r["doc_id"]]
+
+
+def test_mentions_are_no_notices_and_unrelated_words_change_nothing(spark):
+    bsd = " ".join(op.TEMPLATES["bsd-text"].split()[:14])
+    texts = ["see mozilla public license", "see apache license", bsd, f"{bsd} free software", "plain text of the day", "x " * 100_000 + op.TEMPLATES["isc-text"]]
+    want = plain_labels(texts, op.TEMPLATES, op.KEY_PHRASES)
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in op.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, (labels, score) in enumerate(want):
+        assert got[i] == (labels, pytest.approx(score, abs=1e-9)), texts[i][:80]
+    assert got[0][0] == [] and got[1][0] == ["apache"] and got[2] == got[3] and got[2][1] > op.FLOOR and got[5][0] == ["isc-text"]
