@@ -26,15 +26,17 @@ from topicloom.llm.common import cut, numbered, space_word_count, table, utf8
 CYCLE, CAP, BINS = (5, 2, 1), 3, 4096
 #: Sources whose plan is broadcast; more are joined by a shuffle.
 BROADCAST_SOURCES = 100_000
-#: How much a mark of junk counts against the words of a document.
-MARKS, MARK_WEIGHT = r"[#$%&*|!]", 4
+#: How many words a mark of junk, and a line that is there again, count against a document.
+MARKS, MARK_WEIGHT, LINE_WEIGHT = r"[#$%&*|!]", 4, 10
 
 
 def quality(text: Column) -> Column:
-    """Words over words and weighted junk marks, in (0, 1]; 1 for a text without words."""
+    """Words over words and what counts against them, junk marks and repeated lines, in (0, 1]; 1 for a text without words. A simple measure that SQL can repeat; jobs pass the score of a classifier."""
     size = space_word_count(text)
     marks = F.coalesce(F.regexp_count(text, F.lit(MARKS)), F.lit(0))
-    return F.when(size > 0, size.cast("double") / (size + marks * MARK_WEIGHT).cast("double")).otherwise(F.lit(1.0))
+    lines = F.array_remove(F.split(text, "\n"), "")
+    against = marks * MARK_WEIGHT + (F.size(lines) - F.size(F.array_distinct(lines))) * LINE_WEIGHT
+    return F.when(size > 0, size.cast("double") / (size + against).cast("double")).otherwise(F.lit(1.0))
 
 
 def sampling_key(ident: Column, digest: Column, weight: Column) -> Column:
@@ -121,18 +123,23 @@ def copies(docs: DataFrame, key: Column, source: Column, size: Column, weight: C
     return decided(rows, plan(cut(rows.drop("doc")), cycle, cap)).select("doc", "size", "source_size", "target", "copies")
 
 
-def _by_words(docs: DataFrame) -> tuple[DataFrame, Column, Column, Column, Column, Column]:
+def _by_words(docs: DataFrame, weight: Column | None = None) -> tuple[DataFrame, Column, Column, Column, Column, Column]:
     text = F.col("text")
-    return docs, F.col("doc_id"), F.col("source"), space_word_count(text), quality(text), F.md5(utf8(text))
+    return docs, F.col("doc_id"), F.col("source"), space_word_count(text), quality(text) if weight is None else weight, F.md5(utf8(text))
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    return copies(*_by_words(docs))
+def mix(docs: DataFrame, weight: Column | None = None) -> DataFrame:
+    return copies(*_by_words(docs, weight))
 
 
-def sample(docs: DataFrame) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with the columns of docs."""
-    return mix(docs).where("copies > 0").select(F.col("doc"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")
+#: What a weight is at least, so that every document may be taken.
+LEAST_WEIGHT = 0.01
+
+
+def sample(docs: DataFrame, weight: Column | None = None) -> DataFrame:
+    """The mix itself: each document as often as it is taken, with the columns of docs. `weight` is a quality from 0 to 1 that follows from the row alone, for it is computed for the plan and again where texts are picked; quality(), if not given."""
+    weight = None if weight is None else F.greatest(F.coalesce(weight, F.lit(0.0)), F.lit(LEAST_WEIGHT))
+    return mix(docs, weight).where("copies > 0").select(F.col("doc"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +151,7 @@ ORACLE_SQL = r"""
 WITH d AS (SELECT doc_id, source, text, coalesce(CAST(doc_id AS VARCHAR), '') AS id, md5(coalesce(text, '')) AS digest, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 k AS (SELECT doc_id, source, size, id, digest,
         -ln((CAST('0x' || substr(md5(id || '/' || digest), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE)
-        / CASE WHEN size > 0 THEN size::DOUBLE / (size + 4 * len(regexp_extract_all(text, '[#$%&*|!]')))::DOUBLE ELSE 1 END AS k FROM d),
+        / CASE WHEN size > 0 THEN size::DOUBLE / (size + 4 * len(regexp_extract_all(text, '[#$%&*|!]')) + 10 * (len(lines) - len(list_distinct(lines))))::DOUBLE ELSE 1 END AS k FROM (SELECT *, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS lines FROM d)),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM k GROUP BY source),
 w AS (SELECT *, [5, 2, 1][(r - 1) % 3 + 1] AS weight, source_size * 3 AS most, (source_size * 3)::DOUBLE / [5, 2, 1][(r - 1) % 3 + 1] AS full_at FROM s),
 l AS (SELECT *, CAST((SELECT sum(source_size) FROM s) - sum(most) OVER (ORDER BY full_at, r) + most AS DOUBLE)
