@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import bounded_batches, cut, drop_ids, table, text_digest
+from topicloom.llm.common import BROADCAST_IDS, bounded_batches, cut, drop_ids, table, text_digest
 from topicloom.llm.components import connected_components
 
 SEED, SHINGLE, THRESHOLD = 42, 4, 4
@@ -139,11 +139,14 @@ def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         .select("fp", F.explode(anchors(F.col("h.bits"), reach)).alias("anchor"), F.col("h.half").alias("half"))
         .select((F.col("anchor") * 2 + F.col("half")).alias("anchor"), "fp")
     )
-    at = copies.withColumn("n", F.count("*").over(Window.partitionBy("anchor")))
-    few = at.where(F.col("n").between(2, ANCHOR_ROWS)).select("anchor", "fp").mapInPandas(_forests(threshold, ["anchor"]), "u long, v long")
+    # large anchors are found by counts, which combine before the shuffle, and never meet in one window
+    hot = cut(copies.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > ANCHOR_ROWS))
+    hot = F.broadcast(hot) if hot.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else hot
+    rest = copies.join(hot, "anchor", "left_anti").withColumn("n", F.count("*").over(Window.partitionBy("anchor")))
+    few = rest.where("n > 1").select("anchor", "fp").mapInPandas(_forests(threshold, ["anchor"]), "u long, v long")
     blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
     many = (
-        at.where(F.col("n") > ANCHOR_ROWS)
+        copies.join(hot, "anchor")
         .withColumn("b", F.pmod(F.xxhash64("fp"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select("anchor", F.least("b", "other").alias("b1"), F.greatest("b", "other").alias("b2"), "fp")
@@ -171,21 +174,23 @@ def labelled(slim: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataFram
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", groups: Callable = near_duplicates, prints: Callable = fingerprints) -> DataFrame:
-    """docs without the rows that `groups` links to a row of a lesser key. Where rows repeat one key, one of them stays. A row without a key stays only if its whole group has none, and then one does."""
+    """docs with one row of each group of `groups`: that of the least (key, text digest), keys before none; of rows that are alike in both, that of the least hash.
+
+    A key that one row has decides by itself, so those rows stay where they are while the keys to drop are looked up. Rows that share a key, or have none, may be of several groups: they are told apart by their texts. A
+    group stays with one of them only if its least key is theirs."""
     found = cut(groups(docs, key, text))
-    leads = F.col(key).eqNullSafe(F.col("component_id"))
-    kept = drop_ids(docs, found.groupBy(key).agg(F.bool_or(leads).alias("leads")).where("not leads"), key)
-    again = found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key)
-    if not again.isEmpty():
-        again = cut(again)
-        kept = drop_ids(kept, again, key).unionByName(kept.join(again, key, "left_semi").dropDuplicates([key]))
-    if found.where(F.col(key).isNull()).isEmpty():
+    keys = cut(found.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.bool_and(F.col(key) == F.col("component_id")).alias("leads")).where("n > 1 or not leads"))
+    kept = drop_ids(docs.where(F.col(key).isNotNull()), keys.select(key), key)
+    again = cut(keys.where("n > 1").select(key))
+    several = docs.where(F.col(key).isNull()).unionByName(docs.join(again, key, "left_semi").select(*docs.columns))
+    if several.isEmpty():
         return kept
-    unnamed = docs.where(F.col(key).isNull()).select(F.struct("*").alias("doc"), text_digest(F.col(text)).alias("digest"))
-    own = prints(unnamed.select("digest", F.col("doc")[text].alias("text")), "digest", "text").distinct()
-    nameless = found.where("component_id is null").select("fp", "root").distinct()
-    first = cut(own.join(nameless, "fp").groupBy("root").agg(F.min("digest").alias("digest")).select("digest"))
-    return kept.where(F.col(key).isNotNull()).unionByName(unnamed.join(first, "digest", "left_semi").dropDuplicates(["digest"]).select("doc.*"))
+    own = several.select(F.struct("*").alias("doc"), text_digest(F.col(text)).alias("digest"))
+    texts = prints(own.select("digest", F.col("doc")[text].alias("text")).dropDuplicates(["digest"]), "digest", "text")
+    of = cut(texts.join(cut(found.select("fp", "root", "component_id").distinct()), "fp").select("digest", "root", "component_id"))
+    own = own.join(of, "digest").where(F.col("doc")[key].eqNullSafe(F.col("component_id")))
+    first = own.groupBy("root").agg(F.min_by("doc", F.struct("digest", F.xxhash64(F.to_json("doc")))).alias("doc"))
+    return kept.unionByName(first.select("doc.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
