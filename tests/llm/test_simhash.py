@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -116,7 +117,9 @@ def test_links_of_clusters_and_of_large_anchors(spark, monkeypatch):
         assert {n: roots.get(n, n) for n in nodes} == expected
 
 
-def test_components_of_a_long_path(spark):
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_components_of_a_long_path(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
     path = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501)], "u long, v long")
     assert {r["node"]: r["root"] for r in connected_components(path).collect()} == {**dict.fromkeys(range(201), 0), 500: 500, 501: 500}
     assert connected_components(path.limit(0)).count() == 0
@@ -129,7 +132,8 @@ def test_components_of_hubs(spark, monkeypatch):
     nodes = sorted({x for e in edges for x in e})
     expected = reach([e for e in edges if e[0] != e[1]], nodes)
     table = spark.createDataFrame(edges, "u long, v long")
-    for least in (1, 20, 10_000):
+    for few, least in ((0, 1), (0, 20), (0, 10_000), (100_000, 1)):
+        monkeypatch.setattr(components, "FEW", few)
         monkeypatch.setattr(components, "HUB_EDGES", least)
         roots = {r["node"]: r["root"] for r in connected_components(table).collect()}
         assert {n: roots.get(n, n) for n in nodes} == expected
