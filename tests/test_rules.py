@@ -168,18 +168,114 @@ def test_hash_is_blind_to_order_and_the_edited_field(spark):
 
 
 def test_shards_replace_whole_domains(spark, tmp_path):
-    rows = spark.createDataFrame([("d1", "c1", 1), ("d1", "c2", 2), ("d2", "c3", 3)], "domain_id string, chapter_id string, x int")
-    path = str(tmp_path / "shards")
+    rows = spark.createDataFrame([("007", "c1", 1), ("007", "C.2", 2), ("d2", "c3", 3)], "domain_id string, chapter_id string, x int")
+    path, schema = str(tmp_path / "shards"), "chapter_id string, x int"
+    there = lambda: sorted((r["domain_id"], r["chapter_slug"], r["x"]) for r in src.read_chapter_shards(spark, path, schema).collect())
+    assert there() == []
     src.write_chapter_shards(rows, path)
+    assert there() == [("007", "c-2", 2), ("007", "c1", 1), ("d2", "c3", 3)]
     src.write_chapter_shards(rows.where("chapter_id = 'c1'"), path)
-    assert sorted(r["chapter_id"] for r in spark.read.json(path).collect()) == ["c1", "c3"]
-    counts = src.write_chapter_shards(spark.read.json(path), path)  # rows that are read from the path itself
-    assert sorted((r["domain_id"], r["chapter_slug"], r["topics"]) for r in counts.collect()) == [("d1", "c1", 1), ("d2", "c3", 1)]
-    assert sorted(r["chapter_id"] for r in spark.read.json(path).collect()) == ["c1", "c3"]
+    assert there() == [("007", "c1", 1), ("d2", "c3", 3)]
+    again = src.read_chapter_shards(spark, path, schema).drop("chapter_slug")
+    counts = src.write_chapter_shards(again, path)  # rows that are read from the path itself
+    assert sorted((r["domain_id"], r["chapter_slug"], r["topics"]) for r in counts.collect()) == [("007", "c1", 1), ("d2", "c3", 1)]
+    many = spark.range(1000).selectExpr("'d2' domain_id", "'c3' chapter_id", "cast(id as int) x")
+    src.write_chapter_shards(many, path, file_rows=100)
+    src.remove_old_shards(spark, path)
+    assert len(there()) == 1001 and len(list(tmp_path.glob("shards/version-*"))) == 2 and len(list(tmp_path.glob("shards/pointer-*"))) == 1
+    files = [len(f.read_text().splitlines()) for f in tmp_path.glob("shards/version-*/domain_id=d2/chapter_slug=c3/*.json")]
+    assert sum(files) == 1000 and max(files) <= 100
     with pytest.raises(ValueError, match="shards already"):
         src.write_chapter_shards(rows.withColumn("lazy_content", F.lit(True)), path)
 
 
+def test_a_writer_that_stops_leaves_the_old_shards(spark, tmp_path, monkeypatch):
+    path, schema = str(tmp_path), "chapter_id string, x int"
+    rows = lambda x: spark.createDataFrame([("d", "c", x)], "domain_id string, chapter_id string, x int")
+    there = lambda: [r["x"] for r in src.read_chapter_shards(spark, path, schema).collect()]
+    src.write_chapter_shards(rows(1), path)
+
+    def stop(*_):
+        raise OSError("stopped")
+
+    with pytest.raises(Exception, match="stopped"):  # while it writes its rows
+        src.write_chapter_shards(rows(2).withColumn("x", F.raise_error(F.lit("stopped")).cast("int")), path)
+    assert there() == [1]
+    with monkeypatch.context() as m, pytest.raises(OSError):  # before its pointer
+        m.setattr(src, "_publish", stop)
+        src.write_chapter_shards(rows(2), path)
+    assert there() == [1]
+    with monkeypatch.context() as m, pytest.raises(OSError):  # while its pointer is still hidden
+        m.setattr(src, "_POINTER", property(stop))
+        src._publish(spark, path, 2, {})
+    assert there() == [1]
+    with pytest.raises(RuntimeError, match="another writer"):
+        src._publish(spark, path, 1, {})
+    src.write_chapter_shards(rows(3), path)
+    assert there() == [3]
+
+
+def test_rows_are_taken_in_order_under_two_keys(spark):
+    """Chains, hot keys and random clashes, in rounds and in the loop, against a plain loop."""
+    rng = random.Random(9)
+    tables = [[(i, f"t{rng.randrange(40)}", f"i{rng.randrange(60)}") for i in range(400)], [(i, f"t{i // 2}", f"i{(i + 1) // 2}") for i in range(40)], [(i, "t", f"i{i}") for i in range(100)], []]
+    for rows in tables:
+        want, held = [], (set(), set())
+        for o, a, b in rows:
+            if a not in held[0] and b not in held[1]:
+                want.append(o)
+                held[0].add(a)
+                held[1].add(b)
+        d = spark.createDataFrame(rows, "ord long, a string, b string").repartition(3)
+        for loop_rows in (0, 7, 1000):
+            assert sorted(r["ord"] for r in merges.accepted(d, "a", "b", loop_rows=loop_rows).collect()) == want
+
+
+def test_layer_outcomes_against_a_loop(spark):
+    """Clashing titles and ids over topics; records without a title or an id."""
+    rng = random.Random(10)
+    t = topics(spark, ("A", None, "a"), ("A.B", "A", "b"), ("A.C", "A", "c"))
+    now = statements(spark, {"statement_id": "s0", "title": "One"}, {"statement_id": "s1", "title": ""}).withColumn("topic_id", F.lit("A.B"))
+    raw = [{"source_node_id": rng.choice(["A.B", "A.B.X", "A.C", "Z"]), "title": rng.choice(["one", "Two ", "two", "", "Three"]), "statement_id": rng.choice([None, *(f"s{i}" for i in range(12))])} for _ in range(120)]
+    titles, ids, want = {("A.B", "one")}, {"s0", "s1"}, []
+    for r in raw:
+        topic, key = {"A.B.X": "A.B", "Z": None}.get(r["source_node_id"], r["source_node_id"]), r["title"].strip().lower()
+        o = "unmapped" if topic is None else "duplicate_title" if key and (topic, key) in titles else "duplicate_id" if r["statement_id"] in ids else "added"
+        if o == "added":
+            titles |= {(topic, key)} if key else set()
+            ids |= {r["statement_id"]} - {None}
+        want.append(o)
+    for loop_rows in (0, 5, 1000):
+        got = merges.merge_layer(now, statements(spark, *raw), t, merges.LAYER_STATUS[0], False, len(raw), loop_rows)
+        assert [r["outcome"] for r in got.orderBy("ord").collect()] == want
+
+
+def test_numbers_within_groups_of_any_size(spark):
+    rows = [(f"k{i % 3 if i % 2 else 0}", i % 50, i) for i in range(900)]
+    got = win.numbered(spark.createDataFrame(rows, "k string, a long, b long").repartition(5), ["k"], ["a", "b"]).collect()
+    for k in {r["k"] for r in got}:
+        mine = sorted((r["a"], r["b"], r["number"]) for r in got if r["k"] == k)
+        assert [n for *_, n in mine] == list(range(1, len(mine) + 1))
+
+
+def test_one_node_of_a_third_of_all_rows(spark):
+    t = topics(spark, ("A", None, "a"), ("A.B", "A", "b"))
+    s = spark.range(3000).selectExpr("case when id % 3 = 0 then 'A.B.hot' else concat('A.', id % 7, '.', id) end source_node_id", "id ord")
+    out = place.attach_nearest(s, t)
+    assert {(r["topic_id"], r["count"]) for r in out.groupBy("topic_id").count().collect()} == {("A.B", 1000), ("A", 2000)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Range (") == 1 and "Window" not in plan
+
+
+def test_aliases_to_nowhere_and_titles_of_the_first_snapshot(spark):
+    rows = [("x", None, "A", None, 1), ("x", "gone", "A", None, 0)]
+    m = spark.createDataFrame(rows, "source_node_id string, primary_target_node_id string, target_node_id string, target_node_ids array<string>, ord long")
+    t = topics(spark, ("A", None, "a"))
+    assert place.alias_map(m).first()["target_node_id"] == "A" == place.alias_map(m.where("ord = 1"), t).first()["target_node_id"]
+    with pytest.raises(Exception, match="outside the tree"):
+        place.alias_map(m, t).collect()
+
+
 def test_trees_and_broken_documents(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a/one.json").write_text('{"domain_id": "d", "roots": [{"topic_id": "A", "title": "a", "children": [{"topic_id": "A.1", "children": []}, {"topic_id": "A.2", "children": [{"topic_id": "A.2.1"}]}]}]}')

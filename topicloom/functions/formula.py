@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from topicloom.functions.repair import repair
+from topicloom.functions.text import first_non_empty
+from topicloom.session import cut
 
 # The fields that hold formulas, marks of generated text, what makes a text a formula or shows that it is delimited, and one macro with its replacement.
 FORMULA_FIELDS = ("statement_latex", "assumptions_latex", "conclusion_latex", "equivalent_formulations_latex", "nonasymptotic_bound_latex", "epsilon_complexity_latex", "symbol_latex")
@@ -51,6 +54,22 @@ def formula_fields(statements: DataFrame, *keys: str) -> DataFrame:
 _PAIR = "array<struct<field:string,value:string>>"
 
 
+def formula_values(documents: DataFrame, column: str, *keys: str) -> DataFrame:
+    """(keys..., statement_id, topic_id, field, value): every text under a formula key of JSON documents, in objects and lists at any depth; blanks are dropped. The ids are those of the innermost object around it that has one (`id`,
+    `topic_id`); elements of a list stand under the list's key. Documents are walked as variants, a level a pass, and the loop ends at the deepest; those that can't be parsed have no rows."""
+    level = documents.select(*keys, F.lit("").alias("field"), F.lit(None).cast("string").alias("statement_id"), F.lit(None).cast("string").alias("topic_id"), F.try_parse_json(column).alias("v"))
+    own = lambda path, above: F.coalesce(first_non_empty(F.try_variant_get("v", path, "string")), above)
+    out = []
+    while not level.isEmpty():
+        level = cut(level)
+        kind = F.schema_of_variant("v")
+        out.append(level.where(F.col("field").isin(*FORMULA_FIELDS) & (kind == "STRING")).select(*keys, "statement_id", "topic_id", "field", F.try_variant_get("v", "$", "string").alias("value")).where(F.trim("value") != ""))
+        inside = level.where(F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY"))).withColumns({"statement_id": own("$.id", F.col("statement_id")), "topic_id": own("$.topic_id", F.col("topic_id"))})
+        parts = inside.sparkSession.sql(f"SELECT {''.join(f'`{k}`, ' for k in keys)}coalesce(x.key, field) AS field, statement_id, topic_id, x.value AS v FROM {{inside}}, LATERAL variant_explode(v) AS x", inside=inside)
+        level = parts
+    return reduce(DataFrame.union, out) if out else documents.select(*keys, *[F.lit("").alias(c) for c in ("statement_id", "topic_id", "field", "value")]).limit(0)
+
+
 def _counts(text: Column, bracket: str) -> dict[str, Column]:
     named = {"open_inline": "(", "close_inline": ")", "open_display": "[", "close_display": "]"}
     out = {k: F.regexp_count(text, F.lit(bracket + re.escape(v))) for k, v in named.items()}

@@ -62,21 +62,34 @@ def restore_domain(spark, d):
     return src.restore_domain(chapters.select("domain_id", "topic_id", "shard_url", F.concat(F.lit("stub "), "title").alias("raw")), shards)
 
 
-@query(
-    "validated_shard_items",
-    """WITH f AS (SELECT source_item_id, campaign, campaign || '-' || substring(split_part(source_item_id, '-', 1), 2) || '.json' AS file_name, ord FROM candidates),
-    ok AS (SELECT * FROM f WHERE substring(file_name, 7, 1) <> '3' AND campaign <> 'camp4')
-    SELECT source_item_id, campaign, file_name FROM (SELECT *, row_number() OVER (PARTITION BY source_item_id ORDER BY file_name DESC, ord DESC) AS rn FROM ok) WHERE rn = 1""",
-)
+FILES_SQL = """f AS (SELECT source_item_id, campaign, CASE WHEN stage = '0809_campaign_build' THEN 'build' ELSE 'review' END AS phase, CAST(split_part(substring(source_item_id, 2), '-', 1) AS BIGINT) // 2048 AS bucket, ord FROM candidates),
+    files AS (SELECT *, campaign || '-' || bucket || '.json' AS file_name, CASE WHEN bucket % 13 = 6 THEN 'no_validation' WHEN bucket % 7 = 3 THEN 'not_passed' WHEN bucket % 11 = 5 THEN 'unparsable' WHEN campaign = 'camp4' THEN 'other_id' ELSE 'passed' END AS outcome FROM f)"""
+
+
+def shard_files(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates as shard files, one for each campaign, phase and run of orders, with their validation files: some missing, some failed, some broken off, some of another shard."""
+    order = F.expr("cast(substring(substring_index(source_item_id, '-', 1), 2) as bigint)")
+    k = fixture(spark, d, "candidates").select("source_item_id", "campaign", F.when(F.col("stage") == "0809_campaign_build", "build").otherwise("review").alias("phase"), F.floor(order / 2048).alias("bucket"), "ord")
+    shards = k.groupBy("campaign", "phase", "bucket").agg(F.array_sort(F.collect_list(F.struct("ord", "source_item_id"))).alias("items"))
+    stem = F.concat_ws("-", "campaign", "bucket")
+    body = F.to_json(F.struct(F.when(F.col("campaign") == "camp4", "other").otherwise(stem).alias("shard_id"), "items"))
+    body = F.when(F.col("bucket") % 11 == 5, F.expr("'{\"shard_id\": \"broken off\", \"items\": [{'")).otherwise(body)
+    named = shards.select("campaign", "phase", F.concat(stem, F.lit(".json")).alias("name"), "bucket", body.alias("value"))
+    status = F.when(F.col("bucket") % 7 == 3, F.when(F.col("bucket") % 2 == 0, '{"status": "FAIL"}').otherwise("{")).otherwise('{"status": "PASS"}')
+    files = named.select("campaign", "phase", F.lit(src.SHARDS).alias("kind"), "name", "value").union(named.where("bucket % 13 <> 6").select("campaign", "phase", F.lit(src.VALIDATIONS), "name", status))
+    path = scratch(spark, "shard-files")
+    files.write.partitionBy("campaign", "phase", "kind", "name").text(path)
+    return src.read_shards(spark, path)
+
+
+@query("validated_shard_items", f"WITH {FILES_SQL} SELECT source_item_id, campaign, phase, file_name, ord FROM (SELECT *, row_number() OVER (PARTITION BY campaign, phase, source_item_id ORDER BY file_name DESC, ord DESC) AS rn FROM files WHERE outcome = 'passed') WHERE rn = 1")
 def validated_shard_items(spark, d):
-    """A shard holds a campaign's items of one order, so shards grow in number and not in length."""
-    order = F.expr("substring(substring_index(source_item_id, '-', 1), 2)")
-    k = fixture(spark, d, "candidates").select("source_item_id", "campaign", F.concat("campaign", F.lit("-"), order, F.lit(".json")).alias("file_name"), "ord")
-    shards = k.groupBy("campaign", "file_name").agg(F.array_sort(F.collect_list(F.struct("ord", "source_item_id"))).alias("items"))
-    stem = F.when(F.col("campaign") == "camp4", "other").otherwise(F.regexp_replace("file_name", "[.]json$", ""))
-    shards = shards.select("campaign", F.lit("build").alias("phase"), "file_name", stem.alias("shard_id"), "items")
-    validations = shards.select("campaign", "phase", "file_name", F.when(F.substring("file_name", 7, 1) == "3", "FAIL").otherwise("PASS").alias("status"))
-    return src.validated_items(shards, validations).select("source_item_id", "campaign", "file_name")
+    return src.validated_items(shard_files(spark, d)).select("source_item_id", "campaign", "phase", "file_name", F.get_json_object("item", "$.ord").alias("ord"))
+
+
+@query("shard_outcomes", f"WITH {FILES_SQL} SELECT campaign, phase, file_name, outcome, CASE WHEN outcome = 'passed' THEN count(*) ELSE 0 END AS items FROM files GROUP BY 1, 2, 3, 4")
+def shard_outcomes(spark, d):
+    return shard_files(spark, d).select("campaign", "phase", "file_name", "outcome", F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("items"))
 
 
 @query(
@@ -90,13 +103,15 @@ def source_evidence(spark, d):
     return src.source_evidence(k.select("campaign", "source_item_id", "ord"), ledger).select("ord", "locator", "source_path")
 
 
-@query("write_chapter_shards", "SELECT a.ancestor_id AS chapter_id, count(*) AS topics FROM above a JOIN topics t ON a.topic_id = t.topic_id JOIN topics c ON a.ancestor_id = c.topic_id WHERE c.depth = 1 GROUP BY 1")
+@query("write_chapter_shards", "SELECT '00' || substring(t.domain_id, 2, 1) AS domain_id, t.topic_id, a.ancestor_id AS chapter_id, t.title FROM above a JOIN topics t ON a.topic_id = t.topic_id JOIN topics c ON a.ancestor_id = c.topic_id WHERE c.depth = 1")
 def write_chapter_shards(spark, d):
     t = fixture(spark, d, "topics")
-    rows = t.join(src.node_routes(place.ancestors(t), t), "topic_id")
+    rows = t.join(src.node_routes(place.ancestors(t), t), "topic_id").withColumn("domain_id", F.concat(F.lit("00"), F.substring("domain_id", 2, 1)))
     path = scratch(spark, "shards")
-    src.write_chapter_shards(rows, path)
-    return spark.read.schema("topic_id string, chapter_id string").json(path).groupBy("chapter_id").agg(F.count("*").alias("topics"))
+    src.write_chapter_shards(rows.where("domain_id < '003'"), path, file_rows=100)
+    src.write_chapter_shards(rows.where("domain_id > '001'"), path, file_rows=100)  # a domain again, two more for the first time
+    src.remove_old_shards(spark, path)
+    return src.read_chapter_shards(spark, path, "topic_id string, chapter_id string, title string").select("domain_id", "topic_id", "chapter_id", "title")
 
 
 @query("chapter_stubs", "SELECT c.topic_id, c.title, 'shards/' || c.domain_id || '/' || lower(replace(c.topic_id, '.', '-')) || '.json' AS shard_url, count(t.topic_id) AS lazy_child_count FROM topics c LEFT JOIN topics t ON t.parent_topic_id = c.topic_id WHERE c.depth = 1 GROUP BY 1, 2, 3")
@@ -110,12 +125,16 @@ def node_routes(spark, d):
     return src.node_routes(place.ancestors(t), t, ["R2"])
 
 
-@query("file_digests")
+@query("file_digests", "SELECT 'kind=' || kind AS file_name, CASE WHEN kind = 'region' THEN 'stale' WHEN kind = 'nation' THEN 'unrecorded' END AS problem FROM (SELECT DISTINCT kind FROM topics) WHERE kind IN ('region', 'nation') UNION ALL SELECT 'kind=gone', 'missing'")
 def file_digests(spark, d):
-    """The digests of the topic table's files, written as text; compared with the recorded ones in the tests."""
+    """The topics' files, a document a kind, against recorded digests, some of which are wrong, missing or of a file that isn't there."""
     path = scratch(spark, "digests")
-    fixture(spark, d, "topics").select(F.to_json(F.struct("topic_id", "title"))).repartition("topic_id").write.text(path)
-    return src.file_digests(spark, path, "part-*")
+    line = F.to_json(F.struct("topic_id", "title"))
+    text_of = cut(fixture(spark, d, "topics").groupBy("kind").agg(F.array_join(F.array_sort(F.collect_list(line)), ",").alias("value")))
+    text_of.repartition("kind").write.partitionBy("kind").text(path)
+    found = src.file_digests(spark, path, "part-*")
+    told = text_of.where("kind <> 'nation'").select(F.concat(F.lit("kind="), "kind").alias("folder"), F.when(F.col("kind") == "region", "0").otherwise(F.sha2(F.concat("value", F.lit("\n")).cast("binary"), 256)).alias("sha256"))
+    return src.stale_digests(found, told.union(spark.createDataFrame([("kind=gone", "0")], "folder string, sha256 string")), "folder").withColumnRenamed("folder", "file_name")
 
 
 # --- projections
@@ -288,6 +307,27 @@ def formula_fields(spark, d):
     return formula.formula_fields(nested, "statement_id", "topic_id").select("statement_id", "topic_id", "field", F.sha2(F.col("value").cast("binary"), 256).alias("value_sha"))
 
 
+@query(
+    "formula_values",
+    """WITH g AS (SELECT *, CASE WHEN ord % 5 = 0 THEN 'inner_' || ord ELSE statement_id END AS inner_id FROM notes WHERE ord % 9 <> 4) SELECT ord, statement_id, topic_id, 'conclusion_latex' AS field, sha256(latex) AS value_sha FROM g WHERE trim(latex) <> ''
+    UNION ALL SELECT ord, inner_id, topic_id, 'symbol_latex', sha256('x' || ord) FROM g UNION ALL SELECT ord, inner_id, 'lower', 'symbol_latex', sha256('deep') FROM g UNION ALL SELECT ord, statement_id, topic_id, 'assumptions_latex', sha256(x) FROM (SELECT *, unnest(['a', 'b' || ord, 'c']) AS x FROM g)""",
+)
+def formula_values(spark, d):
+    """Open JSON with formulas in objects, in lists of lists and in objects within them; every ninth is broken off."""
+    n = fixture(spark, d, "notes")
+    inner = F.when(F.col("ord") % 5 == 0, F.concat(F.lit("inner_"), "ord"))
+    deep = F.array(F.array(F.struct(F.lit("lower").alias("topic_id"), F.struct(F.lit("deep").alias("symbol_latex"), F.lit(3).alias("rank")).alias("of"))))
+    body = F.to_json(
+        F.struct(
+            F.col("statement_id").alias("id"), "topic_id", F.struct(F.col("latex").alias("conclusion_latex"), F.lit("no formula").alias("rate_class")).alias("conclusion"), F.lit(" ").alias("statement_latex"),
+            F.struct(inner.alias("id"), F.array(F.struct(F.concat(F.lit("x"), "ord").alias("symbol_latex"))).alias("list"), deep.alias("deeper")).alias("notation"),
+        )
+    )
+    body = F.concat(F.regexp_replace(body, r"\}\z", ""), F.lit(',"assumptions_latex":["a",["b'), "ord", F.lit('",["c"," ",null,7]]],"symbol_latex":{"other":"x"}}'))
+    docs = n.select("ord", F.when(F.col("ord") % 9 == 4, F.expr("'{\"id\": [broken'")).otherwise(body).alias("body"))
+    return formula.formula_values(docs, "body", "ord").select("ord", "statement_id", "topic_id", "field", F.sha2(F.col("value").cast("binary"), 256).alias("value_sha"))
+
+
 _ODD = "CAST(len(string_split(replace(value, '\\\\', ''), '\\{0}')) - 1 AS INT)"
 _COUNTS = ", ".join(f"{_ODD.format(m)} AS {n}" for m, n in (("(", "open_inline"), (")", "close_inline"), ("[", "open_display"), ("]", "close_display")))
 _DOLLARS = "CAST(len(regexp_extract_all(replace(value, '\\$', 'D'), '\\$\\$')) AS INT) AS display_dollars, CAST(len(regexp_extract_all(replace(value, '\\$', 'D'), '\\$\\$?')) - len(regexp_extract_all(replace(value, '\\$', 'D'), '\\$\\$')) AS INT) AS inline_dollars"

@@ -612,8 +612,16 @@ def issue_queue(spark, d):
     return log.queue(issues(spark, d), "open").select("issue_id", "status", "updated_at")
 
 
-@query("review_packet", "SELECT count(DISTINCT issue_id) AS issues FROM issue_events")
+@query(
+    "review_packet",
+    f"""WITH {ISSUES_SQL}, h AS (SELECT issue_id, string_agg(event_id || ':' || action, ',' ORDER BY rank) AS history FROM (SELECT *, row_number() OVER (PARTITION BY issue_id ORDER BY created_at DESC, event_id DESC) AS rank FROM issue_events) WHERE rank <= 50 GROUP BY 1)
+    SELECT issue_id, status, history, (SELECT count(*) FROM issues) AS total, (SELECT count(*) FROM issues WHERE status <> 'resolved') AS open, (SELECT count(*) FROM issues WHERE status = 'resolved') AS resolved, (SELECT count(*) FROM issue_events) AS history_events FROM issues JOIN h USING (issue_id)""",
+)
 def review_packet(spark, d):
-    packets = log.review_packets(issues(spark, d), fixture(spark, d, "issue_events"))
-    told = F.from_json("packet", "array<struct<issue_id:string,status:string>>")
-    return packets.agg(F.sum(F.size(told)).alias("issues"))
+    """Small packets, written and read again."""
+    path = scratch(spark, "packets")
+    log.write_packets(log.review_packets(issues(spark, d), fixture(spark, d, "issue_events"), packet_bytes=4096), path)
+    schema = "summary struct<total:bigint,open:bigint,resolved:bigint,history_events:bigint>, issues array<struct<issue_id:string,status:string,history:array<struct<rank:int,event_id:bigint,action:string>>>>"
+    read = src.read_documents(spark, path).select(F.from_json("value", schema).alias("d")).select("d.summary.*", F.explode("d.issues").alias("i"))
+    told = F.array_join(F.transform("i.history", lambda x: F.concat_ws(":", x["event_id"].cast("string"), x["action"])), ",")
+    return read.select("i.issue_id", "i.status", told.alias("history"), "total", "open", "resolved", "history_events")

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from topicloom.session import cut
+
 EVENTS = "event_id bigint, issue_id string, action string, created_at timestamp"
 HISTORY, RETRY_SECONDS, STAGGER_MS = 50, 60, 250
 #: What raises an issue's version, and after how many micro-batches their states are merged.
@@ -93,8 +95,28 @@ def migrate_routes(issues: DataFrame, resolved: DataFrame) -> DataFrame:
     return at.withColumn("page_hash", F.concat(F.lit("#/"), "domain_id", F.lit("/"), F.coalesce("node_id", F.lit(""))))
 
 
-def review_packets(issues: DataFrame, events: DataFrame, batches: int = 64) -> DataFrame:
-    """(batch, packet): issues with their newest events as JSON, in batches by id, so that no packet holds all."""
-    told = history(events).groupBy("issue_id").agg(F.array_sort(F.collect_list(F.struct("rank", "action"))).alias("history"))
-    each = issues.join(told, "issue_id", "left").withColumn("batch", F.pmod(F.crc32(F.col("issue_id").cast("binary")), F.lit(batches)))
-    return each.groupBy("batch").agg(F.count("*").alias("issues"), F.to_json(F.array_sort(F.collect_list(F.struct("issue_id", "status", "history")))).alias("packet"))
+#: Bytes of encoded issues that a packet is filled to; an issue of more is a packet of its own.
+PACKET_BYTES = 4 << 20
+
+
+def review_packets(issues: DataFrame, events: DataFrame, packet_bytes: int = PACKET_BYTES) -> DataFrame:
+    """(packet, issues, document): JSON documents for reviewers, each with the summary of all issues, a run of issues by id, and their newest events.
+
+    Running sums of the encoded bytes decide the packets, so that they grow in number with the data and not in size. Issues are dealt into ranges of ids; each range sums its own, after those before it."""
+    told = history(events).groupBy("issue_id").agg(F.array_sort(F.collect_list(F.struct("rank", "event_id", "action"))).alias("history"))
+    each = issues.select("issue_id", "status").join(told, "issue_id", "left").select("issue_id", F.to_json(F.struct("issue_id", "status", F.coalesce("history", F.array().cast(dict(told.dtypes)["history"])).alias("history"))).alias("doc"))
+    ranged = cut(each.withColumn("bytes", F.octet_length("doc").cast("long")).repartitionByRange("issue_id").withColumn("_range", F.spark_partition_id()))
+    sums = ranged.groupBy("_range").agg(F.sum("bytes").alias("_sum"))  # a row a range
+    before = cut(sums.select("_range", (F.sum("_sum").over(Window.orderBy("_range")) - F.col("_sum")).alias("_before")))
+    running = F.sum("bytes").over(Window.partitionBy("_range").orderBy("issue_id")) - F.col("bytes") + F.col("_before")
+    at = ranged.join(F.broadcast(before), "_range").withColumn("packet", F.floor(running / packet_bytes))
+    done = F.col("status").eqNullSafe("resolved")
+    summary = issues.agg(F.count("*").alias("total"), F.count_if(~done).alias("open"), F.count_if(done).alias("resolved")).join(events.agg(F.count("*").alias("history_events")))  # one row each
+    packets = at.groupBy("packet").agg(F.count("*").alias("issues"), F.array_join(F.array_sort(F.collect_list("doc")), ",").alias("docs")).join(F.broadcast(summary))
+    head = F.to_json(F.struct(F.struct("total", "open", "resolved", "history_events").alias("summary"), "packet"))
+    return packets.select("packet", "issues", F.concat(F.substring_index(head, "}", 2), F.lit(',"issues":['), "docs", F.lit("]}")).alias("document"))
+
+
+def write_packets(packets: DataFrame, path: str) -> None:
+    """A JSON document a packet, in a folder of its name."""
+    packets.select(F.concat(F.lit("packet-"), F.lpad(F.col("packet").cast("string"), 6, "0"), F.lit(".json")).alias("name"), "document").write.partitionBy("name").text(path)
