@@ -150,6 +150,49 @@ def test_repair():
     assert repair("a\u00a0\t  b\r\n  c") == "a b c"
 
 
+def plain_repair(text):
+    """The rules of repair(), a character at a time."""
+    white = set("\t\n\x0b\x0c\r \xa0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff") | {chr(c) for c in range(0x2000, 0x200B)}
+    control = {chr(c) for c in (*range(9), 11, 12, *range(14, 32), 127)}
+    text, out, i = unicodedata.normalize("NFC", text).replace("\r\n", "\n").replace("\r", "\n"), "", 0
+    while i < len(text):
+        if text[i] == "\\" and text[i + 1 : i + 2] in {"\n", *control} and i + 1 < len(text):
+            out += "\\" if text[i + 2 : i + 3] in (")", "]") and i + 2 < len(text) else ""
+            i += 2
+        else:
+            out += text[i]
+            i += 1
+    text = "".join(("\\" if re.match("[A-Za-z]", out[i + 1 : i + 2]) else " ") if c in control else c for i, c in enumerate(out))
+    text = "".join(" " if c in "\t\xa0\u202f\u205f\u3000" or "\u2000" <= c <= "\u200b" else c for c in text)
+    text = "\n".join(line.strip(" ") if 0 < k < text.count("\n") else line.lstrip(" ") if k else line.rstrip(" ") if "\n" in text else line for k, line in enumerate(text.split("\n"))).replace("\n", " ")
+    while "  " in text:
+        text = text.replace("  ", " ")
+    text, out, depth = text.strip("".join(white)), "", {")": 0, "]": 0}
+    i = 0
+    while i < len(text):
+        if text[i : i + 2] in ("\\(", "\\["):
+            depth[")" if text[i + 1] == "(" else "]"] += 1
+            out, i = out + text[i : i + 2], i + 2
+        elif text[i : i + 2] in ("\\)", "\\]"):
+            depth[text[i + 1]] = max(0, depth[text[i + 1]] - 1)
+            out, i = out + text[i : i + 2], i + 2
+        else:
+            if text[i] in depth and depth[text[i]] and text[i - 1 : i] in white and i:
+                depth[text[i]] -= 1
+                out += "\\"
+            out, i = out + text[i], i + 1
+    return out
+
+
+def test_repair_against_a_plain_scan(spark):
+    rng = random.Random(12)
+    pieces = ["\\", "\\(", "\\)", "\\[", "\\]", ")", "]", " ", "  ", "\n", "\r\n", "\r", "\t", "\x0c", "\x01", "\x1c", "\x7f", "\x85", "\ufeff", "\u00a0", "\u200b", "\u2028", "e\u0301", "a", "rac", "1", "$"]
+    values = ["".join(rng.choice(pieces) for _ in range(rng.randrange(14))) for _ in range(3000)] + ["", "\x85a\x85", "\ufeffa\ufeff"]
+    got = spark.createDataFrame(list(enumerate(values)), "i int, v string").select("i", formula.formula_normalize("v").alias("out")).collect()
+    for r in got:
+        assert r["out"] == plain_repair(values[r["i"]]), repr(values[r["i"]])
+
+
 def test_dollars_and_orphans(spark):
     rows = [("$a$ and $$b\nc$$ \\$d$e$",), ("\\(a\\) \\)  ",), ("\\(a \\)",), ("\\[a\\] \\]",), (formula.RESTRICTION[0],)]
     df = spark.createDataFrame(rows, "v string")

@@ -129,6 +129,22 @@ def collect_preserved(topics: DataFrame, statements: DataFrame, excluded: list[s
     return t.groupBy("topic_id").agg(F.min_by("title", F.struct("domain_id", "pos")).alias("title")).join(s, "topic_id", "left").fillna(0, ["preserved", "regenerated"])
 
 
+def preserved_statements(topics: DataFrame, statements: DataFrame, excluded: list[str]) -> DataFrame:
+    """The statements of a previous snapshot that are kept: not made anew, and of a topic of a domain that isn't excluded. A topic that occurs in several domains keeps its statements once."""
+    known = topics.where(~F.col("domain_id").isin(excluded)).select("topic_id")
+    return statements.where(~regenerated()).join(known, "topic_id", "left_semi")
+
+
+def preserved_report(topics: DataFrame, statements: DataFrame, excluded: list[str]) -> DataFrame:
+    """One row on a previous snapshot: its domains, topics and kept statements, the statements left out by kind of stage, and how often a topic occurs again."""
+    t = topics.where(~F.col("domain_id").isin(excluded))
+    mine = statements.join(t.select("topic_id"), "topic_id", "left_semi")
+    campaign = F.coalesce(F.startswith("stage", F.lit("0809_campaign_")), F.lit(False))
+    of_topics = t.groupBy("topic_id").agg(F.count("*").alias("n")).agg(F.count("*").alias("topics"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_topic_occurrences"))
+    counts = mine.agg(F.count_if(~regenerated()).alias("statements"), F.count_if(campaign).alias("excluded_campaign_statements"), F.count_if(regenerated() & ~campaign).alias("excluded_convergence_candidates"))
+    return t.agg(F.countDistinct("domain_id").alias("domains")).join(of_topics).join(counts)  # one row each
+
+
 def layer_report(layers: DataFrame) -> DataFrame:
     """Sums of the counters of several merged layers, and how many were partial."""
     counters = [c for c, t in layers.dtypes if t in ("bigint", "int")]

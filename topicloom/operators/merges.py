@@ -9,12 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.functions.text import container_id, first_non_empty, in_subtree, item_id, normalize_text
+from topicloom.functions.text import container_id, first_non_empty, in_subtree, item_id, non_empty, normalize_text
 from topicloom.operators.aggregates import BASE, GROUP, SUPPORTED, cross_source_groups, modal_value, regenerated, witness_dedup
 from topicloom.operators.placement import alias_redirect, attach_nearest, live_parent, match_child_title, match_id_or_title, match_title_same_part, nearest_topics, subtree, unique_children
 from topicloom.operators.projections import classify_convergence, normalize_statement, placement_hints
 from topicloom.operators.windows import best_stage, dedupe_best, dedupe_first, remint_colliding_ids
 from topicloom.session import cut
+from topicloom.sources.catalog import EVIDENCE
 
 # Which placement makes a candidate of a stage public, and what a convergence layer may call itself.
 _BOTH = ("campaign_existing_node", "explicit_node_alias", "campaign_exact_sibling_title", "campaign_cross_source_candidate_container", "campaign_unique_same_part_title")
@@ -227,6 +228,25 @@ def prepare_candidates(*sources: DataFrame) -> DataFrame:
     return out.withColumn("placement_hints", placement_hints(fields, one("affected_hint")))
 
 
+#: What a candidate may have from its review, with its type; missing columns count as null.
+REVIEW = {"review_confidence": "double", "review_flags": "array<string>", "review_decision": "string", "primary_disposition": "string", "preferred_home_node_id": "string", "affected_existing_node_ids": "array<string>", "parent_candidate_ids": "array<string>"}
+
+
+def candidate_records(candidates: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Prepared candidates with the evidence of their campaign's ledger (its last row by ord for a source item) as their one reference, titled by the stem of its path, with review fields, and with a context of where they come from and what
+    the review said. A candidate without evidence has no references."""
+    fields = [c for c in EVIDENCE if c in ledger.columns]
+    last = cut(ledger.groupBy("campaign", "source_item_id").agg(F.max_by(F.struct(*fields), "ord").alias("evidence")))
+    out = candidates.withColumns({c: F.col(c).cast(t) if c in candidates.columns else F.lit(None).cast(t) for c, t in REVIEW.items()}).join(last, ["campaign", "source_item_id"], "left")
+    stem = F.regexp_extract(F.coalesce(F.col("evidence.source_path") if "source_path" in fields else F.lit(""), F.lit("")), r"([^/]+?)(?:\.[^./]*)?/*$", 1)
+    reference = F.struct(F.col("campaign").alias("source"), F.coalesce(non_empty(stem), "campaign").alias("source_title"), *[F.col("evidence")[c].alias(c) for c in fields])
+    context = F.struct(
+        "campaign", "source_item_id", "review_decision", "primary_disposition", F.struct("preferred_home_node_id", "affected_existing_node_ids").alias("directory_assessment"), F.struct("parent_candidate_ids").alias("new_node_candidate")
+    )
+    refs = F.when(F.col("evidence").isNotNull(), F.array(reference)).otherwise(F.array().cast(f"array<struct<source:string,source_title:string,{','.join(f'{c}:string' for c in fields)}>>"))
+    return out.withColumns({"source_refs": refs, "review_flags": F.coalesce("review_flags", F.array().cast("array<string>")), "context": context}).drop("evidence", *[c for c in REVIEW if c not in ("review_confidence", "review_flags")])
+
+
 def proposals(candidates: DataFrame, topics: DataFrame, aliases: DataFrame) -> DataFrame:
     """What places and containers need of the candidates that propose a title, with their first live parent."""
     named = candidates.where("title_key <> ''").select("ord", "source_item_id", "title_key", "title", "stage", "campaign", "locator", "scope_note", "parent_hint", "root_hint")

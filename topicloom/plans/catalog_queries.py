@@ -394,7 +394,7 @@ def trim_orphan_delimiter(spark, d):
 
 @query("latex_class")
 def latex_class(spark, d):
-    return fixture(spark, d, "formulas").select("statement_id", formula.latex_class(formula.formula_normalize("value")).alias("outcome")).groupBy("outcome").agg(F.count("*").alias("n"))
+    return fixture(spark, d, "formulas").select("statement_id", "field", formula.latex_class(formula.formula_normalize("value")).alias("outcome"))
 
 
 # --- joins
@@ -611,6 +611,25 @@ def collect_preserved(spark, d):
     return agg.collect_preserved(fixture(spark, d, "topics"), attached(spark, d), ["R3"])
 
 
+PRESERVED_SQL = "t AS (SELECT topic_id, domain_id FROM topics WHERE domain_id <> 'R3' UNION ALL SELECT topic_id, 'R4' FROM topics WHERE domain_id = 'R1'), a AS (SELECT * FROM attached WHERE topic_id IN (SELECT topic_id FROM t))"
+
+
+def snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """Topics of which one domain's occur in another as well."""
+    t = fixture(spark, d, "topics")
+    return t.union(t.where("domain_id = 'R1'").withColumn("domain_id", F.lit("R4")))
+
+
+@query("preserved_statements", f"WITH {PRESERVED_SQL} SELECT topic_id, statement_id FROM a WHERE stage = 'current'")
+def preserved_statements(spark, d):
+    return agg.preserved_statements(snapshot(spark, d), attached(spark, d), ["R3"]).select("topic_id", "statement_id")
+
+
+@query("preserved_report", f"WITH {PRESERVED_SQL} SELECT (SELECT count(DISTINCT domain_id) FROM t) AS domains, (SELECT count(DISTINCT topic_id) FROM t) AS topics, (SELECT count(*) - count(DISTINCT topic_id) FROM t) AS duplicate_topic_occurrences, count(*) FILTER (stage = 'current') AS statements, count(*) FILTER (starts_with(stage, '0809')) AS excluded_campaign_statements, count(*) FILTER (starts_with(stage, 'conv')) AS excluded_convergence_candidates FROM a")
+def preserved_report(spark, d):
+    return agg.preserved_report(snapshot(spark, d), attached(spark, d), ["R3"])
+
+
 @query("layer_report", "SELECT count(*) AS layer_count, count(*) FILTER (partial_run) AS partial_layer_count, CAST(sum(records) AS BIGINT) AS records, CAST(sum(unmapped) AS BIGINT) AS unmapped FROM (SELECT stage, stage <> 'current' AS partial_run, count(*) AS records, count(*) FILTER (topic_id IS NULL) AS unmapped FROM attached GROUP BY 1, 2)")
 def layer_report(spark, d):
     layers = attached(spark, d).groupBy("stage").agg(F.count("*").alias("records"), F.count_if(F.col("topic_id").isNull()).alias("unmapped"))

@@ -254,6 +254,23 @@ def prepare_candidates(spark, d):
     return prepared(spark, d).select("source_item_id", "stage", "statement_id", "title_key")
 
 
+@query(
+    "candidate_records",
+    f"""WITH k AS ({STAGE_SQL}), e AS (SELECT campaign, source_item_id, max_by(locator, ord) AS locator FROM candidates WHERE stage <> '0809_campaign_build' GROUP BY 1, 2)
+    SELECT k.source_item_id, CASE WHEN e.locator IS NULL THEN '' ELSE k.campaign || '|' || CASE WHEN e.locator = 'loc1' THEN k.campaign ELSE 'paper.v1' END || '|' || e.locator END AS reference, k.confidence AS review_confidence, CASE WHEN k.locator = 'loc2' THEN 'check,again' ELSE '' END AS flags,
+    k.campaign || '|' || k.stage || '|' || k.home_hint || '|' || k.affected_hint AS context FROM k LEFT JOIN e ON e.campaign = k.campaign AND e.source_item_id = k.source_item_id""",
+)
+def candidate_records(spark, d):
+    k = fixture(spark, d, "candidates")
+    path = F.when(F.col("locator") != "loc1", F.concat(F.lit("books/"), "campaign", F.lit("/paper.v1.tex")))
+    ledger = k.where("stage <> '0809_campaign_build'").select("campaign", "source_item_id", path.alias("source_path"), "locator", "ord")
+    reviewed = prepared(spark, d).withColumns({"review_confidence": F.col("confidence"), "review_flags": F.when(F.col("locator") == "loc2", F.array(F.lit("check"), F.lit("again"))), "review_decision": F.col("stage"), "preferred_home_node_id": F.col("home_hint"), "affected_existing_node_ids": F.array("affected_hint")})
+    r = merges.candidate_records(reviewed, ledger)
+    ref, of = F.col("source_refs")[0], F.col("context")
+    told = F.when(F.size("source_refs") > 0, F.concat_ws("|", ref["source"], ref["source_title"], ref["locator"])).otherwise("")
+    return r.select("source_item_id", told.alias("reference"), "review_confidence", F.array_join("review_flags", ",").alias("flags"), F.concat_ws("|", of["campaign"], of["review_decision"], of["directory_assessment"]["preferred_home_node_id"], of["directory_assessment"]["affected_existing_node_ids"][0]).alias("context"))
+
+
 CANDIDATE_SQL = f"""prep AS (SELECT * EXCLUDE (rn), {KEY_SQL.format('title')} AS title_key FROM ({STAGE_SQL})),
     prop AS (SELECT p.*, CASE WHEN coalesce(a.target_node_id, parent_hint) IN (SELECT topic_id FROM topics) THEN coalesce(a.target_node_id, parent_hint) ELSE root_hint END AS parent FROM prep p LEFT JOIN aliases a ON a.source_node_id = parent_hint),
     ch AS (SELECT parent_topic_id AS parent, lower(title) AS title_key, min(topic_id) AS topic_id FROM topics WHERE depth > 0 GROUP BY 1, 2 HAVING count(*) = 1),
