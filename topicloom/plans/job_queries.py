@@ -16,6 +16,7 @@ from topicloom.plans.registration import query
 from topicloom.session import cut, scratch
 from topicloom.sources import catalog as src
 from topicloom.streaming import issues as log
+from topicloom.streaming import stateful
 
 # --- windows
 
@@ -602,6 +603,42 @@ def retry_due(spark, d):
     return due.select("event_id", "delay_ms")
 
 
+REMOTE_SQL = "(SELECT *, CASE event_id % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'sending' WHEN 2 THEN 'failed' ELSE 'sent' END AS remote_status FROM issue_events)"
+TIMEOUTS_SQL = f"""SELECT event_id, issue_id, CASE WHEN remote_status = 'sending' THEN 'timeout' ELSE remote_status END AS reason, CASE WHEN remote_status = 'sending' THEN created_at + INTERVAL 60 SECOND ELSE created_at END AS due_at
+    FROM (SELECT *, lead(created_at) OVER (PARTITION BY issue_id ORDER BY created_at, event_id) AS next FROM {REMOTE_SQL}) WHERE remote_status IN ('pending', 'failed') OR (remote_status = 'sending' AND (next IS NULL OR next > created_at + INTERVAL 60 SECOND))"""
+REMOTE = F.element_at(F.array(*map(F.lit, ("pending", "sending", "failed", "sent"))), (F.col("event_id") % 4 + 1).cast("int"))
+
+
+def closed_events(spark: SparkSession, d: str) -> str:
+    """events_again(), and an event that moves the watermark past all others."""
+    path = events_again(spark, d)
+    last = fixture(spark, d, "issue_events").agg((F.max("created_at") + F.expr("INTERVAL 100 DAYS")).alias("created_at"))
+    last.select(F.lit(-1).cast("bigint").alias("event_id"), F.lit("").alias("issue_id"), F.lit("closing").alias("action"), "created_at").write.mode("append").parquet(path)
+    return path
+
+
+@query("retry_timeouts", TIMEOUTS_SQL)
+def retry_timeouts(spark, d):
+    return stateful.retries(fixture(spark, d, "issue_events").withColumn("action", REMOTE))
+
+
+@query("retry_timeouts_stream", TIMEOUTS_SQL)
+def retry_timeouts_stream(spark, d):
+    """The same by timers, in two micro-batches and more."""
+    with stateful.rocksdb(spark):
+        events = log.read_events(spark, closed_events(spark, d), late="40 days", files=4).withColumn("action", F.when(F.col("event_id") < 0, F.col("action")).otherwise(REMOTE))
+        return drained(spark, stateful.retry_stream(events), "retries")
+
+
+@query("issue_state_timers", STATE_SQL)
+def issue_state_timers(spark, d):
+    """The state by a stream that lets go of issues whose last event was a purchase ten days ago; their spells add up to the state over all events."""
+    with stateful.rocksdb(spark):
+        events = log.read_events(spark, closed_events(spark, d), late="40 days", files=4)
+        written = drained(spark, stateful.state_stream(events, EDITS, closed=EDITS, keep_days=10), "issue-spells")
+    return stateful.current_state(written.where("issue_id <> ''"))
+
+
 @query("issue_history", "SELECT issue_id, event_id, CAST(row_number() OVER (PARTITION BY issue_id ORDER BY created_at DESC, event_id DESC) AS INT) AS rank FROM issue_events QUALIFY rank <= 50")
 def issue_history(spark, d):
     return log.history(fixture(spark, d, "issue_events")).select("issue_id", "event_id", "rank")
