@@ -13,6 +13,7 @@ from topicloom.operators import windows as win
 from topicloom.plans.fixtures import fixture, table
 from topicloom.plans.registration import query
 from topicloom.session import cut, scratch
+from topicloom.sources import blocks
 from topicloom.sources import catalog as src
 
 KEY_SQL = r"replace(lower(trim(regexp_replace(coalesce({0}, ''), '\s+', ' ', 'g'))), 'ß', 'ss')"
@@ -45,13 +46,50 @@ def catalogs(spark: SparkSession, d: str) -> DataFrame:
     return src.read_json(spark, path, src.CATALOG).withColumn("domain_id", F.regexp_extract("file", "domain_id=([^/]+)", 1))
 
 
-@query("read_catalog", "SELECT topic_id AS domain_id, title AS display_name, CAST(1 AS BIGINT) AS roots FROM topics WHERE depth = 0")
+CATALOG_SQL = "SELECT topic_id AS domain_id, title AS display_name, CAST(1 AS BIGINT) AS roots FROM topics WHERE depth = 0"
+TREE_SQL = "SELECT domain_id, topic_id, title, coalesce(parent_topic_id, '') AS parent_topic_id, depth FROM topics"
+#: Rows of a block here, so that topics of every test table have several.
+BLOCK_ROWS = 64
+
+
+def tree_blocks(spark: SparkSession, d: str) -> str:
+    """The topic tree as a catalogue of heads and blocks, on files."""
+    t = fixture(spark, d, "topics").withColumn("title", F.coalesce("title", F.lit("")))
+    path = scratch(spark, "blocks")
+    blocks.write_blocks(t, t.where("depth = 0").select("domain_id", F.col("title").alias("display_name")), ["kind", "pos", "topic_id"], path, BLOCK_ROWS)
+    return path
+
+
+@query("read_catalog", CATALOG_SQL)
 def read_catalog(spark, d):
-    return catalogs(spark, d).select("domain_id", "display_name", F.size("roots").cast("long").alias("roots"))
+    return blocks.read_heads(spark, tree_blocks(spark, d)).select("domain_id", "display_name", "roots")
 
 
-@query("flatten_tree", "SELECT domain_id, topic_id, title, coalesce(parent_topic_id, '') AS parent_topic_id, depth FROM topics")
+@query("flatten_tree", f"{TREE_SQL.removesuffix(' FROM topics')}, row_number() OVER (PARTITION BY domain_id, parent_topic_id ORDER BY kind, pos, topic_id) AS place FROM topics")
 def flatten_tree(spark, d):
+    """With each topic's place among its siblings, over all their blocks."""
+    flat = blocks.flatten_blocks(blocks.read_blocks(spark, tree_blocks(spark, d)))
+    return flat.select("domain_id", "topic_id", "title", F.coalesce("parent_topic_id", F.lit("")).alias("parent_topic_id"), "depth", F.element_at("path", -1).alias("place"))
+
+
+@query(
+    "lost_blocks",
+    f"WITH s AS (SELECT domain_id, parent_topic_id AS parent, (row_number() OVER (PARTITION BY parent_topic_id ORDER BY kind, pos, topic_id) - 1) // {BLOCK_ROWS} AS block FROM topics WHERE depth = 2) SELECT DISTINCT domain_id, parent, block FROM s WHERE block % 2 = 1",
+)
+def lost_blocks(spark, d):
+    """Every other block of the nations is lost."""
+    path = tree_blocks(spark, d)
+    found = blocks.read_blocks(spark, path).where("block % 2 = 0")
+    return blocks.lost_blocks(blocks.read_heads(spark, path), found)
+
+
+@query("read_nested_catalog", CATALOG_SQL)
+def read_nested_catalog(spark, d):
+    return catalogs(spark, d).select("domain_id", "display_name", F.size("roots").cast("long").alias("roots"))
+
+
+@query("flatten_nested_tree", TREE_SQL)
+def flatten_nested_tree(spark, d):
     return src.flatten_tree(catalogs(spark, d)).select("domain_id", "topic_id", "title", F.coalesce("parent_topic_id", F.lit("")).alias("parent_topic_id"), "depth")
 
 
