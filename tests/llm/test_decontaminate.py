@@ -40,11 +40,12 @@ def case(seed):
     return docs, items
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_against_brute_force(spark, seed, monkeypatch):
+@pytest.mark.parametrize("seed, block, passes", [(1, op.BLOCK_SHINGLES, op.PASSES), (2, 40, 1000), (2, 40, 1), (4, 1, 0)])
+def test_against_brute_force(spark, seed, block, passes, monkeypatch):
+    """In one pass, in many, and by the shuffle."""
     docs, items = case(seed)
-    if seed == 2:
-        monkeypatch.setattr(op, "BLOCK_SHINGLES", 40)
+    monkeypatch.setattr(op, "BLOCK_SHINGLES", block)
+    monkeypatch.setattr(op, "PASSES", passes)
     d = spark.createDataFrame([(i, t, "x", 1) for i, t in docs], "doc_id long, text string, win string, row int").repartition(3)
     i = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, item int")
     got = sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in op.contamination(d, i).collect()), key=str)

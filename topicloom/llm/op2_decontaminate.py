@@ -4,7 +4,8 @@ A-Z are lower-cased; words are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+. A window is `win
 fewer words, but not none, is one window. A document word inside an occurrence of a window is hit.
 
 Steps. (1) Each window is a set of placed shingles (up to three words). Documents are read once; a broadcast of the
-benchmark's distinct shingle hashes (in blocks of bounded size, a pass each, if there are very many) keeps the few positions that match, with the words around them.
+benchmark's distinct shingle hashes (in blocks of bounded size, a pass each, if there are many) keeps the few positions that match, with the words around them.
+Beyond PASSES blocks positions are shuffled to the shingles instead, once, as (row, place, hash), and the words come back to the rows that have a start.
 (2) Shingles are ordered by how often they occur in the documents; containment of the whole window needs its rarest shingle,
 so that is the prefix, and windows with a shingle that occurs nowhere are gone. (3) Positions of prefix shingles give window
 starts; those that don't fit into the document fall to the length and positional bounds. (4) The words of the
@@ -27,6 +28,8 @@ from topicloom.llm.common import alnum_words, cut, drop_ids, table, text_digest
 WINDOW, SHINGLE = 10, 3
 #: Distinct shingles of the benchmark that are broadcast at once; more are dealt into blocks, each with its own pass.
 BLOCK_SHINGLES = 2_000_000
+#: Most passes over the texts; a benchmark of more blocks than that meets them by one shuffle.
+PASSES = 4
 
 
 def grams(words: Column, size: Column, k: int) -> Column:
@@ -58,6 +61,12 @@ def _matches(docs: DataFrame, shingles: DataFrame, ks: list[int], window: int, s
     )
 
 
+def _shuffled(docs: DataFrame, shingles: DataFrame, ks: list[int]) -> DataFrame:
+    """(row, pos, h): the positions of docs with one of shingles, of any number. Both sides of the join are plain, so that Spark can split a shingle that very many texts have."""
+    parts = [docs.select("row", F.posexplode(grams(F.col("w"), F.col("n"), k)).alias("pos", "h")) for k in ks]
+    return reduce(DataFrame.union, parts).join(shingles.select("h").distinct().hint("merge"), "h")
+
+
 def occurrences(docs: DataFrame, windows: DataFrame, window: int, shingle: int) -> tuple[DataFrame, DataFrame]:
     """(row, key, n) of every document, and (row, start, size, win) of every occurrence of a window."""
     placed = cut(
@@ -73,22 +82,27 @@ def occurrences(docs: DataFrame, windows: DataFrame, window: int, shingle: int)
         docs = cut(docs.select("key", "text"))  # so that all passes number the rows alike
     # the row number, which isn't deterministic, also keeps Spark from splitting the text again for each shingle
     rows = docs.select("key", alnum_words(F.col("text")).alias("w")).select(F.monotonically_increasing_id().alias("row"), "key", "w", F.size("w").alias("n"))
-    seen = [_matches(rows, shingles.where(F.pmod(F.xxhash64("h"), F.lit(blocks)) == block), ks, window, not block) for block in range(blocks)]
-    seen = cut(reduce(DataFrame.union, seen))
-    often = seen.where("pos is not null").groupBy("h").agg(F.count("*").alias("often"))
+    wide = blocks > PASSES
+    if wide:
+        rows = cut(rows)  # words that are joined back must be those of the same row
+        every, seen = rows.select("row", "key", "n"), cut(_shuffled(rows, shingles, ks))
+    else:
+        parts = [_matches(rows, shingles.where(F.pmod(F.xxhash64("h"), F.lit(blocks)) == block), ks, window, not block) for block in range(blocks)]
+        seen = cut(reduce(DataFrame.union, parts))
+        every, seen = seen.where("pos is null").select("row", "key", "n"), seen.where("pos is not null")
+    often = seen.groupBy("h").agg(F.count("*").alias("often"))
     rare = placed.join(often, "h", "left").groupBy("win", "words", "size").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "offset", "h")).alias("rare"))
     prefix = cut(rare.where("rare.often > 0").select("win", "words", "size", "rare.offset", "rare.h"))
     few = prefix.limit(BLOCK_SHINGLES // 10 + 1).count() <= BLOCK_SHINGLES // 10  # windows carry their words
-    start = F.col("pos") - F.col("offset")
+    starts = seen.join(F.broadcast(prefix) if few else prefix, "h").withColumn("start", F.col("pos") - F.col("offset")).where("start >= 0")
+    if wide:
+        starts = starts.select("row", "start", "size", "win", "words").join(rows.select("row", "n", "w"), "row").withColumns({"around": F.col("w"), "near": F.lit(0)})
     found = (
-        seen.where("pos is not null")
-        .join(F.broadcast(prefix) if few else prefix, "h")
-        .withColumn("start", start)
-        .where((F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.col("n")))
+        starts.where(F.col("start") + F.col("size") <= F.col("n"))
         .where(F.slice("around", F.col("start") - F.col("near") + 1, F.col("size")) == F.col("words"))
         .select("row", "start", "size", "win")
     )
-    return seen.where("pos is null").select("row", "key", "n"), found.distinct()
+    return every, found.distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
