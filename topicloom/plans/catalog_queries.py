@@ -402,10 +402,13 @@ def formula_normalize(spark, d):
     return fixture(spark, d, "formulas").select("statement_id", formula.formula_normalize("value").alias("value"))
 
 
-@query("dollars_to_tex", r"SELECT statement_id, sha256(regexp_replace(regexp_replace(replace(value, '\$', 'D'), '(?s)\$\$(.*?)\$\$', '\\[\1\\]', 'g'), '\$([^$\n]+?)\$', '\\(\1\\)', 'g')) AS tex_sha FROM formulas")
+#: DuckDB has no look-behind, so an escaped dollar is one character while the rules run; inline formulas hold neither kind.
+DOLLARS_SQL = r"""SELECT statement_id, sha256(replace(regexp_replace(regexp_replace(replace(value, '\$', chr(1)), '(?s)\$\$(.*?)\$\$', '\\[\1\\]', 'g'), '\$([^$\x01\n]+?)\$', '\\(\1\\)', 'g'), chr(1), '\$')) AS tex_sha FROM formulas"""
+
+
+@query("dollars_to_tex", DOLLARS_SQL)
 def dollars_to_tex(spark, d):
-    f = fixture(spark, d, "formulas").withColumn("value", F.replace("value", F.lit("\\$"), F.lit("D")))
-    return f.select("statement_id", F.sha2(formula.dollars_to_tex(F.col("value")).cast("binary"), 256).alias("tex_sha"))
+    return fixture(spark, d, "formulas").select("statement_id", F.sha2(formula.dollars_to_tex(F.col("value")).cast("binary"), 256).alias("tex_sha"))
 
 
 _ONE = r"CAST(len(regexp_extract_all(' ' || value, '[^\\]\\\{0}')) AS INT)"

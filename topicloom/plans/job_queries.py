@@ -433,12 +433,19 @@ def rename_apply(spark, d):
     return merges.rename_apply(occurrences(spark, d), book)
 
 
-@query("rename_restore", f"SELECT count(*) FILTER (length(topic_id) % 2 = 0) AS changed, count(DISTINCT CASE WHEN length(topic_id) % 2 = 0 THEN file END) AS files, count(*) AS restored FROM ({OCCURRENCES_SQL})")
-def rename_restore(spark, d):
+def restored(spark: SparkSession, d: str) -> DataFrame:
     book = workbook(spark, d).withColumn("new_title", F.when(F.char_length("topic_id") % 2 == 0, F.concat(F.lit("New "), "current_title")).otherwise(F.col("current_title")))
-    there = merges.rename_apply(occurrences(spark, d), book).drop("changed")
-    back = merges.rename_apply(there, book, restore=True)
-    return back.agg(F.count_if("changed").alias("changed"), F.countDistinct(F.when(F.col("changed"), F.col("file"))).alias("files"), F.count("title").alias("restored"))
+    return merges.rename_apply(merges.rename_apply(occurrences(spark, d), book).drop("changed"), book, restore=True)
+
+
+@query("rename_restore", f"SELECT file, topic_id, title, length(topic_id) % 2 = 0 AS changed FROM ({OCCURRENCES_SQL})")
+def rename_restore(spark, d):
+    return restored(spark, d)
+
+
+@query("rename_restore_report", f"SELECT count(*) FILTER (length(topic_id) % 2 = 0) AS changed, count(DISTINCT CASE WHEN length(topic_id) % 2 = 0 THEN file END) AS files, count(*) AS restored FROM ({OCCURRENCES_SQL})")
+def rename_restore_report(spark, d):
+    return restored(spark, d).agg(F.count_if("changed").alias("changed"), F.countDistinct(F.when(F.col("changed"), F.col("file"))).alias("files"), F.count("title").alias("restored"))
 
 
 # --- checks
@@ -606,7 +613,7 @@ def retry_due(spark, d):
 REMOTE_SQL = "(SELECT *, CASE event_id % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'sending' WHEN 2 THEN 'failed' ELSE 'sent' END AS remote_status FROM issue_events)"
 TIMEOUTS_SQL = f"""SELECT event_id, issue_id, CASE WHEN remote_status = 'sending' THEN 'timeout' ELSE remote_status END AS reason, CASE WHEN remote_status = 'sending' THEN created_at + INTERVAL 60 SECOND ELSE created_at END AS due_at
     FROM (SELECT *, lead(created_at) OVER (PARTITION BY issue_id ORDER BY created_at, event_id) AS next FROM {REMOTE_SQL}) WHERE remote_status IN ('pending', 'failed') OR (remote_status = 'sending' AND (next IS NULL OR next > created_at + INTERVAL 60 SECOND))"""
-REMOTE = F.element_at(F.array(*map(F.lit, ("pending", "sending", "failed", "sent"))), (F.col("event_id") % 4 + 1).cast("int"))
+REMOTE = "case event_id % 4 when 0 then 'pending' when 1 then 'sending' when 2 then 'failed' else 'sent' end"
 
 
 def closed_events(spark: SparkSession, d: str) -> str:
@@ -619,14 +626,14 @@ def closed_events(spark: SparkSession, d: str) -> str:
 
 @query("retry_timeouts", TIMEOUTS_SQL)
 def retry_timeouts(spark, d):
-    return stateful.retries(fixture(spark, d, "issue_events").withColumn("action", REMOTE))
+    return stateful.retries(fixture(spark, d, "issue_events").withColumn("action", F.expr(REMOTE)))
 
 
 @query("retry_timeouts_stream", TIMEOUTS_SQL)
 def retry_timeouts_stream(spark, d):
     """The same by timers, in two micro-batches and more."""
     with stateful.rocksdb(spark):
-        events = log.read_events(spark, closed_events(spark, d), late="40 days", files=4).withColumn("action", F.when(F.col("event_id") < 0, F.col("action")).otherwise(REMOTE))
+        events = log.read_events(spark, closed_events(spark, d), late="40 days", files=4).withColumn("action", F.when(F.col("event_id") < 0, F.col("action")).otherwise(F.expr(REMOTE)))
         return drained(spark, stateful.retry_stream(events), "retries")
 
 
