@@ -7,7 +7,8 @@ span is found by rendering the prefix with two probe texts in its stead, which d
 
 The built-in template marks turns, and puts a backslash before each backslash and each control string inside roles and texts; so
 what it writes can be read back whatever the texts say. Rendering all prefixes of a conversation takes time in the square of its turns, which
-is what a black box costs; a conversation is one output and so one group.
+is what a black box costs. A conversation of more than RUN turns is rendered by several tasks, each for the prefixes that end in one run of RUN turns; a task renders the
+prefix before its run itself, so the spans are those of one task, for any template. Each such task needs the conversation; their spans, and the one output, meet at the end.
 
 Defined results: turns are in the order of turn, role and text, nulls first; a null text or role counts as empty; repeated rows are
 turns of their own; a null conversation id is a conversation; an empty table gives no rows; other columns are not read.
@@ -17,23 +18,28 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from os.path import commonprefix
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import table
+from topicloom.llm.common import BROADCAST_IDS, cut, table
 
 Turns = list[tuple[str, str]]
 Template = Callable[[Turns], str]
+Span = tuple[int, int, int, int]
 START, SEPARATOR, STOP = "### ", ": ", "</turn>"
-_CONTROL = re.compile(r"\\|### |: |</turn>")
+#: The backslash first; no two control strings overlap.
+CONTROL = ("\\", START, SEPARATOR, STOP)
 PROBES = ("a", "b")
+#: Turns of a conversation whose prefixes one task renders.
+RUN = 256
 
 
 def escape(text: str) -> str:
-    return _CONTROL.sub(lambda m: "\\" + m[0], text)
+    for mark in CONTROL:
+        text = text.replace(mark, "\\" + mark)
+    return text
 
 
 def unescape(text: str) -> str:
@@ -45,34 +51,59 @@ def marked_turns(turns: Turns) -> str:
     return "".join(f"{START}{escape(role)}{SEPARATOR}{escape(text)}{STOP}\n" for role, text in turns)
 
 
-def spans(template: Template, turns: Turns) -> tuple[str, list[tuple[int, int, int, int]], bool]:
-    """The output, (start, text start, text stop, stop) of each turn, and whether the template rewrites history."""
-    before, found, rewrites = template([]), [], False
-    for k, (role, _) in enumerate(turns):
-        now = template(turns[: k + 1])
-        start = len(before) if now.startswith(before) else len(commonprefix([before, now]))
+def shared(a: str, b: str) -> int:
+    """How many characters two strings begin with alike, by comparing halves of what is left."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
+def spans(template: Template, turns: Turns, first: int = 0, last: int | None = None) -> tuple[str, list[Span], bool]:
+    """Of the turns from first to before last (all, if not given): the output at the end, (start, text start, text stop, stop) of each turn, and whether the template rewrites history there."""
+    before, found, rewrites = template(turns[:first]), [], False
+    for k in range(first, len(turns) if last is None else last):
+        role, now = turns[k][0], template(turns[: k + 1])
+        start = len(before) if now.startswith(before) else shared(before, now)
         rewrites |= start < len(before)
         one, two = (template([*turns[:k], (role, p)]) for p in PROBES)
-        head = len(commonprefix([one, two]))
-        tail = len(commonprefix([one[head:][::-1], two[head:][::-1]]))
+        head = shared(one, two)
+        tail = shared(one[head:][::-1], two[head:][::-1])
         found.append((start, max(start, head), max(start, head, len(now) - tail), len(now)))
         before = now
     return before, found, rewrites
 
 
-def format_chats(chats: DataFrame, template: Template = marked_turns, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
+def format_chats(chats: DataFrame, template: Template = marked_turns, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", learn: tuple[str, ...] = ("assistant",), run: int = RUN) -> DataFrame:
     """(key, formatted, rewrites, turns): a row for each conversation; turns are structs with the role, the span, the span of the text, in code points, and whether the loss covers it."""
 
     def render(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["turn", "role", "text"], na_position="first", kind="stable")
         turns = [(r or "", t or "") for r, t in zip(rows["role"].where(rows["role"].notna(), None), rows["text"].where(rows["text"].notna(), None), strict=True)]
-        out, found, rewrites = spans(template, turns)
-        parts = [{"role": r, "start": a, "text_start": b, "text_stop": c, "stop": d, "loss": r in learn} for (r, _), (a, b, c, d) in zip(turns, found, strict=True)]
-        return pd.DataFrame({"key": [rows["key"].iloc[0]], "formatted": [out], "rewrites": [rewrites], "turns": [parts]}).astype({"key": object})
+        part = int(rows["part"].iloc[0])
+        first, last = part * run, min(len(turns), (part + 1) * run)
+        out, found, rewrites = spans(template, turns, first, last)
+        parts = [{"role": r, "start": a, "text_start": b, "text_stop": c, "stop": d, "loss": r in learn} for (r, _), (a, b, c, d) in zip(turns[first:last], found, strict=True)]
+        return pd.DataFrame({"key": [rows["key"].iloc[0]], "part": [part], "formatted": [out if last == len(turns) else None], "rewrites": [rewrites], "turns": [parts]}).astype({"key": object})
 
     named = chats.select(F.col(key).alias("key"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
-    schema = f"key {dict(chats.dtypes)[key]}, formatted string, rewrites boolean, turns array<struct<role:string,start:int,text_start:int,text_stop:int,stop:int,loss:boolean>>"
-    return named.groupBy("key").applyInPandas(render, schema).withColumnRenamed("key", key)
+    schema = f"key {dict(chats.dtypes)[key]}, part int, formatted string, rewrites boolean, turns array<struct<role:string,start:int,text_start:int,text_stop:int,stop:int,loss:boolean>>"
+    columns = [F.col("key").alias(key), "formatted", "rewrites", "turns"]
+    long = cut(named.groupBy(F.col("key").alias("_key")).agg(F.ceil(F.count("*") / run).cast("int").alias("parts")).where("parts > 1"))
+    if long.isEmpty():
+        return named.withColumn("part", F.lit(0)).groupBy("key").applyInPandas(render, schema).select(*columns)
+    if long.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        long = F.broadcast(long)
+    same = F.col("key").eqNullSafe(F.col("_key"))
+    short = named.join(long, same, "left_anti").withColumn("part", F.lit(0)).groupBy("key").applyInPandas(render, schema)
+    runs = named.join(long, same).select("key", "turn", "role", "text", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    each = runs.groupBy("key", "part").applyInPandas(render, schema)
+    whole = each.groupBy("key").agg(F.max("formatted").alias("formatted"), F.bool_or("rewrites").alias("rewrites"), F.flatten(F.array_sort(F.collect_list(F.struct("part", "turns")))["turns"]).alias("turns"))
+    return short.select(*columns).union(whole.select(*columns))
 
 
 def read_back(formatted: Column, start: Column, stop: Column) -> Column:
