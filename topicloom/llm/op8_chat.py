@@ -17,13 +17,13 @@ turns of their own; a null conversation id is a conversation; an empty table giv
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import BROADCAST_IDS, cut, table
+from topicloom.llm.common import table
 
 Turns = list[tuple[str, str]]
 Template = Callable[[Turns], str]
@@ -34,6 +34,9 @@ CONTROL = ("\\", START, SEPARATOR, STOP)
 PROBES = ("a", "b")
 #: Turns of a conversation whose prefixes one task renders.
 RUN = 256
+#: Conversations that a Python worker holds at once.
+SLICE = 64
+SPANS = pa.list_(pa.struct([("role", pa.string()), *[(c, pa.int32()) for c in ("start", "text_start", "text_stop", "stop")], ("loss", pa.bool_())]))
 
 
 def escape(text: str) -> str:
@@ -81,29 +84,31 @@ def spans(template: Template, turns: Turns, first: int = 0, last: int | None = N
 def format_chats(chats: DataFrame, template: Template = marked_turns, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", learn: tuple[str, ...] = ("assistant",), run: int = RUN) -> DataFrame:
     """(key, formatted, rewrites, turns): a row for each conversation; turns are structs with the role, the span, the span of the text, in code points, and whether the loss covers it."""
 
-    def render(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["turn", "role", "text"], na_position="first", kind="stable")
-        turns = [(r or "", t or "") for r, t in zip(rows["role"].where(rows["role"].notna(), None), rows["text"].where(rows["text"].notna(), None), strict=True)]
-        part = int(rows["part"].iloc[0])
-        first, last = part * run, min(len(turns), (part + 1) * run)
-        out, found, rewrites = spans(template, turns, first, last)
-        parts = [{"role": r, "start": a, "text_start": b, "text_stop": c, "stop": d, "loss": r in learn} for (r, _), (a, b, c, d) in zip(turns[first:last], found, strict=True)]
-        return pd.DataFrame({"key": [rows["key"].iloc[0]], "part": [part], "formatted": [out if last == len(turns) else None], "rewrites": [rewrites], "turns": [parts]}).astype({"key": object})
-
-    named = chats.select(F.col(key).alias("key"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
-    schema = f"key {dict(chats.dtypes)[key]}, part int, formatted string, rewrites boolean, turns array<struct<role:string,start:int,text_start:int,text_stop:int,stop:int,loss:boolean>>"
+    keyed, spanned = dict(chats.dtypes)[key], "array<struct<role:string,start:int,text_start:int,text_stop:int,stop:int,loss:boolean>>"
+
+    def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                piece = batch.slice(at, SLICE)
+                rows = []
+                for part, said in zip(piece.column("part").to_pylist(), piece.column("said").to_pylist(), strict=True):
+                    turns = [(t["role"] or "", t["text"] or "") for t in said]
+                    first, last = part * run, min(len(turns), (part + 1) * run)
+                    out, found, rewrites = spans(template, turns, first, last)
+                    marked = [{"role": r, "start": a, "text_start": b, "text_stop": c, "stop": d, "loss": r in learn} for (r, _), (a, b, c, d) in zip(turns[first:last], found, strict=True)]
+                    rows.append((out if last == len(turns) else None, rewrites, marked))
+                outs, rewritten, parts = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([piece.column("key"), piece.column("part"), pa.array(outs, pa.string()), pa.array(rewritten, pa.bool_()), pa.array(parts, SPANS)], names=["key", "part", "formatted", "rewrites", "turns"])
+
+    said = F.sort_array(F.collect_list(F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))))
+    whole = chats.groupBy(F.col(key).alias("key")).agg(said.alias("said"))
+    rendered = lambda rows: rows.mapInArrow(render, f"key {keyed}, part int, formatted string, rewrites boolean, turns {spanned}")
+    short = rendered(whole.where(F.size("said") <= run).select("key", F.lit(0).alias("part"), "said"))
+    runs = whole.where(F.size("said") > run).select("key", F.explode(F.sequence(F.lit(0), F.floor((F.size("said") - 1) / run).cast("int"))).alias("part"), "said")
+    each = rendered(runs.repartition("key", "part"))
+    long = each.groupBy("key").agg(F.max("formatted").alias("formatted"), F.bool_or("rewrites").alias("rewrites"), F.flatten(F.array_sort(F.collect_list(F.struct("part", "turns")))["turns"]).alias("turns"))
     columns = [F.col("key").alias(key), "formatted", "rewrites", "turns"]
-    long = cut(named.groupBy(F.col("key").alias("_key")).agg(F.ceil(F.count("*") / run).cast("int").alias("parts")).where("parts > 1"))
-    if long.isEmpty():
-        return named.withColumn("part", F.lit(0)).groupBy("key").applyInPandas(render, schema).select(*columns)
-    if long.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        long = F.broadcast(long)
-    same = F.col("key").eqNullSafe(F.col("_key"))
-    short = named.join(long, same, "left_anti").withColumn("part", F.lit(0)).groupBy("key").applyInPandas(render, schema)
-    runs = named.join(long, same).select("key", "turn", "role", "text", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    each = runs.groupBy("key", "part").applyInPandas(render, schema)
-    whole = each.groupBy("key").agg(F.max("formatted").alias("formatted"), F.bool_or("rewrites").alias("rewrites"), F.flatten(F.array_sort(F.collect_list(F.struct("part", "turns")))["turns"]).alias("turns"))
-    return short.select(*columns).union(whole.select(*columns))
+    return short.select(*columns).union(long.select(*columns))
 
 
 def read_back(formatted: Column, start: Column, stop: Column) -> Column:
