@@ -1,6 +1,6 @@
 """Corpus pipeline: documents to training shards.
 
-STAGES, in order: rejects of the quality classifier go; one document of each group of near duplicates (five words, similarity 0.8) stays; documents that
+STAGES, in order: rejects of the quality classifier go; one document of each group of near duplicates (op1's anchor points on five-word shingles, then an exact check at similarity 0.8) stays; documents that
 hold a benchmark passage go; sources are mixed to their target weights, by the classifier's score within a source (a document may come several times, or not at all); what is left
 is dealt into shards. Each stage works on all rows that the one before kept and returns the columns of documents, but for the last,
 which returns the shard and slot of each row. Null and empty texts, repeated rows and empty tables go through all stages as their operators

@@ -3,8 +3,13 @@ r"""Near copies for training sets: texts whose distinct 5-word shingles have a J
 Texts: A-Z lower-cased, words [^\x20\x09-\x0D]+; a shorter text is one shingle. A text's print is XXH64 of its words, so texts of the same words are
 one node. Words and shingles count as their 64-bit hashes.
 
-Candidates are texts that agree in all MinHashes of a band: at a similarity of 0.8 a pair meets in one of 20 bands of 6 with probability
-1 - (1 - 0.8^6)^20 = 0.998, above that more often. Links are the candidates whose shingle sets, which are compared whole, are similar.
+First come the links of op1's method: a SimHash of the distinct shingles, WORDS fingerprints of 64 bits, each copied to the anchor points of a covering code
+(op1_simhash.links). Texts that meet at an anchor, with at most HALF bits apart in a half, and in BITS of a fingerprint or fewer are candidates, and so are those of equal fingerprints, each with one
+text of its fingerprint. Links are the candidates whose shingle sets, which are compared whole, are similar.
+
+At a similarity of 0.8 one bit in seven differs, more than anchors reach for every pair, so there is an exact check after them, for texts that are still in different
+groups: those that agree in all MinHashes of a band; at a similarity of 0.8 a pair meets in one of 20 bands of 6 with probability
+1 - (1 - 0.8^6)^20 = 0.998, above that more often. They are compared whole too.
 
 A band's bucket of at most ALL texts is compared in all pairs. A larger one is compared with one of its texts and, where that
 doesn't link them all, with its most typical one (that of the fewest rare shingles): a text of which under a ninth is its own is similar to one that
@@ -19,6 +24,7 @@ gives no rows; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +34,11 @@ from pyspark.sql import functions as F
 
 from topicloom.llm.common import BROADCAST_IDS, bounded_batches, cut, utf8
 from topicloom.llm.components import connected_components
+from topicloom.llm.op1_simhash import labelled, links
 
 SHINGLE, SIMILAR, SEED = 5, 0.8, 42
+#: Fingerprints of a text, the bits of one of them in which candidates may differ, and those in one of its halves that anchors reach for sure.
+WORDS, BITS, HALF = 2, 12, 2
 BANDS, BAND = 20, 6
 ALL = 16
 #: Shingles whose MinHashes are computed at once.
@@ -37,6 +46,7 @@ CHUNK = 1 << 11
 _RNG = np.random.default_rng(SEED)
 _FACTORS = _RNG.integers(0, 2**63, BANDS * BAND, np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACES = _RNG.integers(0, 2**63, SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
+_TURNS = _RNG.integers(0, 2**63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -71,6 +81,18 @@ def buckets(own: np.ndarray) -> np.ndarray:
     return out
 
 
+def fingerprints(own: np.ndarray) -> np.ndarray:
+    """A text's SimHash: a bit is 1 if set in over half the shingles' hashes, which each of the WORDS takes anew."""
+    if not len(own):
+        return np.zeros(0, np.uint64)
+    votes = np.zeros((WORDS, 64), np.int64)
+    for at in range(0, len(own), CHUNK):
+        for word in range(WORDS):
+            h = _mix(own[at : at + CHUNK] * _TURNS[word]).astype("<u8")
+            votes[word] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * votes > len(own), axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     if min(len(a), len(b)) < SIMILAR * max(len(a), len(b)):
         return False
@@ -87,21 +109,22 @@ def _words(text: str | None) -> list[bytes]:
 
 
 def prints(docs: DataFrame, key: str = "doc_id", text: str = "text", with_buckets: bool = False) -> DataFrame:
-    """(key, fp): the print as a signed long; with_buckets adds `raw`, a hash of the text as it is, and `buckets`."""
+    """(key, fp): the print as a signed long; with_buckets adds `raw`, a hash of the text as it is, `sims`, its fingerprints, and `buckets`."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             words = list(map(_words, b.column(1).to_pylist()))
             columns = [b.column(0), pa.array(np.array(list(map(print_of, words)), np.uint64).view(np.int64))]
             if with_buckets:
-                columns += [b.column(2), pa.array([buckets(shingles(w)).view(np.int64) for w in words], pa.list_(pa.int64()))]
+                own = list(map(shingles, words))
+                columns += [b.column(2), *[pa.array([f(x).view(np.int64) for x in own], pa.list_(pa.int64())) for f in (fingerprints, buckets)]]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    names = [key, "fp", "raw", "buckets"] if with_buckets else [key, "fp"]
+    names = [key, "fp", "raw", "sims", "buckets"] if with_buckets else [key, "fp"]
     bounded_batches(docs.sparkSession)
     body = F.col(text).cast("string")
     slim = docs.select(F.col(key), body.alias("_text"), F.xxhash64(utf8(body)).alias("_raw"))
-    return slim.mapInArrow(batches, f"{key} {dict(docs.dtypes)[key]}, fp long" + (", raw long, buckets array<long>" if with_buckets else ""))
+    return slim.mapInArrow(batches, f"{key} {dict(docs.dtypes)[key]}, fp long" + (", raw long, sims array<long>, buckets array<long>" if with_buckets else ""))
 
 
 def _sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
@@ -193,11 +216,29 @@ def _typical_pairs(state: DataFrame, leads: DataFrame) -> DataFrame:
     return state.join(cut(most), "bucket").where("root <> c.root").select(F.col("fp").alias("u"), F.col("c.fp").alias("v"))
 
 
-def groups(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, root) of the components of all similar pairs that share a bucket of members(bucket, fp, n, centre); nodes without a link are left out."""
-    small, large = members.where(F.col("n") <= ALL), members.where(F.col("n") > ALL)
-    pairs = small.select("bucket", F.col("fp").alias("u")).join(small.select("bucket", F.col("fp").alias("v")), "bucket").where("u > v").select("u", "v")
-    roots = cut(connected_components(_verified(pairs.union(large.where("fp <> centre").select("fp", "centre")), sets)))
+def anchored(sims: DataFrame) -> DataFrame:
+    """The pairs (u, v) of sims(fp, sims) that share a fingerprint, or whose fingerprints op1's anchors link; each fingerprint stands for itself by its least text."""
+    pairs = []
+    for word in range(WORDS):
+        own = cut(sims.select("fp", F.get("sims", F.lit(word)).alias("sim")).where("sim is not null"))
+        heads = cut(own.groupBy("sim").agg(F.min("fp").alias("head")))  # so that both sides of the join are plain, and a fingerprint of many texts can be split
+        found = cut(links(heads.select(F.col("sim").alias("fp")), BITS, HALF).distinct())
+        ends = found.join(heads.select(F.col("sim").alias("u"), F.col("head").alias("a")), "u").join(heads.select(F.col("sim").alias("v"), F.col("head").alias("b")), "v")
+        pairs += [own.join(heads, "sim").where("fp <> head").select(F.col("fp").alias("u"), F.col("head").alias("v")), ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))]
+    return cut(reduce(DataFrame.union, pairs).distinct())
+
+
+def groups(members: DataFrame, sets: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """(node, root) of the components of roots(node, root), if given, and all similar pairs that share a bucket of members(bucket, fp, n, centre); nodes without a link are left out."""
+    if roots is None:
+        roots = members.sparkSession.createDataFrame([], "node long, root long")
+    rooted = members.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    small, large = cut(rooted.where(F.col("n") <= ALL)), members.where(F.col("n") > ALL)
+    ends = [small.select("bucket", F.col("fp").alias(c), F.col("root").alias(f"{c}_root")) for c in "uv"]
+    pairs = ends[0].join(ends[1], "bucket").where("u > v and u_root <> v_root").select("u", "v")
+    first = large.select("fp", "centre", "bucket").join(roots.withColumnRenamed("node", "fp"), "fp", "left").join(roots.select(F.col("node").alias("centre"), F.col("root").alias("to")), "centre", "left")
+    pairs = pairs.union(first.where("fp <> centre and coalesce(root, fp) <> coalesce(to, centre)").select("fp", "centre"))
+    roots = _joined(roots, _verified(pairs, sets))
     state = _apart(large, roots)
     if state.isEmpty():
         return roots
@@ -207,13 +248,14 @@ def groups(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fp, root, component_id, copies) as op1_simhash.near_duplicates has them, of similar texts."""
-    from topicloom.llm.op1_simhash import labelled
-
+    """(key, fp, root, component_id, copies) as op1_simhash.near_duplicates has them, of similar texts: those that op1's anchors link, then those that buckets still tell apart."""
     found = cut(prints(docs, key, text, with_buckets=True))
-    distinct = cut(found.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("copies"), F.min(F.struct("raw", "buckets")).alias("x")))
+    distinct = cut(found.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("copies"), F.min(F.struct("raw", "sims", "buckets")).alias("x")))
+    linked = anchored(distinct.select("fp", "x.sims"))
     members = cut(distinct.select("fp", F.explode("x.buckets").alias("bucket")))
     shared = cut(members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("fp").alias("centre")).where("n > 1"))
     members = cut(members.join(shared, "bucket"))
-    wanted = cut(distinct.join(members.select("fp").distinct(), "fp", "left_semi").select("x.raw").distinct())
-    return labelled(found.select(key, "fp"), distinct.select("fp", "least", "copies"), groups(members, cut(_sets(docs, text, wanted))))
+    compared = cut(members.select("fp").union(linked.select("u")).union(linked.select("v")).distinct())
+    sets = cut(_sets(docs, text, cut(distinct.join(compared, "fp", "left_semi").select("x.raw").distinct())))
+    roots = cut(connected_components(_verified(linked, sets)))
+    return labelled(found.select(key, "fp"), distinct.select("fp", "least", "copies"), groups(members, sets, roots))

@@ -128,9 +128,10 @@ def _forests(threshold: int, group: list[str]):
     return batches
 
 
-def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Edges (u, v), u > v, between distinct fingerprints; they have the components of all pairs within `threshold` bits."""
-    half_threshold = threshold // 2
+def links(fps: DataFrame, threshold: int = THRESHOLD, half: int | None = None) -> DataFrame:
+    """Edges (u, v), u > v, between distinct fingerprints; they have the components of all pairs within `threshold` bits, or, if `half` is given, of those
+    that differ in at most `half` bits in one half as well (and of others within `threshold` that share an anchor)."""
+    half_threshold = threshold // 2 if half is None else half
     reach = 1 + (half_threshold + 1) // 2
     low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
     halves = F.array(*[F.struct(F.lit(i).alias("half"), h.alias("bits")) for i, h in enumerate((low, F.shiftrightunsigned("fp", 32)))])
