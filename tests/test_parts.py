@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from topicloom.operators import merges
 from topicloom.plans import job_queries, registry
 from topicloom.session import discard, scratch, slices, stored
 
@@ -30,13 +31,17 @@ def test_parts_leave_no_shuffle_files(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables aren't here")
-def test_candidates_in_parts(spark, monkeypatch):
+@pytest.mark.parametrize("name", ["quarantine_split", "check_accounting"])
+def test_candidates_in_parts(spark, monkeypatch, name):
     monkeypatch.setattr(job_queries, "PART_LINES", 2000)
     assert job_queries.parts(spark, SF) == 3
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem".split():
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    want = con.sql(registry.oracle_sql()["quarantine_split"]).df()
-    got = registry.queries()["quarantine_split"](spark, SF).toPandas()
+    want = con.sql(registry.oracle_sql()[name]).df()
+    gone = []
+    monkeypatch.setattr(merges, "discard", lambda spark, path: (gone.append(path[-6:]), discard(spark, path)))
+    got = registry.queries()[name](spark, SF).toPandas()
+    assert gone == ["part=0", "part=1", "part=2"]  # each as soon as it was placed
     rows = lambda df: sorted(map(tuple, df[sorted(want.columns)].astype(str).values.tolist()))
     assert rows(got) == rows(want)
