@@ -31,7 +31,7 @@ def test_parts_leave_no_shuffle_files(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables aren't here")
-@pytest.mark.parametrize("name", ["quarantine_split", "check_accounting", "check_public_allowlist", "quarantine_records", "placement_report", "place_candidates", "materialize_containers"])
+@pytest.mark.parametrize("name", ["quarantine_split", "check_accounting", "check_public_allowlist", "quarantine_records", "placement_report", "place_candidates", "materialize_containers", "container_witnesses"])
 def test_candidates_in_parts(spark, monkeypatch, name):
     monkeypatch.setattr(job_queries, "PART_LINES", 2000)
     assert job_queries.parts(spark, SF) == 3
